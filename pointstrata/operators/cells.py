@@ -62,6 +62,14 @@ def extent(points: DataFrame) -> Extent:
     return Extent(r.n_points, r.x_min, r.x_max, r.y_min, r.y_max, r.z_min, r.z_max)
 
 
+def beside(*rows: DataFrame) -> DataFrame:
+    """One-row tables put side by side (each is an ungrouped aggregate)."""
+    out = rows[0].withColumn("_one", F.lit(1))
+    for r in rows[1:]:
+        out = out.join(F.broadcast(r.withColumn("_one", F.lit(1))), "_one")
+    return out.drop("_one")
+
+
 def index(col: Column | str, origin: float, size: float, n: int | None = None) -> Column:
     """Cell number along one axis, clipped to [0, n-1] when n is given."""
     col = F.col(col) if isinstance(col, str) else col

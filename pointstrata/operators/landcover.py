@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import colour
@@ -149,11 +149,9 @@ def vegetation_statistics(points: DataFrame, stratum: Column) -> DataFrame:
     """Count, share and mean height of each stratum, zero rows included."""
     names = points.sparkSession.createDataFrame(
         [(3, "low_vegetation"), (4, "medium_vegetation"), (5, "high_vegetation")], "stratum int, name string")
-    total = F.sum("n").over(Window.partitionBy(F.lit(1)))
-    per = points.groupBy(stratum.alias("stratum")).agg(F.count(F.lit(1)).alias("n"), F.avg("hag").alias("hag_mean"))
-    per = per.withColumn("all_n", total)
-    n_all = per.agg(F.max("all_n").alias("all_n"))
-    joined = names.join(F.broadcast(per.where("stratum is not null")), "stratum", "left").select(
-        "name", F.coalesce("n", F.lit(0)).alias("count"), F.coalesce("hag_mean", F.lit(0.0)).alias("hag_mean"))
-    return joined.join(F.broadcast(n_all)).select(
-        "name", "count", (F.col("count") / F.col("all_n") * 100).alias("percentage"), "hag_mean")
+    n_all = points.agg(F.count(F.lit(1)).alias("all_n"))
+    per = points.where(stratum.isNotNull()).groupBy(stratum.alias("stratum")).agg(F.count(F.lit(1)).alias("n"), F.avg("hag").alias("hag_mean"))
+    joined = names.join(F.broadcast(per), "stratum", "left").withColumn("_one", F.lit(1))
+    return joined.join(F.broadcast(n_all.withColumn("_one", F.lit(1))), "_one").select(
+        "name", F.coalesce("n", F.lit(0)).cast("long").alias("count"),
+        (F.coalesce("n", F.lit(0)) / F.col("all_n") * 100).alias("percentage"), F.coalesce("hag_mean", F.lit(0.0)).alias("hag_mean"))

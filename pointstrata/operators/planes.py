@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.hashing import hash_key
 from ..session import cut
+from .cells import beside
 from .landcover import surface_kind
 from .sampling import hash_sample_per_group
 
@@ -108,5 +109,5 @@ def building_statistics(points: DataFrame, planes: DataFrame) -> DataFrame:
     is_wall = F.col("kind") == "wall"
     s = hits.agg(F.count(F.lit(1)).alias("building"), F.count(F.when(~is_wall, 1)).alias("roof"),
                  F.count(F.when(is_wall, 1)).alias("wall"), F.avg(F.when(~is_wall, F.col("hag"))).alias("roof_hag_mean"))
-    j = n.join(s)  # one row each
+    j = beside(n, s)
     return j.select("*", *[(F.col(c) / F.col("n_points") * 100).alias(f"{c}_pct") for c in ("building", "roof", "wall")])

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.eigen import direction2, moments, with_covariance, with_eigen3
 from ..functions.height import band, capped_ratio
 from ..session import cut
-from .cells import Extent
+from .cells import beside
 from .cluster import dbscan
 from .neighbours import XYZ, nearest, radius_pairs
 
@@ -121,7 +121,7 @@ def catenary_statistics(segments: DataFrame, drop: DataFrame, span: DataFrame) -
                      F.coalesce(F.avg(F.when(t == "contact", F.col("sag"))), F.lit(0.0)).alias("avg_sag"),
                      F.count(F.lit(1)).alias("n_wires"))
     d = drop.agg(F.count(F.lit(1)).alias("droppers"))
-    out = s.join(d).join(span)  # one row each
+    out = beside(s, d, span)
     return out.withColumn("span_length", F.when(F.col("n_wires") > 1, F.col("span_length")).otherwise(F.lit(0.0))).drop("n_wires")
 
 
@@ -330,7 +330,7 @@ def pole_statistics(pole_rows: DataFrame) -> DataFrame:
     n = lambda k: F.count(F.when(t == k, 1)).alias(f"{k}_count")
     s = pole_rows.agg(F.count(F.lit(1)).alias("total_count"), n("catenary"), n("lighting"), n("signal"), F.avg("height").alias("avg_height_m"),
                       F.min("height").alias("min_height_m"), F.max("height").alias("max_height_m"))
-    return s.join(pole_spacing(pole_rows))  # one row each
+    return beside(s, pole_spacing(pole_rows))
 
 
 # ---- signals --------------------------------------------------------------
