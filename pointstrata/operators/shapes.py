@@ -141,15 +141,14 @@ def _chain(pts: np.ndarray) -> list[tuple[float, float]]:
 def hulls(points: DataFrame, key: str) -> DataFrame:
     """Hull vertices per object: (key, seq, x, y), counter-clockwise.
 
-    Two levels: hulls of cell-sized parts first, hulls of their vertices next,
-    so no task ever receives the raw points of a whole object.  Extreme points
-    per column of cells are taken before, which bounds every part.
+    Only the lowest and highest y of every x can be a vertex, which a map-side
+    aggregate settles first.  An object that is still large is split into
+    chunks whose hulls replace them, until its candidates fit one small group;
+    no task ever receives the raw points of a whole object.
     """
     kt = dict(points.dtypes)[key]
-    # the hull only needs the lowest and highest y of every x and vice versa
     ends = points.groupBy(key, "x").agg(F.min("y").alias("lo"), F.max("y").alias("hi"))
     p = ends.select(key, "x", F.explode(F.array("lo", "hi")).alias("y")).distinct()
-    p = p.withColumn("part", F.pmod(F.xxhash64("x"), F.lit(64)).cast("int"))
 
     def partial(pdf: pd.DataFrame) -> pd.DataFrame:
         v = _chain(pdf[["x", "y"]].to_numpy())
@@ -159,8 +158,15 @@ def hulls(points: DataFrame, key: str) -> DataFrame:
         v = _chain(pdf[["x", "y"]].to_numpy())
         return pd.DataFrame({key: pdf[key].iloc[0], "seq": np.arange(len(v), dtype=np.int32), "x": [a for a, _ in v], "y": [b for _, b in v]})
 
-    first = p.groupBy(key, "part").applyInPandas(partial, f"{key} {kt}, x double, y double")
-    return first.groupBy(key).applyInPandas(final, f"{key} {kt}, seq int, x double, y double")
+    while True:
+        p = cut(p)
+        size = p.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
+        if (size.agg(F.max("_n")).first()[0] or 0) <= HULL_CHUNK:
+            break
+        parts = F.ceil(F.col("_n") / F.lit(HULL_CHUNK))
+        split = p.join(size, key).withColumn("part", F.pmod(F.xxhash64("x", "y"), parts).cast("int"))
+        p = split.groupBy(key, "part").applyInPandas(partial, f"{key} {kt}, x double, y double")
+    return p.groupBy(key).applyInPandas(final, f"{key} {kt}, seq int, x double, y double")
 
 
 def polygon_measures(vertices: DataFrame, key: str) -> DataFrame:
