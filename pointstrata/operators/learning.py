@@ -46,14 +46,20 @@ def balanced_sample(df: DataFrame, max_per_class: int = 50_000, min_per_class: i
 def stratified_split(df: DataFrame, fractions: tuple[float, float, float] = (0.7, 0.15, 0.15), label: str = "classification", seed: int = 42) -> DataFrame:
     """Adds ``part`` (train / val / test) with exact shares per class.
 
-    Cut points are exact hash quantiles per class from one aggregate, so no
-    class is ever sorted in one task.
+    The rank of a row inside its class is the count of all lower hash buckets
+    plus its rank in its own bucket, so a class of any size is ranked without
+    sorting it in one task.
     """
+    h = df.withColumn("_h", hash_key(F.col("point_id"), seed)).withColumn("_b", F.shiftright("_h", 19))
+    c = h.groupBy(label, "_b").agg(F.count(F.lit(1)).alias("_k"))
+    below = Window.partitionBy(label).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    c = c.withColumns({"_before": F.coalesce(F.sum("_k").over(below), F.lit(0)), "_n": F.sum("_k").over(Window.partitionBy(label))}).drop("_k")
+    h = h.join(c, [label, "_b"])
+    rank = F.col("_before") + F.row_number().over(Window.partitionBy(label, "_b").orderBy("_h", "point_id")) - 1
+    h = h.withColumn("_r", rank / F.col("_n"))
     a, b = fractions[0], fractions[0] + fractions[1]
-    h = df.withColumn("_h", hash_key(F.col("point_id"), seed))
-    q = h.groupBy(label).agg(F.percentile_approx("_h", F.array(F.lit(a), F.lit(b)), 100_000).alias("_q"))
-    part = F.when(F.col("_h") <= F.col("_q")[0], "train").when(F.col("_h") <= F.col("_q")[1], "val").otherwise("test")
-    return h.join(F.broadcast(q), label).withColumn("part", part).drop("_h", "_q")
+    part = F.when(F.col("_r") < a, "train").when(F.col("_r") < b, "val").otherwise("test")
+    return h.withColumn("part", part).drop("_h", "_b", "_before", "_n", "_r")
 
 
 def impute(df: DataFrame, cols: list[str]) -> DataFrame:
