@@ -29,6 +29,7 @@ def connected_components(edges: DataFrame, vertices: DataFrame) -> DataFrame:
     contracted, which at least halves the vertices that still have edges.
     """
     labels = vertices.select("v", F.col("v").alias("component"))
+    steps: list[DataFrame] = []
     e = cut(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     while not e.isEmpty():
         both = e.select(F.col("a").alias("v"), F.col("b").alias("u")).unionByName(
@@ -38,11 +39,13 @@ def connected_components(edges: DataFrame, vertices: DataFrame) -> DataFrame:
             g = f.select(F.col("v").alias("f"), F.col("f").alias("g"))
             f = f.join(g, "f").select("v", F.col("g").alias("f"))
         f = cut(f)
-        labels = cut(labels.join(f.withColumnRenamed("v", "component"), "component", "left").select(
-            "v", F.coalesce("f", "component").alias("component")))
+        steps.append(f)
         e = e.join(f.select(F.col("v").alias("a"), F.col("f").alias("fa")), "a").join(
             f.select(F.col("v").alias("b"), F.col("f").alias("fb")), "b")
         e = cut(e.where("fa <> fb").select(F.least("fa", "fb").alias("a"), F.greatest("fa", "fb").alias("b")).distinct())
+    for f in steps:  # a logarithmic number of rounds
+        labels = labels.join(f.withColumnRenamed("v", "component"), "component", "left").select(
+            "v", F.coalesce("f", "component").alias("component"))
     return labels
 
 
@@ -66,20 +69,52 @@ def _far2(dims, a="", b="b_"):
     return expr
 
 
-def dbscan(points: DataFrame, eps: float, min_samples: int, dims: Sequence[str] = ("x", "y"),
+def _close_cells(core: DataFrame, cells: DataFrame, open_: DataFrame, dims, keys, within, side, e2) -> DataFrame:
+    """Of the undecided cell pairs those with two core points within eps."""
+    tagged = core.join(cells.select(*within, *keys, "vid"), within + keys)
+    sub = F.lit(0)
+    for k, d in zip(keys, dims):
+        part = F.floor((F.col(d) - F.col(k) * side) / side * F.lit(float(SUB))).cast("int")
+        sub = sub * F.lit(SUB) + F.least(F.greatest(part, F.lit(0)), F.lit(SUB - 1))
+    tagged = tagged.withColumn("sub", sub)
+    boxes = tagged.groupBy("vid", "sub").agg(*_box(dims))
+    bbox = boxes.select(*[F.col(c).alias(f"b_{c}") for c in boxes.columns])
+    fine = open_.join(boxes, "vid").join(bbox, "b_vid").where(_gap2(dims) <= e2).withColumn("_sure", _far2(dims) <= e2)
+    extra = [c for c in open_.columns if c not in ("vid", "b_vid")]
+    fine = cut(fine.select("vid", "b_vid", "sub", "b_sub", "_sure", *extra))
+    sure2 = fine.where("_sure").select("vid", "b_vid").distinct()
+    rest = fine.where("not _sure").join(sure2, ["vid", "b_vid"], "left_anti")
+    pa_ = tagged.select("vid", "sub", *dims).distinct()
+    pb_ = pa_.select(*[F.col(c).alias(f"b_{c}") for c in pa_.columns])
+    d2 = None
+    for d in dims:
+        t = F.col(d) - F.col(f"b_{d}")
+        d2 = t * t if d2 is None else d2 + t * t
+    exact = (rest.join(pa_, ["vid", "sub"]).join(pb_, ["b_vid", "b_sub"]).where(d2 <= e2)
+             .select("vid", "b_vid").distinct())
+    return sure2.unionByName(exact)
+
+
+def dbscan(points: DataFrame, eps: float | str, min_samples: int, dims: Sequence[str] = ("x", "y"),
            id_col: str = "point_id", within: Sequence[str] = ()) -> DataFrame:
     """Clustered points: all input columns plus ``cluster`` (smallest core id); noise is dropped.
 
     ``min_samples`` counts the point itself.  A border point takes the smallest
     cluster in reach.  ``within`` clusters every combination of those columns
-    separately in the same jobs.
+    separately in the same jobs; ``eps`` may name a column that is constant
+    inside such a group.
     """
     nd, within = len(dims), list(within)
-    side = eps / math.sqrt(nd)
-    e2 = F.lit(float(eps) * float(eps))
+    if isinstance(eps, str):
+        within = [*within, eps]
+        reach = F.col(eps)
+    else:
+        reach = F.lit(float(eps))
+    side = reach / F.lit(math.sqrt(nd))
+    e2 = reach * reach
     keys = [f"_k{i}" for i in range(nd)]
     base = points.select(id_col, *dims, *within)
-    celled = cut(base.withColumns({k: F.floor(F.col(d) / F.lit(side)).cast("long") for k, d in zip(keys, dims)}))
+    celled = cut(base.withColumns({k: F.floor(F.col(d) / side).cast("long") for k, d in zip(keys, dims)}))
     full = celled.groupBy(*within, *keys).agg(F.count(F.lit(1)).alias("_n"))
     sized = celled.join(full, within + keys)
     thin = sized.where(F.col("_n") < min_samples).drop("_n")
@@ -91,7 +126,11 @@ def dbscan(points: DataFrame, eps: float, min_samples: int, dims: Sequence[str]
         thin.join(dense, list(dims) + within, "left_semi").select(*thin.columns))
     core = cut(core)
 
-    cells = cut(core.groupBy(*within, *keys).agg(F.min(id_col).alias("vid"), *_box(dims)))
+    # a vertex is the smallest core id of a cell, qualified by its group
+    cells = core.groupBy(*within, *keys).agg(F.min(id_col).alias("vid"), *_box(dims))
+    if within:
+        cells = cells.withColumn("vid", F.struct(*within, F.col("vid").alias("id")))
+    cells = cut(cells)
     half = [o for o in itertools.product(range(-2, 3), repeat=nd) if o > (0,) * nd]
     half = [o for o in half if sum(max(abs(v) - 1, 0) ** 2 for v in o) <= nd]
     offs = F.array(*[F.struct(*[F.lit(v).alias(f"o{i}") for i, v in enumerate(o)]) for o in half])
@@ -100,33 +139,14 @@ def dbscan(points: DataFrame, eps: float, min_samples: int, dims: Sequence[str]
         *within, *[(F.col(k) + F.col(f"_o.o{i}")).alias(k) for i, k in enumerate(keys)],
         *[c for c in cells.columns if c not in within + keys])
     pairs = moved.join(other, within + keys).where(_gap2(dims) <= e2).withColumn("_sure", _far2(dims) <= e2)
-    pairs = cut(pairs.select("vid", "b_vid", "_sure"))
+    pairs = cut(pairs.select("vid", "b_vid", "_sure", *([eps] if isinstance(eps, str) else [])))
     sure = pairs.where("_sure").select("vid", "b_vid")
-    open_ = pairs.where("not _sure").select("vid", "b_vid")
-
-    tagged = core.join(cells.select(*within, *keys, "vid"), within + keys)
-    sub = F.lit(0)
-    for k, d in zip(keys, dims):
-        part = F.floor((F.col(d) - F.col(k) * F.lit(side)) / F.lit(side / SUB)).cast("int")
-        sub = sub * F.lit(SUB) + F.least(F.greatest(part, F.lit(0)), F.lit(SUB - 1))
-    tagged = tagged.withColumn("sub", sub)
-    boxes = tagged.groupBy("vid", "sub").agg(*_box(dims))
-    bbox = boxes.select(*[F.col(c).alias(f"b_{c}") for c in boxes.columns])
-    fine = open_.join(boxes, "vid").join(bbox, "b_vid").where(_gap2(dims) <= e2).withColumn("_sure", _far2(dims) <= e2)
-    fine = cut(fine.select("vid", "b_vid", "sub", "b_sub", "_sure"))
-    sure2 = fine.where("_sure").select("vid", "b_vid").distinct()
-    rest = fine.where("not _sure").join(sure2, ["vid", "b_vid"], "left_anti")
-    pa_ = tagged.select("vid", "sub", *dims).distinct()
-    pb_ = pa_.select(*[F.col(c).alias(f"b_{c}") for c in pa_.columns])
-    d2 = None
-    for d in dims:
-        t = F.col(d) - F.col(f"b_{d}")
-        d2 = t * t if d2 is None else d2 + t * t
-    exact = (rest.join(pa_, ["vid", "sub"]).join(pb_, ["b_vid", "b_sub"]).where(d2 <= e2)
-             .select("vid", "b_vid").distinct())
-    graph = sure.unionByName(sure2).unionByName(exact).select(F.col("vid").alias("a"), F.col("b_vid").alias("b"))
+    graph = sure
+    if not pairs.where("not _sure").isEmpty():
+        graph = sure.unionByName(_close_cells(core, cells, pairs.where("not _sure").drop("_sure"), dims, keys, within, side, e2))
+    graph = graph.select(F.col("vid").alias("a"), F.col("b_vid").alias("b"))
     comp = connected_components(graph, cells.select(F.col("vid").alias("v")))
-    named = cells.join(comp.withColumnRenamed("v", "vid"), "vid").select(*within, *keys, F.col("component").alias("cluster"))
+    named = cells.join(comp.withColumnRenamed("v", "vid"), "vid").select(*within, *keys, (F.col("component.id") if within else F.col("component")).alias("cluster"))
     core_l = core.join(named, within + keys).select(id_col, *dims, *within, "cluster")
 
     border = thin.join(core.select(id_col), id_col, "left_anti")

@@ -65,10 +65,14 @@ def _fold(arr: str) -> Column:
     return F.aggregate(arr, F.lit(0.0), lambda a, b: a + b)
 
 
+def _shifted(arr: str, origin: Column) -> Column:
+    return F.transform(arr, lambda v: v - origin)
+
+
 def array_moments(near: DataFrame, xs: str = "n_x", ys: str = "n_y", zs: str = "n_z") -> DataFrame:
     """Moment sums over neighbour arrays, relative to the first neighbour."""
     first = {a: F.element_at(c, 1) for a, c in zip("xyz", (xs, ys, zs))}
-    d = {f"_{a}": F.transform(c, lambda v, a=a: v - first[a]) for a, c in zip("xyz", (xs, ys, zs))}
+    d = {f"_{a}": _shifted(c, first[a]) for a, c in zip("xyz", (xs, ys, zs))}
     near = near.withColumns(d)
     prod = lambda p, q: F.aggregate(F.zip_with(f"_{p}", f"_{q}", lambda u, v: u * v), F.lit(0.0), lambda s, t: s + t)
     out = {"m_n": F.size(xs).cast("double")}

@@ -53,7 +53,8 @@ def clearance_summary(violations: DataFrame) -> DataFrame:
 
 
 def worst_violations(violations: DataFrame, n: int = 10) -> DataFrame:
-    return violations.orderBy(F.desc("violation"), "point_id").limit(n)
+    # rounded to a micrometre, so equal depths tie and the id decides
+    return violations.orderBy(F.desc(F.round("violation", 6)), "point_id").limit(n)
 
 
 def axis_violations(points: DataFrame, axis: DataFrame, allowed: list[float]) -> DataFrame:
@@ -103,14 +104,10 @@ def clashes(points: DataFrame, pairs=CLASH_PAIRS, include_soft: bool = True, max
         pairs = [(a, b, custom.get((a, b), d)) for a, b, d in pairs]
     spark = points.sparkSession
     col = cut(collision_points(points, pairs))
-    by_eps: dict[float, list[int]] = {}
-    for i, (_, _, d) in enumerate(pairs):
-        by_eps.setdefault(d, []).append(i)
-    parts = None
-    for eps, ids in sorted(by_eps.items()):
-        c = dbscan(col.where(F.col("pair").isin(ids)), eps, 3, XYZ, within=("pair",))
-        parts = c if parts is None else parts.unionByName(c)
-    g = parts.groupBy("pair", "cluster").agg(
+    # all pairs are clustered together, each with its own distance
+    reach = F.element_at(F.array(*[F.lit(float(d)) for _, _, d in pairs]), F.col("pair") + 1)
+    g = dbscan(col.withColumn("eps", reach), "eps", 3, XYZ, within=("pair",))
+    g = g.groupBy("pair", "cluster").agg(
         F.count(F.lit(1)).alias("points_involved"), *[F.avg(a).alias(a) for a in "xyz"], F.min("dist").alias("distance"))
     g = g.join(F.broadcast(clash_pair_dim(spark, pairs)), "pair")
     limit = F.col("min_distance")

@@ -47,8 +47,8 @@ def distance2(a: Sequence[str], b: Sequence[str]) -> Column:
     return expr
 
 
-def _cell_cols(dims: Sequence[str], size: float) -> list[Column]:
-    return [F.floor(F.col(d) / F.lit(float(size))).cast("long") for d in dims]
+def _cell_cols(dims: Sequence[str], size: Column) -> list[Column]:
+    return [F.floor(F.col(d) / size).cast("long") for d in dims]
 
 
 def _offsets(ndim: int, reach: int = 1) -> Column:
@@ -57,7 +57,7 @@ def _offsets(ndim: int, reach: int = 1) -> Column:
                      for o in itertools.product(rng, repeat=ndim)])
 
 
-def radius_pairs(left: DataFrame, right: DataFrame, r: float, dims: Sequence[str] = XYZ,
+def radius_pairs(left: DataFrame, right: DataFrame, r: float | str, dims: Sequence[str] = XYZ,
                  left_cols: Sequence[str] = ("point_id",), right_cols: Sequence[str] = ("point_id",),
                  strict: bool = False, salts: int = 1, equal: Sequence[str] = ()) -> DataFrame:
     """All (left, right) rows within distance r.
@@ -65,18 +65,20 @@ def radius_pairs(left: DataFrame, right: DataFrame, r: float, dims: Sequence[str
     Left columns keep their names; right columns get the prefix ``n_``; ``d2``
     is the squared distance.  The left side is replicated to 3^d cells, so it
     should be the smaller one.  ``equal`` names columns that must match too
-    (class pair, tile).  A hot cell of the right side is spread over ``salts``
+    (class pair, tile); ``r`` may name one of them when every group has its own
+    radius.  A hot cell of the right side is spread over ``salts``
     sub-keys; beyond that, adaptive execution splits the skewed partition.
     """
     nd = len(dims)
     keys = [f"_c{i}" for i in range(nd)]
+    size = F.col(r) if isinstance(r, str) else F.lit(float(r))
     lsel = list(dict.fromkeys([*left_cols, *dims, *equal]))
     rsel = list(dict.fromkeys([*right_cols, *dims]))
-    lft = left.select(*lsel, *[c.alias(f"_b{i}") for i, c in enumerate(_cell_cols(dims, r))],
+    lft = left.select(*lsel, *[c.alias(f"_b{i}") for i, c in enumerate(_cell_cols(dims, size))],
                       F.explode(_offsets(nd)).alias("_o"))
     lft = lft.select(*lsel, *[(F.col(f"_b{i}") + F.col(f"_o.o{i}")).alias(k) for i, k in enumerate(keys)])
     rgt = right.select(*[F.col(c).alias(f"n_{c}") for c in rsel], *[F.col(c).alias(f"_e_{c}") for c in equal],
-                       *[c.alias(k) for k, c in zip(keys, _cell_cols(dims, r))])
+                       *[c.alias(k) for k, c in zip(keys, _cell_cols(dims, size))])
     on = list(keys)
     if salts > 1:
         lft = lft.withColumn("_s", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
@@ -89,9 +91,8 @@ def radius_pairs(left: DataFrame, right: DataFrame, r: float, dims: Sequence[str
     for c in equal:
         cond = cond & (lft[c] == rgt[f"_e_{c}"])
     d2 = distance2(dims, [f"n_{d}" for d in dims])
-    limit = F.lit(float(r) * float(r))
-    out = lft.join(rgt, cond).withColumn("d2", d2)
-    out = out.where(F.col("d2") < limit) if strict else out.where(F.col("d2") <= limit)
+    limit = lft[r] * lft[r] if isinstance(r, str) else F.lit(float(r) * float(r))
+    out = lft.join(rgt, cond & ((d2 < limit) if strict else (d2 <= limit))).withColumn("d2", d2)
     return out.select(*lsel, *[f"n_{c}" for c in rsel], "d2")
 
 

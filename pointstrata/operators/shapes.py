@@ -169,12 +169,17 @@ def hulls(points: DataFrame, key: str) -> DataFrame:
     return p.groupBy(key).applyInPandas(final, f"{key} {kt}, seq int, x double, y double")
 
 
+def _first_two(axis: str) -> Column:
+    """First two vertices of a ring, in order."""
+    return F.transform(F.array_sort(F.collect_list(F.when(F.col("seq") < 2, F.struct("seq", axis)))), lambda s: s[axis])
+
+
 def polygon_measures(vertices: DataFrame, key: str) -> DataFrame:
     """Shoelace area, perimeter, vertex centroid, vertex count, rectangle test and orientation."""
     w = Window.partitionBy(key).orderBy("seq")  # hull vertices only
     nxt = lambda a, k: F.coalesce(F.lead(a, k).over(w), F.element_at(F.col(f"_f{a}"), k - (F.col("n_vertices") - F.col("seq") - 1)))
     head = vertices.groupBy(key).agg(F.count(F.lit(1)).cast("int").alias("n_vertices"),
-                                     *[F.transform(F.array_sort(F.collect_list(F.when(F.col("seq") < 2, F.struct("seq", a)))), lambda s, a=a: s[a]).alias(f"_f{a}") for a in "xy"])
+                                     *[_first_two(a).alias(f"_f{a}") for a in "xy"])
     v = vertices.join(head, key)
     v = v.withColumns({"x1": nxt("x", 1), "y1": nxt("y", 1), "x2": nxt("x", 2), "y2": nxt("y", 2)})
     ex, ey = F.col("x1") - F.col("x"), F.col("y1") - F.col("y")
