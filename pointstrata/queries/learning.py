@@ -177,7 +177,12 @@ add("D02_L02_error_clusters", "cluster:i size:i center_x:d dominant_true_class:i
     "SELECT cluster, sum(k) AS size, sum(sx) / sum(k) AS center_x, arg_max(y_true, k * 1000 - y_true) AS dominant_true_class, 1 AS dominant_pred_class FROM (SELECT cluster, y_true, count(*) AS k, sum(x) AS sx FROM badc GROUP BY 1, 2) GROUP BY 1", "badc")
 
 # ---- streaming ------------------------------------------------------------
-_chunked = lambda p: p.withColumn("chunk_id", F.floor(F.col("chunk_id") / 24).cast("long"))
+def _chunked(p: DataFrame) -> DataFrame:
+    """Three chunks, each a run of whole blocks."""
+    blocks = p.agg(F.max("chunk_id")).first()[0] + 1
+    return p.withColumn("chunk_id", F.floor(F.col("chunk_id") * 3 / F.lit(blocks)).cast("long"))
+
+
 
 
 def _arrivals(p: DataFrame) -> tuple[str, str, str]:
@@ -195,7 +200,7 @@ def _stream_classify(p: DataFrame, resume: int = 0) -> DataFrame:
 
 def chunk_slice() -> None:
     """The slice with every chunk as its own cloud (own extent, own intensity maximum)."""
-    cte("k_scene", "SELECT s.* EXCLUDE (chunk_id, intensity), chunk_id // 24 AS chunk_id, intensity / max(intensity) OVER (PARTITION BY chunk_id // 24) AS intensity FROM scene s", "scene")
+    cte("k_scene", "SELECT s.* EXCLUDE (chunk_id, intensity), chunk_id * 3 // nb AS chunk_id, intensity / max(intensity) OVER (PARTITION BY chunk_id * 3 // nb) AS intensity FROM scene s, (SELECT max(chunk_id) + 1 AS nb FROM scene)", "scene")
     cte("k_ext", "SELECT chunk_id, min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1 FROM k_scene GROUP BY 1", "k_scene")
     cte("k_idx", "SELECT s.*, CAST(floor(x - x0) AS BIGINT) AS ix, CAST(floor(y - y0) AS BIGINT) AS iy, least(CAST(floor((x - x0) / 0.5e0) AS BIGINT), CAST(ceil((x1 - x0) / 0.5e0) AS BIGINT) - 1) AS cx, "
         "least(CAST(floor((y - y0) / 0.5e0) AS BIGINT), CAST(ceil((y1 - y0) / 0.5e0) AS BIGINT) - 1) AS cy FROM k_scene s JOIN k_ext USING (chunk_id)", "k_scene", "k_ext")
