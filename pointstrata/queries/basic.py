@@ -4,17 +4,15 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import classes, colour
 from ..functions import height as H
-from ..operators import active, cells, evaluation, features, findings, ground, landcover, lod, noise, railway, raster, rules, sampling, shapes, smoothing
-from ..operators.neighbours import XYZ
+from ..operators import active, cells, evaluation, features, findings, ground, landcover, learning, lod, noise, railway, raster, rules, sampling, shapes, smoothing
 from ..plans import classify as plan
 from ..sources import las, points as pts, reports
 from ..sources.scene import predictions
-from .registry import MASKS, add, cte, hash_sql, names_sql, with_ctes
+from .registry import MASKS, add, cte, hash_sql, names_sql
 
 REPORT = names_sql(classes.REPORT_NAMES, "classification", "'Klasa_' || classification")
 PT = "point_id:i x:d y:d z:d classification:i"
@@ -49,19 +47,19 @@ def _tiles_written(p):
     folder = tempfile.mkdtemp(prefix="spark-")
     ext = cells.extent(p)
     pts.write_tiles(sampling.tile_key(p, ext, 50.0), folder)
-    return p.sparkSession.read.parquet(folder).where("tile_id in (0, 1)").groupBy("tile_id", "classification").agg(F.count("*").alias("n"))
+    return p.sparkSession.read.parquet(folder).groupBy("tile_id", "classification").agg(F.count("*").alias("n"))
 
 
 cte("tiled", "SELECT scene.*, least(CAST(floor((x - x0) / 50) AS BIGINT), CAST(ceil((x1 - x0) / 50) AS BIGINT) - 1) * CAST(ceil((y1 - y0) / 50) AS BIGINT) + "
     "least(CAST(floor((y - y0) / 50) AS BIGINT), CAST(ceil((y1 - y0) / 50) AS BIGINT) - 1) AS tile_id FROM scene, ext", "scene", "ext")
 add("S07_write_by_tile", "tile_id:i classification:i n:i", _tiles_written,
-    "SELECT tile_id, classification, count(*) AS n FROM tiled WHERE tile_id IN (0, 1) GROUP BY ALL", "tiled")
+    "SELECT tile_id, classification, count(*) AS n FROM tiled GROUP BY ALL", "tiled")
 _new = lambda p: p.select("point_id", F.when(F.col("z") > 105, 6).otherwise(F.col("classification")).alias("new_class"))
 add("S08_replace_classes", PT, lambda p: pts.replace_classes(p, _new(p)),
     "SELECT point_id, x, y, z, CASE WHEN z > 105 THEN 6 ELSE classification END AS classification FROM scene", "scene")
 add("S09_scatter_selected_squares", "classification:i n:i",
-    lambda p: pts.scatter_classes(p, _new(p).where("point_id < 5000")).groupBy("classification").agg(F.count("*").alias("n")),
-    "SELECT CASE WHEN point_id >= 5000 THEN 1 WHEN z > 105 THEN 6 ELSE classification END AS classification, count(*) AS n FROM scene GROUP BY 1", "scene")
+    lambda p: pts.scatter_classes(p, p.where("x < 40").select("point_id", F.when(F.col("z") > 105, 6).otherwise(F.col("classification")).alias("new_class"))).groupBy("classification").agg(F.count("*").alias("n")),
+    "SELECT CASE WHEN x >= 40 THEN 1 WHEN z > 105 THEN 6 ELSE classification END AS classification, count(*) AS n FROM scene GROUP BY 1", "scene")
 cte("hist", "SELECT classification AS class_id, count(*) AS count, count(*) * 100e0 / (SELECT n FROM ext) AS percentage FROM scene GROUP BY 1", "scene", "ext")
 add("S10_class_report_text", "pos:i line:s", reports.class_report,
     "SELECT class_id + 100 AS pos, '  [' || lpad(CAST(class_id AS VARCHAR), 2, ' ') || '] ' || rpad("
@@ -231,7 +229,7 @@ add("W07_building_candidates", "classification:i n:i", lambda p: raster.height_a
     "SELECT classification, count(*) AS n FROM feat WHERE hag BETWEEN 2.5e0 AND 50 AND NOT ((green - red) / (green + red + 1e-8) > 0.12e0 OR (green > red AND green > blue AND green > 0.3e0) OR sat > 0.15e0) GROUP BY 1", "feat")
 add("W08_roof_points", "chunk_id:i n:i", lambda p: shapes.roof_points(p.where("classification = 6"), "chunk_id").groupBy("chunk_id").agg(F.count("*").alias("n")),
     "SELECT chunk_id, count(*) AS n FROM (SELECT *, max(z) OVER w - 0.3e0 * (max(z) OVER w - min(z) OVER w) AS t FROM scene WHERE classification = 6 WINDOW w AS (PARTITION BY chunk_id)) WHERE z >= t GROUP BY 1", "scene")
-add("W09_impute_missing", "point_id:i intensity:d", lambda p: __import__("pointstrata.operators.learning", fromlist=["impute"]).impute(
+add("W09_impute_missing", "point_id:i intensity:d", lambda p: learning.impute(
     p.select("point_id", F.when(F.col("point_id") % 5 != 0, F.col("intensity")).alias("intensity")), ["intensity"]),
     "SELECT point_id, CASE WHEN point_id % 5 <> 0 THEN intensity ELSE (SELECT avg(intensity) FROM scene WHERE point_id % 5 <> 0) END AS intensity FROM scene", "scene")
 add("W10_minimum_group_size", "classification:i n:i", lambda p: p.groupBy("classification").agg(F.count("*").alias("n")).where("n >= 2000"),
@@ -324,7 +322,7 @@ add("N10_sequential_ids", "square_id:i row:i col:i point_count:i", lambda p: sam
     "SELECT row * nc + col + 1 AS square_id, row, col, coalesce(k, 0) AS point_count FROM sqgrid LEFT JOIN (SELECT least(CAST(floor((y - y0) / s) AS BIGINT), nr - 1) AS row, least(CAST(floor((x - x0) / s) AS BIGINT), nc - 1) AS col, count(*) AS k FROM scene, sqsize GROUP BY 1, 2) USING (row, col)", "scene", "sqgrid", "sqsize")
 cte("sqsize", "SELECT *, CAST(ceil((x1 - x0) / s) AS BIGINT) AS nc, CAST(ceil((y1 - y0) / s) AS BIGINT) AS nr FROM (SELECT *, CASE WHEN sq < 10 THEN greatest(2, round_even(sq, 0)) WHEN sq < 50 THEN round_even(sq / 5, 0) * 5 ELSE round_even(sq / 10, 0) * 10 END AS s FROM (SELECT *, sqrt(3000e0 / (n / ((x1 - x0) * (y1 - y0)))) AS sq FROM ext))", "ext")
 cte("sqgrid", "SELECT row, col, nc FROM sqsize, generate_series(0, nr - 1) AS a(row), generate_series(0, nc - 1) AS b(col)", "sqsize")
-add("N11_class_cap", "classification:i n:i", lambda p: __import__("pointstrata.operators.learning", fromlist=["x"]).balanced_sample(p, 3000, 300).groupBy("classification").agg(F.count("*").alias("n")),
+add("N11_class_cap", "classification:i n:i", lambda p: learning.balanced_sample(p, 3000, 300).groupBy("classification").agg(F.count("*").alias("n")),
     "SELECT classification, least(count(*), 3000) AS n FROM scene GROUP BY 1 HAVING count(*) >= 300", "scene")
 add("L01_L06_top_and_lexicographic", "point_id:i z:d", lambda p: p.orderBy(F.desc("z"), "x", "y", "point_id").limit(50).select("point_id", "z"),
     "SELECT point_id, z FROM scene ORDER BY z DESC, x, y, point_id LIMIT 50", "scene")

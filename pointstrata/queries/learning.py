@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -53,12 +54,12 @@ add("B05_isolated_points", "point_id:i new_class:i", lambda p: smoothing.drop_is
     "SELECT s.point_id, coalesce(m, 20) AS new_class FROM scene s LEFT JOIN (SELECT point_id, arg_max(c, k * 1000 - c) AS m FROM isov WHERE point_id IN (SELECT point_id FROM iso WHERE same < 18) GROUP BY 1) USING (point_id) WHERE s.classification = 20", "scene", "iso", "isov")
 
 
-def _pipeline(p: DataFrame) -> DataFrame:
+def _post_processing(p: DataFrame) -> DataFrame:
     _, ch = smoothing.PostProcessing().add_smoothing(15).add_outlier_removal(20, 18).process(p)
     return p.sparkSession.createDataFrame([(i, n, c) for i, (n, c) in enumerate(ch.items())], "step int, name string, changed long")
 
 
-add("B06_X02_step_pipeline", "step:i name:s changed:i", _pipeline)
+add("B06_X02_post_processing_steps", "step:i name:s changed:i", _post_processing)
 
 # ---- models ---------------------------------------------------------------
 _FEAT = ["z", "intensity", "red", "green", "blue"]
@@ -131,7 +132,7 @@ add("C04_improvement", "corrected_points:i wrong_predictions_fixed:i potential_a
 add("C05_U05_retrain_set", "n:i", lambda p: active.retrain_set(p, _cor(p)).agg(F.count("*").alias("n")), "SELECT (SELECT n FROM ext) + 5 * (SELECT count(*) FROM corr) AS n", "ext", "corr")
 add("C06_vote_entropy", "score:d n:i", lambda p: learning.vote_entropy(predictions(p), 100).groupBy(F.round("disagreement", 6).alias("score")).agg(F.count("*").alias("n")),
     "SELECT round(h, 6) AS score, count(*) AS n FROM (SELECT CASE WHEN p1 = p2 THEN -ln(1 + 1e-10) ELSE -ln(0.5e0 + 1e-10) END AS h FROM two ORDER BY 1 DESC LIMIT 100) GROUP BY 1", "two")
-add("C06_committee", "n:i", lambda p: (lambda s: learning.vote_entropy(__import__("functools").reduce(DataFrame.unionByName, [learning.predict(m, s, f"m{i}") for i, m in enumerate(
+add("C06_committee", "n:i", lambda p: (lambda s: learning.vote_entropy(reduce(DataFrame.unionByName, [learning.predict(m, s, f"m{i}") for i, m in enumerate(
     learning.committee(s, _FEAT, 3, base_trees=3, tree_step=1, base_depth=4, depth_step=1))]), 50).agg(F.count("*").alias("n")))(learning.balanced_sample(p, 300, 100)), "SELECT 50 AS n")
 
 

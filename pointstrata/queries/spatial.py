@@ -2,15 +2,12 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import classes
 from ..operators import cells, evaluation, features, findings, ground, landcover, lod, noise, planes, railway, raster, rules, sampling, shapes
 from ..operators import neighbours as nb
-from ..operators.cluster import dbscan
 from ..plans import classify as plan
 from ..plans import inventory
 from ..session import cut

@@ -14,11 +14,13 @@ from __future__ import annotations
 import glob
 import os
 import struct
+import tempfile
 import uuid
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 
 SCHEMA = ("file_id string, chunk_id bigint, point_id bigint, x double, y double, z double, red double, green double, "
@@ -124,26 +126,28 @@ class LasWriter(DataSourceArrowWriter):
         self.scale = float(options.get("scale", 0.001))
 
     def write(self, batches):
-        t = pa.Table.from_batches(list(batches))  # one partition; the caller chooses their number
-        if t.num_rows == 0:
+        # first pass: spool the partition to a task-local file and learn what the header needs
+        spool = tempfile.TemporaryFile()
+        sink, rows, top, rgb = None, 0, 0, True
+        low, high = np.full(3, np.inf), np.full(3, -np.inf)
+        for b in batches:
+            if sink is None:
+                sink = pa.ipc.new_stream(spool, b.schema)
+                rgb = "red" in b.schema.names
+            sink.write_batch(b)
+            rows += b.num_rows
+            if b.num_rows:
+                top = max(top, pc.max(b.column("classification")).as_py())
+                rgb = rgb and b.column("red").null_count == 0
+                xyz = np.column_stack([b.column(a).to_numpy() for a in "xyz"])
+                low, high = np.minimum(low, xyz.min(0)), np.maximum(high, xyz.max(0))
+        if rows == 0:
             return Written("", 0)
-        col = {n: t.column(n) for n in t.column_names}
-        cls = col["classification"].to_numpy().astype(np.int64)
-        wide = cls.max() > 31 if self.wide == "auto" else self.wide == "true"
-        rgb = "red" in col and col["red"].null_count == 0
+        sink.close()
+        spool.seek(0)
+        wide = top > 31 if self.wide == "auto" else self.wide == "true"
         fmt = (7 if rgb else 6) if wide else (3 if rgb else 1)
         length = BASE_LENGTH[fmt]
-        xyz = np.column_stack([col[a].to_numpy() for a in "xyz"])
-        low, high = xyz.min(0), xyz.max(0)
-        rec = np.zeros(len(cls), _record(fmt, length))
-        for i, a in enumerate("xyz"):
-            rec[a] = np.rint((xyz[:, i] - low[i]) / self.scale)
-        if "intensity" in col:
-            rec["intensity"] = (np.nan_to_num(col["intensity"].to_numpy()) * 65535).astype(np.uint16)
-        rec["cls"] = cls
-        if rgb:
-            for c in ("red", "green", "blue"):
-                rec[c] = (col[c].to_numpy() * 65535).astype(np.uint16)
         os.makedirs(self.folder, exist_ok=True)
         path = os.path.join(self.folder, f"part-{uuid.uuid4().hex}.las.tmp")
         size = 375 if wide else 227
@@ -151,15 +155,28 @@ class LasWriter(DataSourceArrowWriter):
         h[0:4] = b"LASF"
         h[24], h[25] = 1, 4 if wide else 2
         struct.pack_into("<HII", h, 94, size, size, 0)
-        struct.pack_into("<BHI", h, 104, fmt, length, 0 if wide else len(rec))
+        struct.pack_into("<BHI", h, 104, fmt, length, 0 if wide else rows)
         struct.pack_into("<3d3d", h, 131, *([self.scale] * 3), *low)
         struct.pack_into("<6d", h, 179, *[v for i in range(3) for v in (high[i], low[i])])
         if wide:
-            struct.pack_into("<Q", h, 247, len(rec))
+            struct.pack_into("<Q", h, 247, rows)
         with open(path, "wb") as f:
             f.write(bytes(h))
-            f.write(rec.tobytes())
-        return Written(path, len(rec))
+            for b in pa.ipc.open_stream(spool):
+                f.write(self._encode(b, fmt, length, low, rgb).tobytes())
+        return Written(path, rows)
+
+    def _encode(self, b: pa.RecordBatch, fmt: int, length: int, low: np.ndarray, rgb: bool) -> np.ndarray:
+        rec = np.zeros(b.num_rows, _record(fmt, length))
+        for i, a in enumerate("xyz"):
+            rec[a] = np.rint((b.column(a).to_numpy() - low[i]) / self.scale)
+        if "intensity" in b.schema.names:
+            rec["intensity"] = (np.nan_to_num(b.column("intensity").to_numpy(zero_copy_only=False)) * 65535).astype(np.uint16)
+        rec["cls"] = b.column("classification").to_numpy()
+        if rgb:
+            for c in ("red", "green", "blue"):
+                rec[c] = (b.column(c).to_numpy(zero_copy_only=False) * 65535).astype(np.uint16)
+        return rec
 
     def commit(self, messages):
         for m in messages:
