@@ -227,7 +227,7 @@ def nearest(queries: DataFrame, data: DataFrame, k: int, dims: Sequence[str] = X
         return nq.join(ndt, tkeys, "left").na.fill(0, ["nd_"])
 
     def tile_side(mg: float) -> float:
-        return 4.0 * mg
+        return 5.0 * mg
 
     def fullest(dfq, dfd, mg) -> int:
         r = load(dfq, dfd, tile_side(mg), mg).agg(F.max(F.greatest("nq", "nd_"))).first()[0]
