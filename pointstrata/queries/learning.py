@@ -234,4 +234,16 @@ def _corrections_stream(p: DataFrame) -> DataFrame:
 
 
 add("T04_correction_stream", "point_id:i new_label:i n_corrections:i", _corrections_stream, "SELECT point_id, 4 AS new_label, 2 AS n_corrections FROM corr", "corr")
-add("T00c_presets", "preset:s buildings:b fast_noise:b noise_voxel:d noise_k:i hag_cell:d", lambda p: plan.presets(p.sparkSession))
+
+
+def _preset_choices(p: DataFrame) -> DataFrame:
+    """Presets with the noise method each one takes for this cloud."""
+    n = p.count()
+    rows = plan.presets(p.sparkSession)
+    large = F.when(F.col("preset") == "standard", 5_000_000).otherwise(10_000_000)
+    return rows.withColumns({"n_points": F.lit(n), "noise_method": F.when(F.col("fast_noise") & (F.lit(n) > large), "voxel_sor").otherwise("sor")})
+
+
+add("T00c_presets", "preset:s buildings:b fast_noise:b noise_voxel:d noise_k:i hag_cell:d n_points:i noise_method:s", _preset_choices,
+    "SELECT v.*, n AS n_points, CASE WHEN fast_noise AND n > lim THEN 'voxel_sor' ELSE 'sor' END AS noise_method FROM (VALUES ('fast', false, true, 1e0, 15, 2e0, 10000000), ('standard', true, true, 0.5e0, 30, 1e0, 5000000), "
+    "('high', true, false, 0.5e0, 50, 0.5e0, 10000000)) AS v(preset, buildings, fast_noise, noise_voxel, noise_k, hag_cell, lim), ext", "ext")
