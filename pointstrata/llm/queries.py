@@ -6,18 +6,33 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import best_two_fit
-from .common import table
+from . import best_two_fit, pu_toxicity, simhash
+from .common import fold, table
 
 BYTE_BPE, WORD_BPE = "byte_bpe_50k.json", "word_bpe_49k.json"
 
 
+def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op7_pu_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held = fold(3, 1)
+    model = pu_toxicity.train(docs, table(spark, sf_dir, "labels"), ~held)
+    scored = pu_toxicity.score(docs, model)
+    return scored.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= pu_toxicity.OPERATE).cast("int").alias("predicted"))
+
+
 def op8_best_two_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best_two_fit.best_two_fit(table(spark, sf_dir, "documents"), public_tokenizers.path(WORD_BPE))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_simhash_near_dedup": op1_simhash_near_dedup,
+    "op7_pu_toxicity": op7_pu_toxicity,
     "op8_best_two_fit_packing": op8_best_two_fit_packing,
 }
 ORACLE_SQL: dict[str, str] = {}
