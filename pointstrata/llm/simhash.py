@@ -50,7 +50,7 @@ def fingerprint(text: bytes, shingle: int = 4) -> int:
     h = np.array([digest(joined[a:b], SEED) for a, b in zip(starts.tolist(), ends.tolist())], dtype="<u8")
     ones = np.zeros(64, np.int64)
     for lo in range(0, len(h), 1 << 16):
-        ones += np.unpackbits(h[lo:lo + (1 << 16)].view(np.uint8), bitorder="little").reshape(-1, 64).sum(axis=0)
+        ones += np.unpackbits(h[lo:lo + (1 << 16)].view(np.uint8), bitorder="little").reshape(-1, 64).sum(axis=0, dtype=np.int64)
     return int(np.packbits(2 * ones > len(h), bitorder="little").view("<u8")[0])
 
 
