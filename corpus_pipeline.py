@@ -9,9 +9,33 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from pointstrata.llm import best_two_fit
-from pointstrata.llm.common import store, table
+from pointstrata.llm import best_two_fit, crf_pii, pu_toxicity, qgram_leaks, simhash
+from pointstrata.llm.common import fold, store, table
+
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+
+
+def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose score stays below the operating point."""
+    model = pu_toxicity.train(docs.select("doc_id", "text"), table(spark, sf_dir, "labels"), ~fold(3, 1))
+    return pu_toxicity.score(docs.select(*COLUMNS), model, "_toxic").where(F.col("_toxic") < pu_toxicity.OPERATE).select(*COLUMNS)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies."""
+    return simhash.keep_one(docs.select(*COLUMNS))
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a benchmark passage."""
+    return qgram_leaks.clean(docs.select(*COLUMNS), table(spark, sf_dir, "benchmark"))
+
+
+def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with personal data replaced by its kind."""
+    return crf_pii.redact(docs.select(*COLUMNS), crf_pii.train(docs))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -20,6 +44,10 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES = [
+    ("toxicity", toxicity),
+    ("simhash_near_dedup", near_dedup),
+    ("benchmark_decontamination", decontamination),
+    ("pii", pii),
     ("best_fit_packing", packing),
 ]
 #: Tokenizers and trained models cannot be stated in SQL; tests/llm compares the stages with brute force.

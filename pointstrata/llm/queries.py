@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import best_two_fit, pu_toxicity, qgram_leaks, simhash
+from . import best_two_fit, crf_pii, pu_toxicity, qgram_leaks, simhash
 from .common import fold, table
 
 BYTE_BPE, WORD_BPE = "byte_bpe_50k.json", "word_bpe_49k.json"
@@ -18,6 +18,11 @@ def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op6_crf_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return crf_pii.scan(docs, crf_pii.train(docs))
+
+
 def op7_pu_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     held = fold(3, 1)
@@ -36,6 +41,7 @@ def op10_qgram_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash_near_dedup": op1_simhash_near_dedup,
+    "op6_crf_pii": op6_crf_pii,
     "op7_pu_toxicity": op7_pu_toxicity,
     "op8_best_two_fit_packing": op8_best_two_fit_packing,
     "op10_qgram_decontamination": op10_qgram_decontamination,
