@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import best_two_fit, crf_pii, pu_toxicity, qgram_leaks, simhash
+from . import best_two_fit, crf_pii, line_frequency, pu_toxicity, qgram_leaks, simhash
 from .common import fold, table
 
 BYTE_BPE, WORD_BPE = "byte_bpe_50k.json", "word_bpe_49k.json"
@@ -35,6 +35,10 @@ def op8_best_two_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best_two_fit.best_two_fit(table(spark, sf_dir, "documents"), public_tokenizers.path(WORD_BPE))
 
 
+def op9_line_frequency_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_frequency.rules(table(spark, sf_dir, "documents"))
+
+
 def op10_qgram_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return qgram_leaks.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -44,6 +48,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_crf_pii": op6_crf_pii,
     "op7_pu_toxicity": op7_pu_toxicity,
     "op8_best_two_fit_packing": op8_best_two_fit_packing,
+    "op9_line_frequency_rules": op9_line_frequency_rules,
     "op10_qgram_decontamination": op10_qgram_decontamination,
 }
 ORACLE_SQL: dict[str, str] = {}
