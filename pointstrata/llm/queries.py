@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import best_two_fit, crf_pii, line_frequency, mil_quality, pu_toxicity, qgram_leaks, simhash
+from . import best_two_fit, crf_pii, huffman_ids, line_frequency, mil_quality, pu_toxicity, qgram_leaks, simhash
 from .common import fold, table
 
 BYTE_BPE, WORD_BPE = "byte_bpe_50k.json", "word_bpe_49k.json"
@@ -26,6 +26,11 @@ def op4_mil_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= mil_quality.OPERATE).cast("int").alias("predicted"))
 
 
+def op5_huffman_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = huffman_ids.huffman_files(table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_BPE), end_id=2)
+    return huffman_ids.read(spark, path, with_ids=False)
+
+
 def op6_crf_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return crf_pii.scan(docs, crf_pii.train(docs))
@@ -54,6 +59,7 @@ def op10_qgram_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash_near_dedup": op1_simhash_near_dedup,
     "op4_mil_quality": op4_mil_quality,
+    "op5_huffman_ids": op5_huffman_ids,
     "op6_crf_pii": op6_crf_pii,
     "op7_pu_toxicity": op7_pu_toxicity,
     "op8_best_two_fit_packing": op8_best_two_fit_packing,
