@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import best_two_fit, crf_pii, huffman_ids, line_frequency, mil_quality, ppm, pu_toxicity, qgram_leaks, simhash
+from . import best_two_fit, crf_pii, huffman_ids, license_scan, line_frequency, mil_quality, ppm, pu_toxicity, qgram_leaks, simhash
 from .common import fold, table
 
 BYTE_BPE, WORD_BPE = "byte_bpe_50k.json", "word_bpe_49k.json"
@@ -18,6 +18,10 @@ def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(table(spark, sf_dir, "documents"))
+
+
 def op3_ppm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = ppm.scores(table(spark, sf_dir, "documents"), ~fold(7, 2))
     return scored.select("doc_id", (~F.col("train")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
@@ -63,6 +67,7 @@ def op10_qgram_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash_near_dedup": op1_simhash_near_dedup,
+    "op2_license_scan": op2_license_scan,
     "op3_ppm_scores": op3_ppm_scores,
     "op4_mil_quality": op4_mil_quality,
     "op5_huffman_ids": op5_huffman_ids,
