@@ -89,7 +89,7 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 # ---- words and features ----------------------------------------------------
 
-_WORD = re.compile(r"[^ \n\t\r\x0b\x0c]+")
+_WORD = re.compile(r"\S+")  # the words of str.split
 _MARKS = re.compile(r"[^\w]|_")
 _EDGE = ".,;:!?\"'"
 _GLUE = {"at", "dot", "punkt", "arroba", "punto", "point", "arobase", "(at)", "[at]", "(dot)", "[dot]", "{at}", "{dot}"}
@@ -374,15 +374,16 @@ def train(docs: DataFrame, lines: int = 600) -> Field:
 
 def added(field: Field, texts: list[str], known: list[list[tuple[int, int, int]]]) -> list[list[tuple[int, int, int]]]:
     """Spans of the field, per text, that touch no known span."""
-    at, words, owner = [], [], []
+    words, owner, begin, lines = [], [], [], []
     for i, text in enumerate(texts):
         pos = 0
         for line in text.split("\n"):
-            spans = [m.span() for m in _WORD.finditer(line)] if line else []
-            if spans:
-                words.append([line[a:b] for a, b in spans])
-                at.append([(a + pos, b + pos) for a, b in spans])
+            found = line.split()
+            if found:
+                words.append(found)
+                lines.append(line)
                 owner.append(i)
+                begin.append(pos)
             pos += len(line) + 1
     out: list[list[tuple[int, int, int]]] = [[] for _ in texts]
     if not words:
@@ -395,10 +396,13 @@ def added(field: Field, texts: list[str], known: list[list[tuple[int, int, int]]
     line = np.searchsorted(offsets, hot, side="right") - 1
     new = np.concatenate(([True], (np.diff(hot) != 1) | (np.diff(line) != 0) | (np.diff(tags[hot]) != 0)))
     runs = np.flatnonzero(new)
+    places: dict[int, list[tuple[int, int]]] = {}
     for a, b in zip(runs, np.append(runs[1:], len(hot))):
         ln, kind = line[a], int(tags[hot[a]]) - 1
         first, last = int(hot[a] - offsets[ln]), int(hot[b - 1] - offsets[ln])
-        text, start, end = texts[owner[ln]], at[ln][first][0], at[ln][last][1]
+        if ln not in places:
+            places[ln] = [m.span() for m in _WORD.finditer(lines[ln])]
+        text, start, end = texts[owner[ln]], begin[ln] + places[ln][first][0], begin[ln] + places[ln][last][1]
         while end > start and text[end - 1] in ".,;:!?\"'":
             end -= 1
         while end > start and text[start] in "\"'<([{,;:" and not (kind == 3 and text[start] == "("):

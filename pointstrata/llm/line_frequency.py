@@ -71,7 +71,7 @@ def line_key(line: Column) -> Column:
 
 
 def rules(docs: DataFrame, host: str = "source", line_limit: int = LINE_LIMIT, depleted: float = DEPLETED) -> DataFrame:
-    """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, n_removed_words, kept."""
+    """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, n_removed_words."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(host).cast("string").alias("_host"),
                        F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     rows = rows.withColumn("_text", F.xxhash64("text"))
@@ -90,4 +90,4 @@ def rules(docs: DataFrame, host: str = "source", line_limit: int = LINE_LIMIT, d
     out = df.join(lost, "_row", "left").withColumn("n_removed_words", F.coalesce("n_removed_words", F.lit(0)))
     keep = ~failed & (F.col("n_removed_words") <= depleted * F.col("n_words"))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"),
-                      "n_removed_words", keep.alias("kept"))
+                      keep.alias("kept"), "n_removed_words")

@@ -77,4 +77,35 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_line_frequency_rules": op9_line_frequency_rules,
     "op10_qgram_decontamination": op10_qgram_decontamination,
 }
-ORACLE_SQL: dict[str, str] = {}
+_WS = "[ \\t\\n\\x0B\\f\\r]+"
+_TRIM = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+
+#: Windows and lines are compared as texts here, by hash in the operator.
+LINE_FREQUENCY_SQL = f"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, source, coalesce(text, '') AS text FROM documents),
+w AS (SELECT *, list_filter(regexp_split_to_array(text, '{_WS}'), lambda x: x <> '') AS w FROM d),
+spans AS (SELECT rid, i, array_to_string(w[i:i + {line_frequency.WINDOW - 1}], ' ') AS span
+          FROM (SELECT rid, w, unnest(range(1, len(w) - {line_frequency.WINDOW - 2})) AS i FROM w)),
+twice AS (SELECT rid, i FROM (SELECT rid, i, count(*) OVER (PARTITION BY rid, span) AS n FROM spans) WHERE n > 1),
+repeats AS (SELECT rid, count(DISTINCT p) AS n_repeat_words
+            FROM (SELECT rid, unnest(range(i, i + {line_frequency.WINDOW})) AS p FROM twice) GROUP BY rid),
+line AS (SELECT rid, source, text, trim(line, {_TRIM}) AS line, line AS raw FROM (SELECT rid, source, text, unnest(string_split(text, chr(10))) AS line FROM d)),
+lines AS (SELECT *, regexp_replace(regexp_replace(lower(line), '[0-9]', '0', 'g'), '{_WS}', ' ', 'g') AS k,
+          len(regexp_split_to_array(line, '{_WS}')) AS n FROM line WHERE line <> ''),
+dups AS (SELECT rid, count(*) - count(DISTINCT raw) AS n_dup_lines FROM lines GROUP BY rid),
+common AS (SELECT source, k FROM lines GROUP BY source, k HAVING count(DISTINCT text) > {line_frequency.LINE_LIMIT}),
+lost AS (SELECT rid, sum(n) AS n_removed_words FROM lines SEMI JOIN common ON lines.k = common.k AND lines.source IS NOT DISTINCT FROM common.source GROUP BY rid),
+counts AS (SELECT doc_id, len(w) AS n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) AS word_chars,
+           length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS n_symbols, coalesce(n_dup_lines, 0) AS n_dup_lines,
+           coalesce(n_repeat_words, 0) AS n_repeat_words, coalesce(n_removed_words, 0) AS n_removed_words
+           FROM w LEFT JOIN repeats USING (rid) LEFT JOIN dups USING (rid) LEFT JOIN lost USING (rid)),
+judged AS (SELECT *, n_words < {line_frequency.MIN_WORDS} OR 100 * n_repeat_words > {line_frequency.MAX_REPEAT} * n_words AS base_failed FROM counts)
+SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols,
+       CAST(n_dup_lines AS BIGINT) AS n_dup_lines, CAST(n_repeat_words AS BIGINT) AS n_repeat_words, base_failed,
+       NOT base_failed AND n_removed_words <= {line_frequency.DEPLETED}e0 * n_words AS kept, CAST(n_removed_words AS BIGINT) AS n_removed_words
+FROM judged
+"""
+
+ORACLE_SQL: dict[str, str] = {
+    "op9_line_frequency_rules": LINE_FREQUENCY_SQL,
+}
