@@ -445,14 +445,14 @@ def scan(docs: DataFrame, field: Field) -> DataFrame:
 
 
 def redact(docs: DataFrame, field: Field) -> DataFrame:
-    """The rows of ``docs`` with every span replaced by its kind in brackets; ``n_chars`` follows where it exists."""
+    """The rows of ``docs`` with every span replaced by its kind in brackets; ``n_chars``, where it exists, follows changed texts."""
     follows = "n_chars" in docs.columns
 
     def run(batches):
         for batch in batches:
             texts = texts_of(batch)
             null = unchunked(batch.column(batch.schema.get_field_index("text"))).is_null().to_numpy(zero_copy_only=False)
-            out = []
+            out, changed = [], []
             for lo, hi in slices(texts):
                 part = texts.slice(lo, hi - lo).to_pylist()
                 for text, b, m in zip(part, *spans_of(field, part)):
@@ -462,9 +462,11 @@ def redact(docs: DataFrame, field: Field) -> DataFrame:
                             pieces += [text[at:s], f"[{KINDS[k].upper()}]"]
                         at = max(at, e)
                     out.append("".join(pieces) + text[at:] if pieces else text)
+                    changed.append(bool(pieces))
             new = {"text": pa.array([None if x else t for x, t in zip(null, out)], pa.string())}
             if follows:
-                new["n_chars"] = pa.array([None if x else len(t) for x, t in zip(null, out)], pa.int64())
+                old = unchunked(batch.column(batch.schema.get_field_index("n_chars"))).to_pylist()
+                new["n_chars"] = pa.array([len(t) if c else x for c, t, x in zip(changed, out, old)], pa.int64())
             yield with_columns(batch, **new)
 
     kinds = dict(docs.dtypes) | ({"n_chars": "bigint"} if follows else {}) | {"text": "string"}

@@ -115,6 +115,9 @@ def regions(text: list, template: list) -> list[tuple[int, int, int]]:
             if len(found) >= need and len(found) > best[2]:
                 best = (at + found[0][0], at + found[-1][0], len(found))
         if best[2]:
+            again = patience(text[best[0]:best[0] + reach], template)  # now with the whole template in view
+            if len(again) >= best[2]:
+                best = (best[0] + again[0][0], best[0] + again[-1][0], len(again))
             out.append(best)
             lo = best[1] + 1
         else:

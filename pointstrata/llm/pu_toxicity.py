@@ -31,6 +31,7 @@ from .common import ragged, slices, sums, texts_of, with_columns, words_of
 BUCKETS = 1 << 16
 POSITIVES, UNLABELLED = 2500, 5000
 TOP = 4
+STEPS = 500  # of the fit at least
 #: The score at which a text counts as toxic.
 OPERATE = 0.7
 
@@ -87,7 +88,7 @@ def fit(positive: list[str], unlabelled: list[str], prior: float, epochs: int =
     step, size = 0, int(np.clip(len(unlabelled) // 24, 32, 128))
     fit_p = np.setdiff1d(np.arange(np_), held_p if np_ >= 200 else [])
     fit_u = np.setdiff1d(np.arange(np_, total), held_u + np_)
-    for _ in range(epochs):
+    for _ in range(max(epochs, -(-STEPS * size // max(1, len(fit_u))))):
         p_order, u_order = rng.permutation(fit_p), rng.permutation(fit_u)
         for lo in range(0, len(u_order), size):
             u = u_order[lo:lo + size]
@@ -129,8 +130,9 @@ def fit(positive: list[str], unlabelled: list[str], prior: float, epochs: int =
             extra[:2] = np.maximum(extra[:2], 0.05)
     raw = Model(weights, extra[:2].copy(), float(extra[2]))
     z = raw.logits(codes, features, offsets)
-    slope, shift = _calibrate(z[held_p], z[held_u + np_], prior)
-    at = _operating_point(slope * z[held_p] + shift, slope * z[np_:] + shift, prior)
+    z_p, z_u = (z[held_p], z[held_u + np_]) if np_ >= 200 else (z[:np_], z[np_:])  # with few positives none can be held out
+    slope, shift = _calibrate(z_p, z_u, prior)
+    at = _operating_point(slope * z_p + shift, slope * z[np_:] + shift, prior)
     shift += np.log(OPERATE / (1 - OPERATE)) - at
     return Model(weights, raw.mix * slope, raw.bias * slope + shift)
 
@@ -139,7 +141,7 @@ def _operating_point(z_p: np.ndarray, z_u: np.ndarray, prior: float) -> float:
     """The logit with the best F1 as far as positives and unlabelled texts tell: recall from the former,
     the share called toxic from the latter.  Among equally good ones rather the strict ones."""
     default = float(np.log(OPERATE / (1 - OPERATE)))
-    if len(z_p) < 20 or len(z_u) < 20:
+    if len(z_p) < 10 or len(z_u) < 10:
         return default
     cuts = np.unique(np.concatenate((z_p, z_u)))
     recall = 1 - np.searchsorted(np.sort(z_p), cuts) / len(z_p)
@@ -152,18 +154,18 @@ def _operating_point(z_p: np.ndarray, z_u: np.ndarray, prior: float) -> float:
 def _calibrate(z_p: np.ndarray, z_u: np.ndarray, prior: float) -> tuple[float, float]:
     """Slope and shift that make a sigmoid of the logits a posterior, by Newton steps on the same corrected
     risk; with the logistic loss it is prior * mean(-z) over positives plus mean(log(1 + e^z)) over unlabelled."""
-    if len(z_p) < 20 or len(z_u) < 20:
+    if len(z_p) < 10 or len(z_u) < 10:
         return 1.0, 0.0
-    x = np.stack((z_u, np.ones(len(z_u))), axis=1)
     goal, theta = prior * np.array([z_p.mean(), 1.0]), np.array([1.0, 0.0])
 
     def risk(t):
-        return np.logaddexp(0, x @ t).mean() - goal @ t + 1e-3 * (t[0] - 1) ** 2
+        return np.logaddexp(0, z_u * t[0] + t[1]).mean() - (goal * t).sum() + 1e-3 * (t[0] - 1) ** 2
 
     for _ in range(100):
-        s = 1 / (1 + np.exp(-(x @ theta)))
-        g = x.T @ s / len(x) - goal + np.array([2e-3 * (theta[0] - 1), 0])
-        h = (x * (s * (1 - s))[:, None]).T @ x / len(x) + np.diag([2e-3, 1e-9])
+        s = 1 / (1 + np.exp(-(z_u * theta[0] + theta[1])))
+        w = s * (1 - s)
+        g = np.array([(z_u * s).mean() + 2e-3 * (theta[0] - 1), s.mean()]) - goal
+        h = np.array([[(z_u * z_u * w).mean() + 2e-3, (z_u * w).mean()], [(z_u * w).mean(), w.mean() + 1e-9]])
         move = np.linalg.solve(h, g)
         pace = 1.0
         while pace > 1e-6 and risk(theta - pace * move) > risk(theta):
