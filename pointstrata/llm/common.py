@@ -67,11 +67,19 @@ def slices(texts: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int
 
 def words_of(texts: pa.Array, lower: bool = True) -> tuple[np.ndarray, list[bytes], np.ndarray]:
     """White-space separated words: code per word, the distinct words, first word of each text (and the end)."""
-    b = texts.cast(pa.large_binary()).to_pylist()
-    parts = [t.lower().split() for t in b] if lower else [t.split() for t in b]
-    offsets = np.concatenate(([0], np.cumsum([len(p) for p in parts]))).astype(np.int64)
-    flat = pa.array([w for p in parts for w in p], pa.binary()).dictionary_encode()
-    return flat.indices.to_numpy(zero_copy_only=False).astype(np.int64), flat.dictionary.to_pylist(), offsets
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(texts) if lower else texts)
+    first = np.asarray(lists.offsets).astype(np.int64)
+    flat = lists.values.slice(first[0], first[-1] - first[0]).dictionary_encode()
+    first -= first[0]
+    codes, words = flat.indices.to_numpy(zero_copy_only=False).astype(np.int64), flat.dictionary.cast(pa.large_binary()).to_pylist()
+    if b"" in words:  # what white space at the ends of a text leaves
+        gone = words.index(b"")
+        keep = codes != gone
+        first = np.concatenate(([0], np.cumsum(keep)))[first]
+        codes = codes[keep]
+        codes -= codes > gone
+        del words[gone]
+    return codes, words, first
 
 
 def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:

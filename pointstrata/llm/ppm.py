@@ -34,6 +34,7 @@ ORDER = 5
 BITS = 9
 END = 256
 BLOCK_BYTES = 24 << 20
+SLICE = 1 << 20
 
 
 def grams(texts: list[bytes], order: int = ORDER) -> tuple[np.ndarray, np.ndarray]:
@@ -83,7 +84,7 @@ def _parts(table: pa.Table):
     for data in table.column("data"):
         for batch in pa.ipc.open_stream(data.as_buffer()):
             texts, train = texts_of(batch), unchunked(batch.column(2)).to_numpy(zero_copy_only=False).astype(bool)
-            for lo, hi in slices(texts):
+            for lo, hi in slices(texts, SLICE):
                 part = texts.slice(lo, hi - lo)
                 yield unchunked(batch.column(0)).slice(lo, hi - lo), part, part.cast(pa.large_binary()).to_pylist(), train[lo:hi]
 
@@ -119,6 +120,26 @@ def asked(parts: DataFrame, order: int = ORDER) -> DataFrame:
     return parts.groupBy("block").applyInArrow(run, ASKED)
 
 
+class Lookup:
+    """Values by key: one probe of a hash table, and a search in order where another key took the slot."""
+
+    def __init__(self, key: np.ndarray, value: np.ndarray):
+        by = np.argsort(key, kind="stable")
+        self.key, self.value = key[by], value[by]
+        self.shift = np.uint64(64 - max(4, int(4 * len(key)).bit_length()))
+        self.slot = np.zeros(1 << (64 - int(self.shift)), np.int32)
+        self.slot[self._at(self.key)] = np.arange(len(key), dtype=np.int32)
+
+    def _at(self, key: np.ndarray) -> np.ndarray:
+        return (key.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> self.shift
+
+    def __call__(self, key: np.ndarray) -> np.ndarray:
+        at = self.slot[self._at(key)]
+        miss = np.flatnonzero(self.key[at] != key)
+        at[miss] = np.searchsorted(self.key, key[miss])
+        return self.value[at]
+
+
 # ---- probabilities ---------------------------------------------------------
 
 def probabilities(counts: DataFrame, order: int = ORDER) -> DataFrame:
@@ -176,14 +197,13 @@ def scores(docs: DataFrame, learn: Column, order: int = ORDER, block_bytes: int
         has = gram.is_valid().to_numpy(zero_copy_only=False)
         code = gram.filter(pa.array(has)).to_numpy(zero_copy_only=False)
         value = right.column("logp").combine_chunks().filter(pa.array(has)).to_numpy(zero_copy_only=False)
-        by = np.argsort(code, kind="stable")
-        code, value = code[by], value[by]
+        logp_of = Lookup(code, value) if len(code) else None
         word = dict(zip(right.column("word").combine_chunks().filter(pa.array(~has)).to_pylist(),
                         right.column("c").combine_chunks().filter(pa.array(~has)).to_pylist()))
         out = {x: [] for x in ("doc_id", "train", "n_tokens", "n_known", "base_score", "score")}
         for doc, texts, raw, train in _parts(left):
             found, off = grams(raw, order)
-            score = sums(value[np.searchsorted(code, found)], off)
+            score = sums(logp_of(found), off)
             codes, names, off = words_of(texts)
             c = np.array([word[w] for w in names], np.int64)
             tokens = np.diff(off) + 1
