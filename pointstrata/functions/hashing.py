@@ -14,11 +14,15 @@ MODULUS = 2147483647
 MULT_A = 48271
 MULT_B = 69621
 SEED_STEP = 7919
+HIGH_STEP = 1000003
 
 
 def hash_key(id_col: Column, seed: int = 0) -> Column:
     """Value in [0, 2^31) that orders ids pseudo-randomly."""
-    base = F.pmod(id_col.cast("long"), F.lit(MODULUS)) * F.lit(MULT_A) + F.lit((seed + 1) * SEED_STEP)
+    wide = id_col.cast("long")
+    # bits above the 31st enter first: ids of different files must not repeat each other's keys
+    low = F.pmod(wide, F.lit(MODULUS)) + F.pmod(F.shiftrightunsigned(wide, 31) * F.lit(HIGH_STEP), F.lit(MODULUS))
+    base = F.pmod(low, F.lit(MODULUS)) * F.lit(MULT_A) + F.lit((seed + 1) * SEED_STEP)
     h1 = F.pmod(base, F.lit(MODULUS))
     h2 = F.pmod(h1.bitwiseXOR(F.shiftright(h1, 15)) * F.lit(MULT_B), F.lit(MODULUS))
     h3 = F.pmod(h2.bitwiseXOR(F.shiftright(h2, 13)) * F.lit(MULT_A), F.lit(MODULUS))

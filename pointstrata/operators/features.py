@@ -101,10 +101,9 @@ def planarity_mask(points: DataFrame, k: int = 30, threshold: float = 0.7, min_h
     return m.select("point_id", "planarity", (F.col("planarity") > threshold).alias("is_planar"))
 
 
-def surface_roughness(points: DataFrame, k: int = 10, sample: int = 1000, seed: int = 0) -> DataFrame:
-    """Mean over sampled points of the deviation of plane distances among k neighbours (one row)."""
-    from .sampling import hash_sample
-    near = nearest(hash_sample(points, sample, seed), points, k, carry=XYZ, exclude_self=True)
+def surface_roughness(points: DataFrame, k: int = 10) -> DataFrame:
+    """Mean over all points of the deviation of plane distances among k neighbours (one row)."""
+    near = nearest(points, points, k, carry=XYZ, exclude_self=True)
     m = with_eigen3(with_covariance(array_moments(near)))
     first = {a: F.element_at(f"n_{a}", 1) for a in "xyz"}
     dist = F.transform(F.arrays_zip("n_x", "n_y", "n_z"), lambda p: F.abs(

@@ -57,13 +57,13 @@ def worst_violations(violations: DataFrame, n: int = 10) -> DataFrame:
     return violations.orderBy(F.desc(F.round("violation", 6)), "point_id").limit(n)
 
 
-def axis_violations(points: DataFrame, axis: DataFrame, allowed: list[float]) -> DataFrame:
-    """Vegetation and building points closer to the nearest axis vertex than its allowance."""
+def axis_violations(points: DataFrame, axis: DataFrame) -> DataFrame:
+    """Vegetation and building points closer to the nearest axis vertex than its ``allowed`` distance (a column of the axis)."""
     p = points.where(F.col("classification").isin(5, 6)).select("point_id", "x", "y", "z", "classification")
-    near = nearest(p, axis.withColumn("vid", F.col("seq").cast("long")), 1, dims=("x", "y"), data_id="vid")
-    near = near.select("point_id", F.element_at("nid", 1).cast("int").alias("vertex"), F.element_at("nd", 1).alias("dist"))
-    ok = F.when(F.col("vertex") < len(allowed), F.element_at(F.array(*[F.lit(float(a)) for a in allowed]), F.col("vertex") + 1))
-    return p.join(near, "point_id").withColumn("allowed", ok).where(F.col("dist") < F.col("allowed")).withColumns({
+    near = nearest(p, axis.withColumn("vid", F.col("seq").cast("long")), 1, dims=("x", "y"), data_id="vid", carry=("allowed",))
+    near = near.select("point_id", F.element_at("nid", 1).cast("int").alias("vertex"), F.element_at("nd", 1).alias("dist"),
+                       F.element_at("n_allowed", 1).alias("allowed"))
+    return p.join(near, "point_id").where(F.col("dist") < F.col("allowed")).withColumns({
         "clash_type": F.lit("clearance"), "severity": F.lit("major"), "distance": F.col("dist") - F.col("allowed")})
 
 
@@ -91,15 +91,14 @@ def collision_points(points: DataFrame, pairs=CLASH_PAIRS) -> DataFrame:
     p = points.select("point_id", "x", "y", "z", "classification")
     for i, (a, b, d) in enumerate(pairs):
         side_a, side_b = (p.where(F.col("classification") == c) for c in (a, b))
-        hit = nearest_within(side_a, side_b, d).select("point_id", "dist").join(side_a.select("point_id", "x", "y", "z"), "point_id")
-        hit = hit.select(F.lit(i).alias("pair"), "point_id", "x", "y", "z", "dist")
+        hit = nearest_within(side_a, side_b, d, keep=XYZ).select(F.lit(i).alias("pair"), "point_id", "x", "y", "z", "dist")
         out = hit if out is None else out.unionByName(hit)
     return out
 
 
-def clashes(points: DataFrame, pairs=CLASH_PAIRS, include_soft: bool = True, max_clashes: int | None = 1000,
+def clashes(points: DataFrame, pairs=CLASH_PAIRS, include_soft: bool = True, max_clashes: int | None = None,
             custom: dict[tuple[int, int], float] | None = None) -> DataFrame:
-    """Clash clusters per class pair, numbered in pair order; ``max_clashes`` is the report's cap."""
+    """Clash clusters per class pair; a report may ask for the first ``max_clashes`` in pair order, numbered."""
     if custom:
         pairs = [(a, b, custom.get((a, b), d)) for a, b, d in pairs]
     spark = points.sparkSession
@@ -134,7 +133,7 @@ def clash_counts(rows: DataFrame) -> DataFrame:
 
 def object_clearance(a: DataFrame, b: DataFrame, min_clearance: float = 5.0) -> DataFrame:
     """Closest approach of two objects; no row when they keep the clearance."""
-    near = nearest_within(a, b, min_clearance).join(a.select("point_id", "x", "y", "z"), "point_id")
+    near = nearest_within(a, b, min_clearance, keep=XYZ)
     s = near.agg(F.min(F.struct("dist", "point_id", "x", "y", "z")).alias("b"), F.count(F.lit(1)).alias("points_involved"))
     d = F.col("b.dist")
     kind = F.when(d < 0.5, "hard").when(d < F.lit(min_clearance * 0.5), "soft").otherwise("clearance")

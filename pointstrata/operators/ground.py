@@ -39,14 +39,25 @@ def auto_params(ext: Extent) -> GroundParams:
     return GroundParams(resolution, rigidness, 0.3 if density > 50 else 0.5)
 
 
+def _radii(reach: int) -> list[tuple[int, int]]:
+    """Shifts that widen a window from radius 0 to ``reach`` and the radius after each: three copies a step."""
+    out, r = [], 0
+    while r < reach:
+        shift = min(2 * r + 1, reach - r)
+        r += shift
+        out.append((shift, r))
+    return out
+
+
 def _extreme(grid: DataFrame, reach: int, lowest: bool) -> DataFrame:
-    """Minimum or maximum over the square window, as two one-dimensional passes."""
+    """Minimum or maximum over the square window, axis by axis, in steps that triple the window."""
     agg = F.min if lowest else F.max
-    steps = F.sequence(F.lit(-reach), F.lit(reach))
-    cols = grid
+    cols = grid.select("ix", "iy", "h")
     for axis, other in (("ix", "iy"), ("iy", "ix")):
-        sent = cols.select(F.explode(steps).alias("_s"), axis, other, "h")
-        cols = sent.select((F.col(axis) + F.col("_s")).alias(axis), other, "h").groupBy("ix", "iy").agg(agg("h").alias("h"))
+        for shift, _ in _radii(reach):
+            steps = F.array(*(F.lit(s) for s in (-shift, 0, shift)))
+            sent = cols.select(F.explode(steps).alias("_s"), axis, other, "h")
+            cols = sent.select((F.col(axis) + F.col("_s")).alias(axis), other, "h").groupBy("ix", "iy").agg(agg("h").alias("h"))
     return grid.select("ix", "iy").join(cols, ["ix", "iy"])
 
 

@@ -2,131 +2,83 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import colour
 
 
-@dataclass(frozen=True)
-class VegetationParams:
-    low: float = 0.5
-    medium: float = 3.0
-    ndvi: float = 0.05
-    green: float = 0.33
-    require_colour: bool = True
+# Upper heights of the lower strata, the two colour indices of green points.
+STRATA = ((0.5, 3), (3.0, 4))
+GREEN = {"ndvi": 0.05, "green_ratio": 0.33}
 
 
 def _rgb() -> tuple[Column, Column, Column]:
     return F.col("red"), F.col("green"), F.col("blue")
 
 
-def vegetation_stratum(hag: Column, is_ground: Column, p: VegetationParams = VegetationParams(),
-                       has_colour: bool = True) -> Column:
-    """3 / 4 / 5 by height for green points that are not ground, else NULL."""
+def vegetation_stratum(hag: Column, is_ground: Column, strata=STRATA, green=GREEN, has_colour: bool = True) -> Column:
+    """3 / 4 / 5 by height for green points that are not ground, else NULL; without colours every point counts as green."""
     r, g, b = _rgb()
-    green = F.lit(True)
-    if has_colour and p.require_colour:
-        green = (colour.ndvi(r, g) > p.ndvi) | (colour.green_ratio(r, g, b) > p.green)
-    height = F.when(hag <= 0, None).when(hag <= p.low, 3).when(hag <= p.medium, 4).otherwise(5)
-    return F.when(green & ~is_ground, height)
-
-
-@dataclass(frozen=True)
-class InfrastructureParams:
-    cell: float = 0.5
-    powerline_min_hag: float = 6.0
-    powerline_min_z_variance: float = 0.3
-    powerline_max_density: float = 50.0
-    pole_min_hag: float = 3.0
-    pole_max_hag: float = 20.0
-    pole_min_z_range: float = 5.0
-    pole_max_density: float = 200.0
-    rail_max_hag: float = 0.15
-    rail_min_intensity: float = 0.5
-    road_max_hag: float = 0.15
-    road_max_z_variance: float = 0.05
-    road_min_density: float = 100.0
-    curb_min_hag: float = 0.05
-    curb_max_hag: float = 0.25
-    curb_min_intensity: float = 0.4
-    curb_max_z_variance: float = 0.02
-    sign_min_hag: float = 1.5
-    sign_max_hag: float = 4.0
-    sign_min_intensity: float = 0.7
-    barrier_min_hag: float = 0.3
-    barrier_max_hag: float = 1.2
-    barrier_min_intensity: float = 0.5
-    platform_min_hag: float = 0.3
-    platform_max_hag: float = 1.5
-    platform_max_z_variance: float = 0.03
-    platform_min_density: float = 150.0
-    water_max_hag: float = 0.1
-    water_max_z_variance: float = 0.01
-    water_max_intensity: float = 0.15
-    water_min_density: float = 50.0
-    bridge_min_hag: float = 2.0
-    bridge_max_hag: float = 30.0
-    bridge_max_z_variance: float = 0.05
-    bridge_min_density: float = 100.0
-
-
-# fixed values: class of each mask, strongest last-writer first
-PRECEDENCE = (("bridges", 17), ("water", 9), ("platforms", 21), ("barriers", 36), ("signs", 35),
-              ("curbs", 32), ("roads", 30), ("rails", 18), ("poles", 20), ("powerlines", 19))
-
-
-def infrastructure_masks(p: InfrastructureParams = InfrastructureParams(), has_intensity: bool = True,
-                         has_colour: bool = True) -> dict[str, Column]:
-    """Ten masks over hag, z_variance, z_range, density, intensity, colours, is_ground, is_veg."""
-    hag, zv, zr, den = (F.col(c) for c in ("hag", "z_variance", "z_range", "density"))
-    free = ~F.col("is_veg")
-    bare = free & ~F.col("is_ground")
-    yes = F.lit(True)
+    leafy = (colour.ndvi(r, g) > green["ndvi"]) | (colour.green_ratio(r, g, b) > green["green_ratio"]) if has_colour else F.lit(True)
+    height = F.when(hag <= 0, None)
+    for top, stratum in strata:
+        height = height.when(hag <= top, stratum)
+    return F.when(leafy & ~is_ground, height.otherwise(5))
+
+
+#: Side of the cells whose statistics the masks read.
+STAT_CELL = 0.5
+
+# Class by class, the inclusive range of each quantity (None: open); a point must be free of vegetation,
+# and of ground where ``bare`` stands; ``grey`` is the highest colour deviation, with the open range of brightness after it.
+RANGES = {
+    "powerlines": {"class": 19, "bare": True, "hag": (6.0, None), "z_variance": (0.3, None), "density": (None, 50.0)},
+    "poles": {"class": 20, "bare": True, "hag": (3.0, 20.0), "z_range": (5.0, None), "density": (None, 200.0)},
+    "rails": {"class": 18, "bare": True, "hag": (0.0, 0.15), "intensity": (0.5, None), "z_variance": (None, 0.02), "grey": (0.1, 0.2, 0.7)},
+    "roads": {"class": 30, "hag": (None, 0.15), "z_variance": (None, 0.05), "density": (100.0, None), "grey": (0.15,)},
+    "curbs": {"class": 32, "bare": True, "hag": (0.05, 0.25), "z_variance": (None, 0.02), "intensity": (0.4, None), "grey": (0.1, 0.4, 0.8)},
+    "signs": {"class": 35, "bare": True, "hag": (1.5, 4.0), "intensity": (0.7, None), "density": (None, 100.0)},
+    "barriers": {"class": 36, "bare": True, "hag": (0.3, 1.2), "intensity": (0.5, None), "density": (20.0, 300.0), "grey": (0.12,)},
+    "platforms": {"class": 21, "hag": (0.3, 1.5), "z_variance": (None, 0.03), "density": (150.0, None), "grey": (0.12, 0.3, 0.8)},
+    "water": {"class": 9, "hag": (None, 0.1), "z_variance": (None, 0.01), "intensity": (None, 0.15), "density": (50.0, None), "wet": 0.4},
+    "bridges": {"class": 17, "hag": (2.0, 30.0), "z_variance": (None, 0.05), "density": (100.0, None), "intensity": (0.3, None), "grey": (0.12, 0.3, 0.8)},
+}
+#: Masks that cannot be told without intensity; the others then ignore it.
+NEED_INTENSITY = ("rails", "signs")
+#: The strongest first: a point takes the class of the first mask that holds.
+ORDER = ("bridges", "water", "platforms", "barriers", "signs", "curbs", "roads", "rails", "poles", "powerlines")
+
+
+def infrastructure_masks(ranges: dict[str, dict] = RANGES, has_intensity: bool = True, has_colour: bool = True) -> dict[str, Column]:
+    """One mask per row of ``ranges`` over hag, z_variance, z_range, density, intensity, colours, is_ground, is_veg."""
     r, g, b = _rgb()
-    mean = colour.brightness(r, g, b) if has_colour else None
-    std = colour.saturation(r, g, b) if has_colour else None
-
-    def grey(limit: float, low: float | None = None, high: float | None = None) -> Column:
-        if not has_colour:
-            return yes
-        cond = std < limit
-        return cond if low is None else cond & (mean > low) & (mean < high)
-
-    def bright(limit: float, missing: Column = yes) -> Column:
-        return F.col("intensity") >= limit if has_intensity else missing
-
-    within = lambda lo, hi: (hag >= lo) & (hag <= hi)
-    dark_wet = (mean < 0.4) & ((b > r) | (g > r)) if has_colour else yes
-    dim = F.col("intensity") <= p.water_max_intensity if has_intensity else yes
-    return {
-        "powerlines": (hag >= p.powerline_min_hag) & (zv >= p.powerline_min_z_variance)
-        & (den <= p.powerline_max_density) & bare,
-        "poles": within(p.pole_min_hag, p.pole_max_hag) & (zr >= p.pole_min_z_range) & (den <= p.pole_max_density) & bare,
-        "rails": within(0.0, p.rail_max_hag) & bright(p.rail_min_intensity, F.lit(False)) & (zv <= 0.02) & bare
-        & grey(0.1, 0.2, 0.7),
-        "roads": (hag <= p.road_max_hag) & (zv <= p.road_max_z_variance) & (den >= p.road_min_density) & free & grey(0.15),
-        "curbs": within(p.curb_min_hag, p.curb_max_hag) & (zv <= p.curb_max_z_variance) & bright(p.curb_min_intensity)
-        & bare & grey(0.1, 0.4, 0.8),
-        "signs": within(p.sign_min_hag, p.sign_max_hag) & bright(p.sign_min_intensity, F.lit(False)) & (den <= 100) & bare,
-        "barriers": within(p.barrier_min_hag, p.barrier_max_hag) & bright(p.barrier_min_intensity)
-        & (den >= 20) & (den <= 300) & bare & grey(0.12),
-        "platforms": within(p.platform_min_hag, p.platform_max_hag) & (zv <= p.platform_max_z_variance)
-        & (den >= p.platform_min_density) & free & grey(0.12, 0.3, 0.8),
-        "water": (hag <= p.water_max_hag) & (zv <= p.water_max_z_variance) & dim & (den >= p.water_min_density) & free & dark_wet,
-        "bridges": within(p.bridge_min_hag, p.bridge_max_hag) & (zv <= p.bridge_max_z_variance)
-        & (den >= p.bridge_min_density) & free & grey(0.12, 0.3, 0.8) & bright(0.3),
-    }
+    out = {}
+    for name, row in ranges.items():
+        mask = ~F.col("is_veg")
+        if row.get("bare"):
+            mask = mask & ~F.col("is_ground")
+        for quantity in ("hag", "z_variance", "z_range", "density", "intensity"):
+            low, high = row.get(quantity, (None, None))
+            if quantity == "intensity" and not has_intensity:
+                mask = F.lit(False) if name in NEED_INTENSITY else mask
+                continue
+            mask = mask if low is None else mask & (F.col(quantity) >= low)
+            mask = mask if high is None else mask & (F.col(quantity) <= high)
+        if has_colour and "grey" in row:
+            spread, *light = row["grey"]
+            mask = mask & (colour.saturation(r, g, b) < spread)
+            if light:
+                mask = mask & (colour.brightness(r, g, b) > light[0]) & (colour.brightness(r, g, b) < light[1])
+        if has_colour and "wet" in row:
+            mask = mask & (colour.brightness(r, g, b) < row["wet"]) & ((b > r) | (g > r))
+        out[name] = mask
+    return out
 
 
 def infrastructure_class(masks: dict[str, Column], otherwise: Column) -> Column:
     """One CASE in effective precedence order."""
-    expr = None
-    for name, cid in PRECEDENCE:
-        expr = F.when(masks[name], F.lit(cid)) if expr is None else expr.when(masks[name], F.lit(cid))
-    return expr.otherwise(otherwise)
+    return F.coalesce(*(F.when(masks[name], F.lit(RANGES[name]["class"])) for name in ORDER if name in masks), otherwise)
 
 
 def building_candidates(hag: Column, min_height: float = 2.5, max_height: float = 50.0, green_index: float = 0.12,

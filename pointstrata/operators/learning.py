@@ -37,7 +37,7 @@ def balanced_weights(df: DataFrame, label: str = "classification") -> DataFrame:
     return df.join(F.broadcast(c.drop("_n")), label)
 
 
-def balanced_sample(df: DataFrame, max_per_class: int = 50_000, min_per_class: int = 100, label: str = "classification", seed: int = 42) -> DataFrame:
+def balanced_sample(df: DataFrame, max_per_class: int = 50_000, min_per_class: int = 0, label: str = "classification", seed: int = 42) -> DataFrame:
     """At most / at least so many rows per class."""
     big = df.groupBy(label).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= min_per_class)
     return hash_sample_per_group(df.join(F.broadcast(big.select(label)), label, "left_semi"), label, max_per_class, seed)

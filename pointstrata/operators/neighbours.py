@@ -8,11 +8,12 @@
                     result is final when its k-th distance fits the margin;
                     the others go to the next round with a wider margin.
 
-Hot places.  ``nearest`` counts rows per tile first.  When a tile is too full,
-at most k copies of one position stay as candidates, each distinct position is
-asked once, the search starts with finer tiles, and a tile that is still too
-full is split into chunks whose partial results merge.  No tile is collected
-whole, and no row is dropped unless k nearer ones are certain.
+Hot places.  ``nearest`` counts rows per tile in every round.  When a tile is too
+full at the start, at most k copies of one position stay as candidates, each
+distinct position is asked once and the search starts with finer tiles; in any
+round a tile that is too full is split into chunks whose partial results merge.
+No tile is collected whole, and no row is dropped unless k nearer ones are
+certain.
 """
 
 from __future__ import annotations
@@ -221,9 +222,12 @@ def nearest(queries: DataFrame, data: DataFrame, k: int, dims: Sequence[str] = X
             df = df.withColumn(t, F.explode(F.sequence(low, high)))
         return df
 
-    def load(dfq: DataFrame, dfd: DataFrame, side: float, halo: float) -> DataFrame:
+    def load(dfq: DataFrame, dfd: DataFrame, side: float, halo: float, few: bool = False) -> DataFrame:
         nq = to_tiles(dfq, qcols, side, 0).groupBy(*tkeys).agg(F.count(F.lit(1)).alias("nq"))
-        ndt = to_tiles(dfd, [f"d{i}" for i in range(nd)], side, halo).groupBy(*tkeys).agg(F.count(F.lit(1)).alias("nd_"))
+        ndt = to_tiles(dfd, [f"d{i}" for i in range(nd)], side, halo)
+        if few:  # only tiles that are still asked about
+            ndt = ndt.join(nq.select(*tkeys), tkeys, "left_semi")
+        ndt = ndt.groupBy(*tkeys).agg(F.count(F.lit(1)).alias("nd_"))
         return nq.join(ndt, tkeys, "left").na.fill(0, ["nd_"])
 
     def tile_side(mg: float) -> float:
@@ -250,12 +254,16 @@ def nearest(queries: DataFrame, data: DataFrame, k: int, dims: Sequence[str] = X
         lq = to_tiles(todo, qcols, side, 0)
         ld = to_tiles(dat, [f"d{i}" for i in range(nd)], side, margin)
         keys = list(tkeys)
-        if hot:
-            size = load(todo, dat, side, margin)
+        split = hot
+        if hot or done:  # the margin has changed since the load was counted
+            size = cut(load(todo, dat, side, margin, bool(done)))
+            split = hot or (size.agg(F.max(F.greatest("nq", "nd_"))).first()[0] or 0) > tile_rows
+        if split:
             if not last:
                 size = size.where(F.col("nd_") >= want)  # too few candidates: wait for a wider margin
-            size = size.select(*tkeys, F.ceil(F.col("nq") / F.lit(tile_rows)).cast("int").alias("sq"),
-                               F.greatest(F.ceil(F.col("nd_") / F.lit(tile_rows)), F.lit(1)).cast("int").alias("sd"))
+            # rows are dealt to chunks by a hash, so chunks are planned a little smaller than the limit
+            size = size.select(*tkeys, F.ceil(F.col("nq") / F.lit(0.9 * tile_rows)).cast("int").alias("sq"),
+                               F.greatest(F.ceil(F.col("nd_") / F.lit(0.9 * tile_rows)), F.lit(1)).cast("int").alias("sd"))
             lq = (lq.join(size, tkeys).withColumn("kq", F.pmod(hash_key(F.col("qid")), F.col("sq")).cast("int"))
                   .withColumn("kd", F.explode(F.sequence(F.lit(0), F.col("sd") - 1))).drop("sq", "sd"))
             ld = (ld.join(size, tkeys).withColumn("kd", F.pmod(hash_key(F.col("nid")), F.col("sd")).cast("int"))
@@ -266,7 +274,7 @@ def nearest(queries: DataFrame, data: DataFrame, k: int, dims: Sequence[str] = X
         # a fixed number of partitions: Python work is heavier than its bytes suggest
         lq, ld = lq.repartition(parts, *keys), ld.repartition(parts, *keys)
         found = lq.groupBy(*keys).cogroup(ld.groupBy(*keys)).applyInArrow(kernel, ddl)
-        if hot:
+        if split:
             packed = F.arrays_zip(*lists)
             found = (
                 found.groupBy("qid", *qcols).agg(F.flatten(F.collect_list(packed)).alias("p"))
@@ -279,7 +287,7 @@ def nearest(queries: DataFrame, data: DataFrame, k: int, dims: Sequence[str] = X
             break
         final = (F.size("nd") >= want) & (F.element_at("nd", -1) <= F.lit(margin))
         done.append(found.where(final))
-        if hot:
+        if split:
             todo = cut(todo.join(found.where(final).select("qid"), "qid", "left_anti"))
         else:
             todo = found.where(~final).select("qid", *qcols)
@@ -313,12 +321,13 @@ def edges(neigh: DataFrame, query_id: str = "point_id") -> DataFrame:
 
 def nearest_within(left: DataFrame, right: DataFrame, r: float, dims: Sequence[str] = XYZ,
                    left_id: str = "point_id", right_id: str = "point_id",
-                   carry: Sequence[str] = (), equal: Sequence[str] = ()) -> DataFrame:
-    """Nearest right row of every left row that has one within r (strictly)."""
-    pairs = radius_pairs(left, right, r, dims, left_cols=(left_id, *equal),
+                   carry: Sequence[str] = (), equal: Sequence[str] = (), keep: Sequence[str] = ()) -> DataFrame:
+    """Nearest right row of every left row that has one within r (strictly); ``keep`` names left columns to return."""
+    pairs = radius_pairs(left, right, r, dims, left_cols=(left_id, *equal, *keep),
                          right_cols=(right_id, *carry), strict=True, equal=equal)
     best = F.min(F.struct("d2", f"n_{right_id}", *[f"n_{c}" for c in carry])).alias("_b")
-    return pairs.groupBy(left_id, *equal).agg(best).select(
-        left_id, *equal, F.sqrt("_b.d2").alias("dist"), F.col(f"_b.n_{right_id}").alias("n_id"),
+    kept = [F.first(c).alias(f"_k_{c}") for c in keep]
+    return pairs.groupBy(left_id, *equal).agg(best, *kept).select(
+        left_id, *equal, *[F.col(f"_k_{c}").alias(c) for c in keep], F.sqrt("_b.d2").alias("dist"), F.col(f"_b.n_{right_id}").alias("n_id"),
         *[F.col(f"_b.n_{c}") for c in carry]
     )

@@ -88,17 +88,15 @@ def noise_statistics(points: DataFrame, is_noise: Column) -> DataFrame:
 
 
 def choose_detector(n_points: int) -> str:
+    """The published size rule, for reports; the plans name their method themselves."""
     return "sor" if n_points < 10_000_000 else "voxel_sor"
 
 
-def detect(points: DataFrame, n: int, k: int = 30, std_ratio: float = 2.0, voxel: float = 0.5,
-           large: int = 10_000_000, fast: bool = True) -> DataFrame:
-    """Points with ``is_noise``; the method and its settings follow the cloud size."""
-    if fast and n > large:
-        if n > 100_000_000:
-            voxel, k = 1.0, 20
-        elif n > 50_000_000:
-            voxel, k = 0.75, 25
+def detect(points: DataFrame, method: str = "sor", k: int = 30, std_ratio: float = 2.0, voxel: float = 0.5) -> DataFrame:
+    """Points with ``is_noise`` by the named method, at every size alike."""
+    if method == "voxel_sor":
         return voxel_sor(points, voxel, k, std_ratio)
+    if method != "sor":
+        raise ValueError(f"unknown noise method {method!r}")
     bad = sor(points, k, std_ratio).where("is_noise").select("point_id", "is_noise")
     return points.join(bad, "point_id", "left").withColumn("is_noise", F.coalesce("is_noise", F.lit(False)))

@@ -154,8 +154,6 @@ def voxel_sample(points: DataFrame, target: int, low: float = 0.1, high: float =
     """Mean position and colour per voxel, the voxel sized for about ``target`` rows."""
     ext = ext or extent(points)
     cols = ["x", "y", "z", "red", "green", "blue"]
-    if ext.n <= target:
-        return points.select(*cols)
     size = min(max(voxel_size_for(ext, target), low), high)
     # voxel corners sit half a voxel below the lower corner of the cloud
     keyed = points.withColumns(
@@ -181,13 +179,9 @@ def grid_sample(points: DataFrame, target: int, seed: int = 0, ext: Extent | Non
     return hash_sample(first_per_cell(keyed, ["vx", "vy", "vz"]).select(*points.columns), target, seed)
 
 
-def adaptive_sample(points: DataFrame, target: int, prefer_quality: bool = True, seed: int = 0) -> DataFrame:
-    ext = extent(points)
-    if ext.n <= target:
-        return points
-    if ext.n > 5_000_000 or not prefer_quality:
-        return random_sample(points, target, seed, ext.n)
-    return voxel_sample(points, target, ext=ext)
+def adaptive_sample(points: DataFrame, target: int, method: str = "voxel", seed: int = 0) -> DataFrame:
+    """About ``target`` rows: voxel means for quality, or single rows for speed; the method does not follow the size."""
+    return random_sample(points, target, seed) if method == "random" else voxel_sample(points, target)
 
 
 def fixed_blocks(points: DataFrame, size: int = 4096) -> DataFrame:

@@ -47,18 +47,23 @@ def smooth(points: DataFrame, k: int = 15, min_agreement: float = 0.6, confidenc
     return points.join(state.select("point_id", F.col("c").alias("new_class"), F.col("f").alias("new_confidence")), "point_id")
 
 
-def grow_regions(points: DataFrame, seed_class: int, target_class: int, distance: float = 1.0, max_rounds: int = 50,
+def grow_regions(points: DataFrame, seed_class: int, target_class: int, distance: float = 1.0, max_rounds: int | None = None,
                  label: str = "classification") -> DataFrame:
     """Adds ``new_class``: target points reached from the seed class in steps of ``distance``.
 
     A frontier advances over the distinct positions of target points, so copies
-    are visited once and every round only joins what was reached last.
+    are visited once and every round only joins what was reached last.  It runs
+    until nothing is reached; a limit of rounds raises when it is hit.
     """
     target = points.where(F.col(label) == target_class).select(*XYZ).distinct()
     rest = cut(target)
     front = cut(points.where(F.col(label) == seed_class).select(*XYZ).distinct())
     reached: DataFrame | None = None
-    for _ in range(max_rounds):
+    rounds = 0
+    while True:
+        if max_rounds is not None and rounds > max_rounds:
+            raise RuntimeError(f"growth goes on after {max_rounds} rounds")
+        rounds += 1
         hit = radius_pairs(rest, front, distance, left_cols=XYZ, right_cols=()).select(*XYZ).distinct()
         hit = cut(hit)
         if hit.isEmpty():

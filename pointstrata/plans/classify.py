@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field, replace
+from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,44 +13,36 @@ from ..operators.cells import Extent, extent
 from ..session import cut
 
 
+STEPS = ("noise", "ground", "vegetation", "buildings", "infrastructure")
+#: Side of the tiles in which building planes are searched, whatever the size of the cloud.
+PLANE_TILE = 64.0
+
+
 @dataclass(frozen=True)
 class Config:
-    detect_noise: bool = True
-    classify_ground: bool = True
-    classify_vegetation: bool = True
-    detect_buildings: bool = True
-    detect_infrastructure: bool = True
-    noise_k: int = 30
-    noise_std_ratio: float = 2.0
-    noise_voxel: float = 0.5
-    large_cloud: int = 10_000_000
-    fast_noise: bool = True
-    hag_cell: float = 1.0
-    auto_ground: bool = True
-    ground: ground.GroundParams = field(default_factory=ground.GroundParams)
-    vegetation: landcover.VegetationParams = field(default_factory=landcover.VegetationParams)
-    infrastructure: landcover.InfrastructureParams = field(default_factory=landcover.InfrastructureParams)
-    min_building_height: float = 2.5
-    max_building_height: float = 50.0
-    max_planes: int = 15
-    min_plane_points: int = 10_000
-    plane_threshold: float = 0.1
-    plane_trials: int = 500
-    seed: int = 0
+    """The steps to run and the settings of each, as keyword arguments of its operator."""
+
+    steps: tuple[str, ...] = STEPS
+    noise: dict = field(default_factory=lambda: {"method": "sor", "k": 30, "std_ratio": 2.0})
+    ground: ground.GroundParams | None = None  # None: derived from density and height range
+    height_cell: float = 1.0
+    strata: tuple = landcover.STRATA
+    building_heights: tuple[float, float] = (2.5, 50.0)
+    planes: dict = field(default_factory=lambda: {"max_planes": 15, "min_points": 10_000, "threshold": 0.1, "trials": 500, "seed": 0})
+    ranges: dict = field(default_factory=lambda: landcover.RANGES)
 
 
 def preset(name: str) -> Config:
-    """Quality presets."""
-    base = Config()
+    """Quality presets; each names its noise method."""
     return {
-        "fast": replace(base, detect_buildings=False, noise_voxel=1.0, noise_k=15, hag_cell=2.0),
-        "standard": replace(base, large_cloud=5_000_000),
-        "high": replace(base, fast_noise=False, noise_k=50, hag_cell=0.5),
+        "fast": Config(steps=tuple(x for x in STEPS if x != "buildings"), noise={"method": "voxel_sor", "voxel": 1.0, "k": 15, "std_ratio": 2.0}, height_cell=2.0),
+        "standard": Config(noise={"method": "voxel_sor", "voxel": 0.5, "k": 30, "std_ratio": 2.0}),
+        "high": Config(noise={"method": "sor", "k": 50, "std_ratio": 2.0}, height_cell=0.5),
     }[name]
 
 
 def presets(spark: SparkSession) -> DataFrame:
-    rows = [(n, c.detect_buildings, c.fast_noise, c.noise_voxel, c.noise_k, c.hag_cell)
+    rows = [(n, "buildings" in c.steps, c.noise["method"] == "voxel_sor", c.noise.get("voxel", 0.5), c.noise["k"], c.height_cell)
             for n in ("fast", "standard", "high") for c in [preset(n)]]
     return spark.createDataFrame(rows, "preset string, buildings boolean, fast_noise boolean, noise_voxel double, "
                                        "noise_k int, hag_cell double")
@@ -91,7 +83,7 @@ def with_height_and_cells(points: DataFrame, ext: Extent, hag_cell: float, stat_
 
 
 def assign_infrastructure(points: DataFrame, base: Column, cfg: Config, has_intensity: bool, has_colour: bool) -> Column:
-    masks = landcover.infrastructure_masks(cfg.infrastructure, has_intensity, has_colour)
+    masks = landcover.infrastructure_masks(cfg.ranges, has_intensity, has_colour)
     return F.when(base == 1, landcover.infrastructure_class(masks, F.lit(1))).otherwise(base)
 
 
@@ -99,8 +91,8 @@ def classify_given_ground(points: DataFrame, cfg: Config = Config(), ext: Extent
     """Steps 3, 4 and 6 where class 2 is the ground and class 7 the noise: adds hag and new_class."""
     ext = ext or extent(points)
     p = points.withColumn("is_ground", F.col("classification") == 2)
-    p = with_height_and_cells(p, ext, cfg.hag_cell, cfg.infrastructure.cell)
-    p = p.withColumn("_stratum", landcover.vegetation_stratum(F.col("hag"), F.col("is_ground"), cfg.vegetation))
+    p = with_height_and_cells(p, ext, cfg.height_cell, landcover.STAT_CELL)
+    p = p.withColumn("_stratum", landcover.vegetation_stratum(F.col("hag"), F.col("is_ground"), cfg.strata))
     p = p.withColumn("is_veg", F.col("_stratum").isNotNull())
     base = (F.when(F.col("classification") == 7, F.lit(7)).when(F.col("is_ground"), F.lit(2))
             .otherwise(F.coalesce(F.col("_stratum"), F.lit(1))))
@@ -108,46 +100,41 @@ def classify_given_ground(points: DataFrame, cfg: Config = Config(), ext: Extent
 
 
 def classify(points: DataFrame, cfg: Config = Config(), has_colour: bool = True, has_intensity: bool = True,
-             plane_tile: float | None = None) -> DataFrame:
+             plane_tile: float = PLANE_TILE) -> DataFrame:
     """The six-step plan: noise, ground, height, vegetation, buildings, infrastructure.
 
-    Adds hag and new_class.  ``plane_tile`` searches building planes per tile of
-    that size (the default uses one group up to the reference's cloud sizes and
-    tiles beyond).
+    Adds hag and new_class.  Building planes are searched per tile of ``plane_tile``.
     """
     ext = extent(points)
-    if cfg.detect_noise:
-        p = noise.detect(points, ext.n, cfg.noise_k, cfg.noise_std_ratio, cfg.noise_voxel, cfg.large_cloud, cfg.fast_noise)
+    if "noise" in cfg.steps:
+        # once for the ground, the cell statistics and the result
+        p = cut(noise.detect(points, **cfg.noise))
     else:
         p = points.withColumn("is_noise", F.lit(False))
-    if not cfg.classify_ground:
+    if "ground" not in cfg.steps:
         return p.withColumns({"hag": F.lit(None).cast("double"),
                               "new_class": F.when(F.col("is_noise"), 7).otherwise(1)}).drop("is_noise")
     valid = ~F.col("is_noise")
-    g_ext = extent(p.where(valid)) if cfg.detect_noise else ext
-    params = ground.auto_params(g_ext) if cfg.auto_ground else cfg.ground
+    params = cfg.ground or ground.auto_params(extent(p.where(valid)) if "noise" in cfg.steps else ext)
     p = ground.ground_mask(p, params, ext, valid)
-    p = with_height_and_cells(p, ext, cfg.hag_cell, cfg.infrastructure.cell)
-    stratum = landcover.vegetation_stratum(F.col("hag"), F.col("is_ground"), cfg.vegetation, has_colour)
-    p = p.withColumn("_stratum", stratum if cfg.classify_vegetation else F.lit(None).cast("int"))
+    p = with_height_and_cells(p, ext, cfg.height_cell, landcover.STAT_CELL)
+    stratum = landcover.vegetation_stratum(F.col("hag"), F.col("is_ground"), cfg.strata, has_colour=has_colour)
+    p = p.withColumn("_stratum", stratum if "vegetation" in cfg.steps else F.lit(None).cast("int"))
     p = p.withColumn("is_veg", F.col("_stratum").isNotNull())
     base = (F.when(F.col("is_noise"), F.lit(7)).when(F.col("is_ground"), F.lit(2))
             .otherwise(F.coalesce(F.col("_stratum"), F.lit(1))))
     p = p.withColumn("_base", base)
-    if cfg.detect_buildings:
-        cand = p.where(landcover.building_candidates(F.col("hag"), cfg.min_building_height, cfg.max_building_height,
-                                                     has_colour=has_colour))
-        if plane_tile is None and ext.n > cfg.large_cloud:
-            plane_tile = float(sampling.optimal_tile_size(ext))
-        cand = sampling.tile_key(cand, ext, plane_tile) if plane_tile else cand.withColumn("tile_id", F.lit(0).cast("long"))
-        found = planes.extract_planes(cand, "tile_id", cfg.max_planes, cfg.min_plane_points, cfg.plane_threshold,
-                                      cfg.plane_trials, cfg.seed)
+    if "buildings" in cfg.steps:
+        cand = p.where(landcover.building_candidates(F.col("hag"), *cfg.building_heights, has_colour=has_colour))
+        o = cfg.planes
+        found = planes.extract_planes(sampling.tile_key(cand, ext, plane_tile), "tile_id", o["max_planes"], o["min_points"],
+                                      o["threshold"], o["trials"], o["seed"])
         kind = found.select("point_id", "kind")
         p = p.join(kind, "point_id", "left")
         surface = F.when(F.col("kind") == "wall", 40).when(F.col("kind").isNotNull(), 41)
         p = p.withColumn("_base", F.when(F.col("_base") == 1, F.coalesce(surface, F.lit(1))).otherwise(F.col("_base"))).drop("kind")
     new = F.col("_base")
-    if cfg.detect_infrastructure:
+    if "infrastructure" in cfg.steps:
         new = assign_infrastructure(p, F.col("_base"), cfg, has_intensity, has_colour)
     return p.withColumn("new_class", new.cast("int")).drop("_stratum", "_base")
 

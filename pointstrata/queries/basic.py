@@ -84,11 +84,9 @@ add("S14_multi_square_counts", "class_id:i count:i percentage:d",
 add("S15_bounds_feature", "width_m:d height_m:d elevation_range_m:d corners:i", lambda p: reports.bounds_feature(p).select(
     "feature.properties.*", F.size(F.element_at("feature.geometry.coordinates", 1)).alias("corners")),
     "SELECT round(x1 - x0, 2) AS width_m, round(y1 - y0, 2) AS height_m, round(z1 - z0, 2) AS elevation_range_m, 5 AS corners FROM ext", "ext")
-add("S16_class_centroids", "class_id:i class_name:s point_count:i percentage:d x:d y:d centroid_z:d z_min:d z_max:d", lambda p: reports.class_centroids(p, 500),
-    f"SELECT classification AS class_id, {REPORT} AS class_name, k AS point_count, round(k * 100e0 / n, 2) AS percentage, avg(x) AS x, avg(y) AS y, round(avg(z), 2) AS centroid_z, "
-    "round(lo, 2) AS z_min, round(hi, 2) AS z_max FROM (SELECT *, row_number() OVER (PARTITION BY classification ORDER BY " + hash_sql("point_id") + ", point_id) AS rn, "
-    "count(*) OVER (PARTITION BY classification) AS k, min(z) OVER (PARTITION BY classification) AS lo, max(z) OVER (PARTITION BY classification) AS hi FROM scene), (SELECT n FROM ext) "
-    "WHERE rn <= 500 GROUP BY classification, k, n, lo, hi", "scene", "ext")
+add("S16_class_centroids", "class_id:i class_name:s point_count:i percentage:d x:d y:d centroid_z:d z_min:d z_max:d", reports.class_centroids,
+    f"SELECT classification AS class_id, {REPORT} AS class_name, count(*) AS point_count, round(count(*) * 100e0 / n, 2) AS percentage, avg(x) AS x, avg(y) AS y, round(avg(z), 2) AS centroid_z, "
+    "round(min(z), 2) AS z_min, round(max(z), 2) AS z_max FROM scene, (SELECT n FROM ext) GROUP BY classification, n", "scene", "ext")
 add("S17_geojson_collection", "features:i total:i", lambda p: reports.geojson(p).select(
     F.size(F.from_json(F.get_json_object("json", "$.features"), "array<string>")).alias("features"), F.get_json_object("json", "$.properties.total_points").alias("total")),
     "SELECT count(DISTINCT classification) + 1 AS features, count(*) AS total FROM scene", "scene")

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 from functools import reduce
 
 from pyspark.sql import DataFrame
@@ -10,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..operators import active, cells, evaluation, features, learning, smoothing
 from ..plans import classify as plan
-from ..session import cut
+from ..session import cut, work_folder
 from ..sources.scene import predictions
 from ..streaming import chunks as st
 from .registry import MASKS, PRECEDENCE, add, cte, hash_sql
@@ -80,7 +79,7 @@ add("K05_K06_tuning", "trial:i mean_accuracy:d std_accuracy:d", lambda p: learni
 
 
 def _saved(p: DataFrame) -> DataFrame:
-    path = tempfile.mkdtemp(prefix="spark-") + "/model"
+    path = work_folder(p.sparkSession, "model")
     _, scored = learning.train(p, _FEAT, trees=5, depth=5, path=path)
     again = learning.predict(learning.PipelineModel.load(path), p)
     return scored.join(again.select("point_id", F.col("y_pred").alias("again")), "point_id").agg((F.sum((F.col("y_pred") != F.col("again")).cast("int")) == 0).alias("same"))
@@ -137,7 +136,7 @@ add("C06_committee", "n:i", lambda p: (lambda s: learning.vote_entropy(reduce(Da
 
 
 def _session(p: DataFrame) -> DataFrame:
-    path = tempfile.mkdtemp(prefix="spark-") + "/corrections"
+    path = work_folder(p.sparkSession, "corrections")
     active.save_session(_cor(p), path)
     return active.load_session(p.sparkSession, path, "s1").agg(F.count("*").alias("n"))
 
@@ -184,19 +183,17 @@ def _chunked(p: DataFrame) -> DataFrame:
     return p.withColumn("chunk_id", F.floor(F.col("chunk_id") * 3 / F.lit(blocks)).cast("long"))
 
 
-
-
 def _arrivals(p: DataFrame) -> tuple[str, str, str]:
-    base = tempfile.mkdtemp(prefix="spark-")
-    c = _chunked(p)
-    c.repartition(1 + c.agg(F.max("chunk_id")).first()[0], "chunk_id").write.parquet(base + "/in")
+    base = work_folder(p.sparkSession, "stream")
+    c = _chunked(p)  # every chunk comes in two files, and files share chunks
+    c.repartition(4, "chunk_id", F.col("point_id") % 2).write.parquet(base + "/in")
     return base + "/in", base + "/out", base + "/cp"
 
 
 def _stream_classify(p: DataFrame, resume: int = 0) -> DataFrame:
     src, out, cp = _arrivals(p)
     st.classify_stream(st.chunk_stream(p.sparkSession, src), out, cp, resume_from=resume).awaitTermination()
-    return p.sparkSession.read.parquet(out).groupBy("chunk_id", "new_class").agg(F.count("*").alias("n"))
+    return st.classified(p.sparkSession, out).groupBy("chunk_id", "new_class").agg(F.count("*").alias("n"))
 
 
 def chunk_slice() -> None:
@@ -225,25 +222,23 @@ add("T03_running_class_counts", "class_id:i count:i", _running, "SELECT class_id
 
 
 def _corrections_stream(p: DataFrame) -> DataFrame:
-    base = tempfile.mkdtemp(prefix="spark-")
+    base = work_folder(p.sparkSession, "corrections")
     log = _cor(p).select("point_id", "seq", "new_label")
     log.unionByName(log.select("point_id", (F.col("seq") + 1).alias("seq"), F.lit(4).alias("new_label"))).write.parquet(base + "/in")
     s = p.sparkSession
     stream = s.readStream.schema(s.read.parquet(base + "/in").schema).parquet(base + "/in")
-    return cut(st.run_to_table(st.latest_corrections(stream), "latest_corrections", base + "/cp"))
+    return st.run_to_folder(st.latest_corrections(stream), base + "/out", base + "/cp", "point_id")
 
 
 add("T04_correction_stream", "point_id:i new_label:i n_corrections:i", _corrections_stream, "SELECT point_id, 4 AS new_label, 2 AS n_corrections FROM corr", "corr")
 
 
 def _preset_choices(p: DataFrame) -> DataFrame:
-    """Presets with the noise method each one takes for this cloud."""
-    n = p.count()
-    rows = plan.presets(p.sparkSession)
-    large = F.when(F.col("preset") == "standard", 5_000_000).otherwise(10_000_000)
-    return rows.withColumns({"n_points": F.lit(n), "noise_method": F.when(F.col("fast_noise") & (F.lit(n) > large), "voxel_sor").otherwise("sor")})
+    """Presets with the noise method each one names."""
+    return plan.presets(p.sparkSession).withColumns({
+        "n_points": F.lit(p.count()), "noise_method": F.when(F.col("fast_noise"), "voxel_sor").otherwise("sor")})
 
 
 add("T00c_presets", "preset:s buildings:b fast_noise:b noise_voxel:d noise_k:i hag_cell:d n_points:i noise_method:s", _preset_choices,
-    "SELECT v.*, n AS n_points, CASE WHEN fast_noise AND n > lim THEN 'voxel_sor' ELSE 'sor' END AS noise_method FROM (VALUES ('fast', false, true, 1e0, 15, 2e0, 10000000), ('standard', true, true, 0.5e0, 30, 1e0, 5000000), "
-    "('high', true, false, 0.5e0, 50, 0.5e0, 10000000)) AS v(preset, buildings, fast_noise, noise_voxel, noise_k, hag_cell, lim), ext", "ext")
+    "SELECT v.*, n AS n_points, CASE WHEN fast_noise THEN 'voxel_sor' ELSE 'sor' END AS noise_method FROM (VALUES ('fast', false, true, 1e0, 15, 2e0), ('standard', true, true, 0.5e0, 30, 1e0), "
+    "('high', true, false, 0.5e0, 50, 0.5e0)) AS v(preset, buildings, fast_noise, noise_voxel, noise_k, hag_cell), ext", "ext")

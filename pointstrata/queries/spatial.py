@@ -10,7 +10,7 @@ from ..operators import cells, evaluation, features, findings, ground, landcover
 from ..operators import neighbours as nb
 from ..plans import classify as plan
 from ..plans import inventory
-from ..session import cut
+from ..session import cut, work_folder
 from ..sources import reports
 from .registry import MASKS, PRECEDENCE, add, cte, dbscan_ctes, names_sql
 
@@ -30,7 +30,7 @@ cte("sor", "SELECT point_id, mean_dist, mean_dist > (SELECT avg(mean_dist) + 2 *
 
 add("J01_A11_mean_knn_distance", "point_id:i mean_dist:d", lambda p: noise.mean_distance(p, 30), "SELECT * FROM mean30", "mean30")
 add("M01_statistical_noise", "point_id:i mean_dist:d is_noise:b", lambda p: noise.sor(p, 30, 2.0), "SELECT * FROM sor", "sor")
-add("A19_noise_statistics", "n_points:i n_noise:i n_valid:i noise_pct:d noise_z_mean:d noise_z_std:d", lambda p: noise.noise_statistics(noise.detect(p, 1), F.col("is_noise")),
+add("A19_noise_statistics", "n_points:i n_noise:i n_valid:i noise_pct:d noise_z_mean:d noise_z_std:d", lambda p: noise.noise_statistics(noise.detect(p), F.col("is_noise")),
     "SELECT count(*) AS n_points, count(*) FILTER (is_noise) AS n_noise, count(*) FILTER (NOT is_noise) AS n_valid, count(*) FILTER (is_noise) * 100e0 / count(*) AS noise_pct, avg(z) FILTER (is_noise) AS noise_z_mean, stddev_pop(z) FILTER (is_noise) AS noise_z_std FROM sor JOIN scene USING (point_id)", "sor", "scene")
 cte("b1", "SELECT *, CAST(floor(x) AS BIGINT) AS bx, CAST(floor(y) AS BIGINT) AS by_, CAST(floor(z) AS BIGINT) AS bz FROM scene", "scene")
 cte("ring3", "SELECT ox, oy, oz FROM (VALUES (-1), (0), (1)) AS a(ox), (VALUES (-1), (0), (1)) AS b(oy), (VALUES (-1), (0), (1)) AS c(oz)")
@@ -291,8 +291,7 @@ add("S19_pole_placemarks", "kind:s id:i ok:b", lambda p: (lambda q: reports.plac
 
 
 def _csv(p: DataFrame) -> DataFrame:
-    import tempfile
-    path = tempfile.mkdtemp(prefix="spark-") + "/poles"
+    path = work_folder(p.sparkSession, "poles")
     reports.write_csv(railway.poles(p), path)
     return p.sparkSession.read.option("header", True).csv(path)
 
@@ -311,8 +310,8 @@ add("S28_clearance_report", "status:s total:i critical:i", lambda p: reports.cle
     *[F.get_json_object("json", f"$.{k}").alias(n) for k, n in (("status", "status"), ("summary.total", "total"), ("summary.critical", "critical"))]),
     "SELECT CASE WHEN count(*) > 0 THEN 'VIOLATIONS_FOUND' ELSE 'OK' END AS status, count(*) AS total, count(*) FILTER (severity = 'critical') AS critical FROM viol", "viol")
 add("A45_clearance_summary", "severity:s classification:i n:i", lambda p: findings.clearance_summary(findings.clearance_violations(p)), "SELECT severity, classification, count(*) AS n FROM viol GROUP BY GROUPING SETS ((severity), (classification), ())", "viol")
-add("D36_axis_violations", "point_id:i vertex:i dist:d distance:d", lambda p: findings.axis_violations(p, _axis_of(p), [10.0 + i % 3 for i in range(64)]),
-    "SELECT point_id, vertex, dist, dist - 10 - vertex % 3 AS distance FROM (SELECT s.point_id, arg_min(a.seq, (s.x - a.x)**2 + (s.y - a.y)**2) AS vertex, sqrt(min((s.x - a.x)**2 + (s.y - a.y)**2)) AS dist FROM scene s, axis a WHERE s.classification IN (5, 6) GROUP BY 1) WHERE vertex < 64 AND dist < 10 + vertex % 3", "scene", "axis")
+add("D36_axis_violations", "point_id:i vertex:i dist:d distance:d", lambda p: findings.axis_violations(p, _axis_of(p).withColumn("allowed", 10.0 + F.col("seq") % 3)),
+    "SELECT point_id, vertex, dist, dist - 10 - vertex % 3 AS distance FROM (SELECT s.point_id, arg_min(a.seq, (s.x - a.x)**2 + (s.y - a.y)**2) AS vertex, sqrt(min((s.x - a.x)**2 + (s.y - a.y)**2)) AS dist FROM scene s, axis a WHERE s.classification IN (5, 6) GROUP BY 1) WHERE dist < 10 + vertex % 3", "scene", "axis")
 _CUSTOM = {(6, 19): 10.0, (5, 19): 12.5, (6, 18): 9.0, (5, 20): 14.0, (19, 5): 12.5, (6, 20): 12.0}
 _PAIRS = [(a, b, _CUSTOM[a, b]) for a, b, _ in findings.CLASH_PAIRS]
 cte("collide", " UNION ALL ".join(f"SELECT {i} AS pair, a.point_id, any_value(a.x) AS x, any_value(a.y) AS y, any_value(a.z) AS z, sqrt(min({_d3})) AS dist FROM b16 a JOIN (SELECT b16.*, bx + ox AS jx, by_ + oy AS jy FROM b16, ring) b ON a.bx = b.jx AND a.by_ = b.jy AND a.classification = {a} AND b.classification = {b} WHERE {_d3} < {d * d}e0 GROUP BY a.point_id" for i, (a, b, d) in enumerate(_PAIRS)), "b16", "ring")
@@ -358,7 +357,7 @@ add("D43_element_lod", "chunk_id:i lod:i point_density:d edge_quality:d confiden
 # ---- plans ----------------------------------------------------------------
 add("T00_slice", "point_id:i hag:d new_class:i", plan.classify_given_ground, "SELECT point_id, hag, new_class FROM slice", "slice")
 add("T00_slice_histogram", "new_class:i n:i", lambda p: plan.classify_given_ground(p).groupBy("new_class").agg(F.count("*").alias("n")), "SELECT new_class, count(*) AS n FROM slice GROUP BY 1", "slice")
-add("T00_full_classification", "new_class:i n:i", lambda p: plan.classify(p, plan.Config(min_plane_points=1000, max_planes=4, plane_trials=100)).groupBy("new_class").agg(F.count("*").alias("n")))
+add("T00_full_classification", "new_class:i n:i", lambda p: plan.classify(p, plan.Config(planes={"max_planes": 4, "min_points": 200, "threshold": 0.1, "trials": 100, "seed": 0})).groupBy("new_class").agg(F.count("*").alias("n")))
 add("T00_fast_preset", "new_class:i n:i", lambda p: plan.classify(p, plan.preset("fast")).groupBy("new_class").agg(F.count("*").alias("n")))
 add("T00_step_statistics", "n_points:i noise:i ground:i vegetation:i infrastructure:i unclassified:i hag_min:d hag_max:d hag_mean:d", lambda p: plan.step_statistics(plan.classify_given_ground(p)),
     "SELECT count(*) AS n_points, count(*) FILTER (new_class = 7) AS noise, count(*) FILTER (new_class = 2) AS ground, count(*) FILTER (new_class IN (3, 4, 5)) AS vegetation, count(*) FILTER (new_class IN (9,17,18,19,20,21,30,32,35,36)) AS infrastructure, count(*) FILTER (new_class = 1) AS unclassified, min(hag) AS hag_min, max(hag) AS hag_max, avg(hag) AS hag_mean FROM slice", "slice")

@@ -34,7 +34,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Directory for reliable checkpoints.
 
     A cluster names a shared folder in ``spark.checkpoint.dir``.  Only when the
-    session has none (tests, notebooks) a temporary one is set.
+    session has none and runs in one process (tests, notebooks) a temporary one
+    is set; executors on other machines could not see that.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -43,10 +44,17 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     configured = sc.getConf().get("spark.checkpoint.dir", None) or spark.conf.get(
         "spark.checkpoint.dir", None
     )
+    if not configured and sc.master.split("[")[0] != "local":
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     sc.setCheckpointDir(configured or tempfile.mkdtemp(prefix="spark-"))
     return sc.getCheckpointDir()
 
 
+def work_folder(spark: SparkSession, name: str) -> str:
+    """A new folder name under the checkpoint folder, for files of one job."""
+    return f"{ensure_checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Materialise ``df`` once as a table in the checkpoint folder and read it back.
 
@@ -54,6 +62,6 @@ def cut(df: DataFrame) -> DataFrame:
     its size is known to the planner, so the next join is chosen by fact.
     """
     spark = df.sparkSession
-    path = f"{ensure_checkpoint_dir(spark)}/cut-{uuid.uuid4().hex}"
+    path = work_folder(spark, "cut")
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import classes
 from ..operators import cells, evaluation
-from ..operators.sampling import hash_sample, hash_sample_per_group
+from ..operators.sampling import hash_sample
 
 
 def write_text(lines: DataFrame, path: str) -> None:
@@ -112,21 +112,20 @@ def bounds_feature(points: DataFrame, precision: int = 6) -> DataFrame:
         F.lit("Polygon").alias("type"), F.array(ring).alias("coordinates")).alias("geometry"), props.alias("properties")).alias("feature"))
 
 
-def class_centroids(points: DataFrame, sample: int = 1000, precision: int = 6, seed: int = 0) -> DataFrame:
-    """Count, share, z range and centroid (over at most ``sample`` rows) per class."""
-    few = hash_sample_per_group(points.select("classification", "point_id", "x", "y", "z"), "classification", sample, seed)
-    c = few.groupBy("classification").agg(*[F.avg(a).alias(f"c{a}") for a in "xyz"])
-    n = points.groupBy("classification").agg(F.count(F.lit(1)).alias("point_count"), F.min("z").alias("z_min"), F.max("z").alias("z_max"))
+def class_centroids(points: DataFrame, precision: int = 6) -> DataFrame:
+    """Count, share, z range and centroid per class."""
+    n = points.groupBy("classification").agg(F.count(F.lit(1)).alias("point_count"), F.min("z").alias("z_min"), F.max("z").alias("z_max"),
+                                             *[F.avg(a).alias(f"c{a}") for a in "xyz"])
     total = F.sum("point_count").over(Window.partitionBy(F.lit(0)))
-    return n.withColumn("_t", total).join(c, "classification").select(
+    return n.withColumn("_t", total).select(
         F.col("classification").alias("class_id"), report_name(F.col("classification")).alias("class_name"), "point_count",
         F.round(F.col("point_count") / F.col("_t") * 100, 2).alias("percentage"), F.round("cx", precision).alias("x"), F.round("cy", precision).alias("y"),
         F.round("cz", 2).alias("centroid_z"), F.round("z_min", 2).alias("z_min"), F.round("z_max", 2).alias("z_max"))
 
 
-def geojson(points: DataFrame, crs: str = "EPSG:2180", sample: int = 1000) -> DataFrame:
+def geojson(points: DataFrame, crs: str = "EPSG:2180") -> DataFrame:
     """One feature collection: bounds polygon and class centroids (about twenty features)."""
-    c = class_centroids(points, sample)
+    c = class_centroids(points)
     feat = F.to_json(F.struct(F.lit("Feature").alias("type"), F.concat(F.lit("class_"), F.col("class_id").cast("string")).alias("id"),
                               F.struct(F.lit("Point").alias("type"), F.array("x", "y").alias("coordinates")).alias("geometry"),
                               F.struct(F.lit("class_centroid").alias("feature_type"), "class_id", "class_name", "point_count", "percentage",
