@@ -34,27 +34,32 @@ def uncertain(pred: DataFrame, n: int, strategy: str = "least_confident", correc
     return p.orderBy(F.col("score").asc() if asc else F.col("score").desc(), "point_id").limit(n)
 
 
-def diverse(pred: DataFrame, points: DataFrame, n: int, candidates: int = 1000, corrected: DataFrame | None = None) -> DataFrame:
-    """Greedy farthest-point choice among the least confident candidates.
+def diverse(pred: DataFrame, points: DataFrame, n: int, candidates: int | None = 1000, corrected: DataFrame | None = None) -> DataFrame:
+    """Greedy farthest-point choice among the ``candidates`` least confident points (None: all).
 
-    The candidate set is capped by the operator's definition, so the rounds run
-    on a small table; each round is one pass over it.
+    Each round is one pass over the candidates: the distance to the nearest
+    chosen point, then the row that maximises it; ties go to the less confident.
     """
-    c = uncertain(pred, candidates, corrected=corrected).select("point_id", "score").join(points.select("point_id", "x", "y", "z"), "point_id")
-    # at most `candidates` rows by definition: an ordinary list
-    rows = sorted(((r.score, r.point_id, r.x, r.y, r.z) for r in c.collect()))
-    spark = pred.sparkSession
-    chosen, far = [], [float("inf")] * len(rows)
-    last = 0 if rows else None
-    while last is not None and len(chosen) < min(n, len(rows)):
-        chosen.append((len(chosen) + 1, rows[last][1]))
-        far[last] = -1.0
-        for i, r in enumerate(rows):
-            if far[i] >= 0:
-                d = sum((r[a] - rows[last][a]) ** 2 for a in (2, 3, 4)) ** 0.5
-                far[i] = min(far[i], d)
-        last = max(range(len(rows)), key=lambda i: (far[i], -i))
-    return spark.createDataFrame(chosen, "pick int, point_id bigint")
+    if corrected is not None:
+        pred = pred.join(corrected.select("point_id").distinct(), "point_id", "left_anti")
+    c = uncertain(pred, candidates) if candidates else pred.withColumn("score", F.col("confidence"))
+    c = cut(c.select("point_id", "score").join(points.select("point_id", "x", "y", "z"), "point_id"))
+    order = F.struct("score", "point_id", "x", "y", "z")
+    chosen = []
+    while len(chosen) < n:
+        rest = c
+        if chosen:
+            rest = c.where(~F.col("point_id").isin([r["point_id"] for r in chosen]))
+            away = [sum(((F.col(a) - F.lit(r[a])) * (F.col(a) - F.lit(r[a])) for a in "xyz"), F.lit(0.0)) for r in chosen]
+            far = F.least(*away) if len(away) > 1 else away[0]
+            best = rest.agg(F.min(F.struct((-far).alias("far"), order.alias("row"))).alias("b")).select("b.row.*")
+        else:
+            best = rest.agg(F.min(order).alias("b")).select("b.*")
+        row = best.first()
+        if row["point_id"] is None:
+            break
+        chosen.append(row)
+    return pred.sparkSession.createDataFrame([(i, r["point_id"]) for i, r in enumerate(chosen, 1)], "pick int, point_id bigint")
 
 
 def latest(corrections: DataFrame) -> DataFrame:

@@ -11,8 +11,14 @@ from . import cells, shapes
 from .cells import Extent, beside, extent
 
 # fixed values: level, smallest density (points per m2), accuracy (m)
-REQUIREMENTS = [(100, 1, 1.0, "Masy i objetosci"), (200, 5, 0.5, "Przyblizona geometria"), (300, 20, 0.15, "Dokladna geometria"),
-                (350, 50, 0.05, "Koordynacja z interfejsami"), (400, 100, 0.02, "Fabrication"), (500, 200, 0.01, "As-built")]
+REQUIREMENTS = [
+    (100, 1, 1.0, "Masy i objetosci", "Bounding box lub prosta bryła", ["Studia koncepcyjne", "Analizy masy"]),
+    (200, 5, 0.5, "Przyblizona geometria", "Uproszczone ksztalty z orientacja", ["Planowanie przestrzenne", "Wstepne koordynacja"]),
+    (300, 20, 0.15, "Dokladna geometria", "Rzeczywiste ksztalty i wymiary", ["Dokumentacja projektowa", "Koordynacja 3D"]),
+    (350, 50, 0.05, "Koordynacja z interfejsami", "Szczegolowa geometria + polaczenia", ["Koordynacja miedzybranzowa", "Clash detection"]),
+    (400, 100, 0.02, "Fabrication", "Pelna szczegolowość produkcyjna", ["Prefabrykacja", "Produkcja"]),
+    (500, 200, 0.01, "As-built", "Weryfikacja wykonania", ["Odbiory", "Dokumentacja powykonawcza", "FM"]),
+]
 
 
 def level_of(score: Column) -> Column:
@@ -88,7 +94,7 @@ def element_lod(points: DataFrame, key: str) -> DataFrame:
 
 
 def requirements(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(REQUIREMENTS, "lod int, min_density int, accuracy_m double, description string")
+    return spark.createDataFrame(REQUIREMENTS, "lod int, min_density int, accuracy_m double, description string, geometry string, use_cases array<string>")
 
 
 def with_requirements(df: DataFrame) -> DataFrame:

@@ -26,9 +26,23 @@ def smooth(points: DataFrame, k: int = 15, min_agreement: float = 0.6, confidenc
            threshold: float = 0.3, iterations: int = 1, label: str = "classification") -> DataFrame:
     """Adds ``new_class`` and ``new_confidence`` by k-neighbour majority.
 
-    Neighbour lists are computed once; every iteration votes on the labels of
-    the one before and the loop ends when nothing changes.
+    The first vote reads the labels that the neighbour search carries along; later
+    iterations vote on the labels of the one before over neighbour lists computed
+    once, and the loop ends when nothing changes.
     """
+    if iterations == 1:
+        near = nearest(points, points.withColumn("_c", F.col(label).cast("int")), k, exclude_self=True, carry=("_c",))
+        if confidence:
+            near = near.join(points.where(F.col(confidence) < threshold).select("point_id"), "point_id", "left_semi")
+        votes = F.transform(F.array_distinct("n__c"), lambda c: F.struct(
+            F.size(F.filter("n__c", lambda x: x == c)).alias("votes"), (-c).alias("v")))
+        near = near.where(F.size("n__c") > 0).select("point_id", F.array_max(votes).alias("_top"), F.size("n__c").alias("_of"))
+        near = near.select("point_id", (-F.col("_top.v")).alias("_m"), (F.col("_top.votes") / F.col("_of")).alias("_share"))
+        j = points.join(near, "point_id", "left")
+        flip = F.coalesce((F.col("_m") != F.col(label)) & (F.col("_share") >= min_agreement), F.lit(False))
+        old = F.col(confidence) if confidence else F.lit(1.0)
+        return j.withColumns({"new_class": F.when(flip, F.col("_m")).otherwise(F.col(label)).cast("int"),
+                              "new_confidence": F.when(flip, F.col("_share")).otherwise(old)}).drop("_m", "_share")
     near = nearest(points, points, k, exclude_self=True).select("point_id", "nid")
     pairs = cut(near.select("point_id", F.explode("nid").alias("n_id")))
     state = points.select("point_id", F.col(label).cast("int").alias("c"), (F.col(confidence) if confidence else F.lit(1.0)).alias("f"))

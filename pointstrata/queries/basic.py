@@ -188,10 +188,11 @@ add("P25_P27_roof_and_floors", "point_id:i roof:s kind:s floors:i confidence:d",
     shapes.floors(F.col("z") - 100).alias("floors"), H.capped_ratio((F.col("z") - 100) * 10, 50).alias("confidence")),
     "SELECT point_id, CASE WHEN s < 5 THEN 'flat' WHEN s < 25 THEN CASE WHEN intensity > 0.3e0 THEN 'gable' ELSE 'shed' END WHEN s < 45 THEN 'hip' ELSE 'complex' END AS roof, CASE WHEN intensity > 0.8e0 THEN 'roof' WHEN intensity < 0.2e0 THEN 'wall' ELSE 'sloped_roof' END AS kind, "
     "greatest(1, CAST(floor((z - 100) / 3e0 + 0.5e0) AS BIGINT)) AS floors, least(1e0, (z - 100) * 10 / 50e0) AS confidence FROM (SELECT *, (z - 100) * 2 AS s FROM scene)", "scene")
-add("P30_P31_lod_levels", "point_id:i density_score:d lod:i min_density:i accuracy_m:d", lambda p: lod.with_requirements(p.select(
-    "point_id", lod.density_score(F.col("z") - 100).alias("density_score"), lod.level_of((F.col("z") - 100) * 8).alias("lod"))),
+add("P30_P31_lod_levels", "point_id:i density_score:d lod:i min_density:i accuracy_m:d geometry:s uses:s", lambda p: lod.with_requirements(p.select(
+    "point_id", lod.density_score(F.col("z") - 100).alias("density_score"), lod.level_of((F.col("z") - 100) * 8).alias("lod"))).withColumn("uses", F.concat_ws("|", "use_cases")),
     "SELECT point_id, CASE WHEN d < 1 THEN 10 WHEN d < 5 THEN 30 WHEN d < 20 THEN 50 WHEN d < 50 THEN 70 WHEN d < 100 THEN 85 ELSE least(100e0, 85 + (d - 100) / 10) END AS density_score, lod, "
-    "CASE lod WHEN 100 THEN 1 WHEN 200 THEN 5 WHEN 300 THEN 20 WHEN 350 THEN 50 WHEN 400 THEN 100 ELSE 200 END AS min_density, CASE lod WHEN 100 THEN 1e0 WHEN 200 THEN 0.5e0 WHEN 300 THEN 0.15e0 WHEN 350 THEN 0.05e0 WHEN 400 THEN 0.02e0 ELSE 0.01e0 END AS accuracy_m "
+    "CASE lod WHEN 100 THEN 1 WHEN 200 THEN 5 WHEN 300 THEN 20 WHEN 350 THEN 50 WHEN 400 THEN 100 ELSE 200 END AS min_density, CASE lod WHEN 100 THEN 1e0 WHEN 200 THEN 0.5e0 WHEN 300 THEN 0.15e0 WHEN 350 THEN 0.05e0 WHEN 400 THEN 0.02e0 ELSE 0.01e0 END AS accuracy_m, "
+    + names_sql({r[0]: r[4] for r in lod.REQUIREMENTS}, "lod", "NULL") + " AS geometry, " + names_sql({r[0]: "|".join(r[5]) for r in lod.REQUIREMENTS}, "lod", "NULL") + " AS uses "
     "FROM (SELECT point_id, z - 100 AS d, CASE WHEN (z - 100) * 8 >= 90 THEN 500 WHEN (z - 100) * 8 >= 75 THEN 400 WHEN (z - 100) * 8 >= 60 THEN 350 WHEN (z - 100) * 8 >= 45 THEN 300 WHEN (z - 100) * 8 >= 30 THEN 200 ELSE 100 END AS lod FROM scene)", "scene")
 add("P32_recommendations", "tips:s", lambda p: reports.quality_row(p, 1.0).select(F.concat_ws(",", "recommendations").alias("tips")),
     "SELECT CASE WHEN count(DISTINCT classification) FILTER (classification <> 1) < 5 THEN 'few_classes' ELSE 'no_remarks' END AS tips FROM scene", "scene")

@@ -89,7 +89,7 @@ add("S31_model_save_and_load", "same:b", _saved)
 add("S30_training_report", "model:s good:b", lambda p: evaluation.model_metrics(evaluation.confusion(_trained(p)[1])).select("model", (F.col("macro_f1") > 0.5).alias("good")))
 cte("hard", "SELECT point_id, min(y_pred) AS y_pred, CASE WHEN min(y_pred) = max(y_pred) THEN 1e0 ELSE 0.5e0 END AS confidence FROM pred GROUP BY 1", "pred")
 add("K09_hard_voting", "point_id:i y_pred:i confidence:d", lambda p: learning.hard_vote(predictions(p)), "SELECT * FROM hard", "hard")
-cte("two", "SELECT point_id, a.y_pred AS p1, b.y_pred AS p2, a.confidence AS c1, b.confidence AS c2 FROM pred a JOIN pred b USING (point_id) WHERE a.model = 'forest' AND b.model = 'boosted'", "pred")
+cte("two", "SELECT point_id, max(y_pred) FILTER (model = 'forest') AS p1, max(y_pred) FILTER (model = 'boosted') AS p2, max(confidence) FILTER (model = 'forest') AS c1, max(confidence) FILTER (model = 'boosted') AS c2 FROM pred GROUP BY point_id", "pred")
 add("K10_soft_voting", "point_id:i y_pred:i confidence:d", lambda p: learning.soft_vote(predictions(p), "forest", "boosted"), "SELECT point_id, CASE WHEN c2 > c1 THEN p2 ELSE p1 END AS y_pred, greatest(c1, c2) AS confidence FROM two", "two")
 add("K11_weighted_voting", "point_id:i y_pred:i confidence:d", lambda p: learning.weighted_vote(predictions(p), "forest", "boosted", 0.75, 0.25),
     "SELECT point_id, CASE WHEN c2 * 0.25e0 > c1 * 0.75e0 THEN p2 ELSE p1 END AS y_pred, c1 * 0.75e0 + c2 * 0.25e0 AS confidence FROM two", "two")
@@ -121,7 +121,13 @@ add("C01_margin", "point_id:i score:d", lambda p: active.uncertain(_probs(p).wit
 add("C01_entropy", "score:d n:i", lambda p: active.uncertain(_probs(p).withColumn("confidence", F.lit(1.0)), 100, "entropy").groupBy(F.round("score", 6).alias("score")).agg(F.count("*").alias("n")),
     "SELECT round(h, 6) AS score, count(*) AS n FROM (SELECT -(p1 * ln(p1 + 1e-10) + p2 * ln(p2 + 1e-10) + p3 * ln(p3 + 1e-10)) AS h FROM probs ORDER BY 1 DESC LIMIT 100) GROUP BY 1", "probs")
 add("C01_random", "point_id:i", lambda p: active.uncertain(_fp(p), 100, "random", seed=5).select("point_id"), f"SELECT point_id FROM scene ORDER BY {hash_sql('point_id', 5)}, point_id LIMIT 100", "scene")
-add("C02_diversity", "n:i distinct_points:i", lambda p: active.diverse(_fp(p), p, 20, 200).agg(F.count("*").alias("n"), F.countDistinct("point_id").alias("distinct_points")), "SELECT 20 AS n, 20 AS distinct_points")
+cte("c02", "SELECT s.point_id, confidence AS score, x, y, z FROM pred JOIN scene s USING (point_id) WHERE model = 'forest' ORDER BY confidence, point_id LIMIT 200", "pred", "scene")
+cte("c02_picks", "SELECT 1 AS pick, point_id, [point_id] AS ids, [x] AS xs, [y] AS ys, [z] AS zs FROM (SELECT * FROM c02 ORDER BY score, point_id LIMIT 1) UNION ALL "
+    "SELECT pick + 1, n.point_id, list_append(ids, n.point_id), list_append(xs, n.x), list_append(ys, n.y), list_append(zs, n.z) FROM (SELECT r.pick, r.ids, r.xs, r.ys, r.zs, "
+    "arg_min(struct_pack(point_id := c.point_id, x := c.x, y := c.y, z := c.z), struct_pack(far := -list_min(list_transform(range(1, len(r.ids) + 1), "
+    "lambda i: (c.x - r.xs[i])**2 + (c.y - r.ys[i])**2 + (c.z - r.zs[i])**2)), score := c.score, point_id := c.point_id)) AS n FROM c02_picks r JOIN c02 c ON NOT list_contains(r.ids, c.point_id) "
+    "WHERE r.pick < 20 GROUP BY r.pick, r.ids, r.xs, r.ys, r.zs)", "c02")
+add("C02_diversity", "pick:i point_id:i", lambda p: active.diverse(_fp(p), p, 20, 200), "SELECT pick, point_id FROM c02_picks", "c02_picks")
 add("C03_apply_corrections", "classification:i n:i", lambda p: active.apply_corrections(_fp(p).select("point_id", F.col("y_pred").alias("classification")), _cor(p)).groupBy("classification").agg(F.count("*").alias("n")),
     "SELECT coalesce(new_label, y_pred) AS classification, count(*) AS n FROM pred LEFT JOIN corr USING (point_id) WHERE model = 'forest' GROUP BY 1", "pred", "corr")
 add("C03_correction_statistics", "change:s n:i unique_points:i", lambda p: active.correction_statistics(_cor(p)),
