@@ -67,7 +67,17 @@ for _i in range(1, 11):
     cte(f"g{_i}", f"SELECT a.ix, a.iy, coalesce(any_value(a.gz), avg(b.gz)) AS gz FROM g{_i - 1} a LEFT JOIN (SELECT ix + ox AS ix, iy + oy AS iy, gz FROM g{_i - 1}, ring WHERE gz IS NOT NULL) b ON a.ix = b.ix AND a.iy = b.iy AND a.gz IS NULL GROUP BY a.ix, a.iy", f"g{_i - 1}", "ring")
 add("M05_gap_filled_height", "point_id:i hag:d", lambda p: raster.height_above_ground(p, is_ground=F.col("classification") == 18),
     "SELECT point_id, z - coalesce(gz, (SELECT min(gz) FROM g10)) AS hag FROM (SELECT scene.*, CAST(floor(x - x0) AS BIGINT) AS ix, CAST(floor(y - y0) AS BIGINT) AS iy FROM scene, ext) JOIN g10 USING (ix, iy)", "scene", "ext", "g10")
-add("M03_ground_mask", "classification:i is_ground:b n:i", lambda p: ground.ground_mask(p).groupBy("classification", "is_ground").agg(F.count("*").alias("n")))
+_M03 = ground.GroundParams(1.0, 2, 0.5, 16.0)
+cte("gs0", "SELECT CAST(floor(x - x0) AS BIGINT) AS ix, CAST(floor(y - y0) AS BIGINT) AS iy, min(z) AS h FROM scene, ext GROUP BY 1, 2", "scene", "ext")
+for _k, (_before, _reach) in enumerate(((0, 1), (1, 2), (2, 4), (4, 8))):  # windows double until they span 16 m
+    _near = f"FROM {{t}}{_k} g, range(-{_reach}, {_reach + 1}) a(ox), range(-{_reach}, {_reach + 1}) b(oy) JOIN {{t}}{_k} n ON n.ix = g.ix + ox AND n.iy = g.iy + oy GROUP BY g.ix, g.iy"
+    cte(f"ge{_k}", "SELECT g.ix, g.iy, min(n.h) AS h " + _near.format(t="gs"), f"gs{_k}")
+    cte(f"gd{_k}", "SELECT g.ix, g.iy, max(n.h) AS h " + _near.format(t="ge"), f"ge{_k}")
+    _step = _M03.slope * (_reach - _before) * 2 * _M03.resolution + _M03.threshold
+    cte(f"gs{_k + 1}", f"SELECT g.ix, g.iy, CASE WHEN g.h - d.h > {_step}e0 THEN d.h ELSE g.h END AS h FROM gs{_k} g JOIN gd{_k} d USING (ix, iy)", f"gs{_k}", f"gd{_k}")
+add("M03_ground_mask", "point_id:i is_ground:b", lambda p: ground.ground_mask(p, _M03),
+    f"SELECT point_id, z - h <= {_M03.threshold}e0 AS is_ground FROM scene, ext JOIN gs4 ON ix = CAST(floor(x - x0) AS BIGINT) AND iy = CAST(floor(y - y0) AS BIGINT)", "scene", "ext", "gs4")
+add("M03_ground_counts", "classification:i is_ground:b n:i", lambda p: ground.ground_mask(p).groupBy("classification", "is_ground").agg(F.count("*").alias("n")))
 
 # ---- rasters at 4 m nodes -------------------------------------------------
 _R = 4.0
