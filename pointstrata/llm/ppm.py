@@ -24,6 +24,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -35,6 +36,7 @@ BITS = 9
 END = 256
 BLOCK_BYTES = 24 << 20
 SLICE = 1 << 20
+PACK_ROWS = 400_000
 
 
 def grams(texts: list[bytes], order: int = ORDER) -> tuple[np.ndarray, np.ndarray]:
@@ -57,36 +59,64 @@ def _summed(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarra
 
 # ---- blocks of documents ---------------------------------------------------
 
+PACKED = "block int, data binary"
+
+
+def packed(rows: DataFrame, count: int = 1) -> DataFrame:
+    """(block, data): rows of one task that belong to one block, compressed together, after every ``count`` rows or more.
+
+    A block's rows then travel and are sorted as few large values, not one by one.
+    """
+    def deal(held):
+        table = pa.Table.from_batches(held).combine_chunks()
+        at = table.schema.get_field_index("block")
+        block = table.column(at).to_numpy()
+        order = np.argsort(block, kind="stable")
+        cuts = np.flatnonzero(np.diff(block[order], prepend=-1, append=-1))
+        ids, blobs = [], []
+        for a, b in zip(cuts[:-1], cuts[1:]):
+            part = table.take(pa.array(order[a:b])).remove_column(at)
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, part.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+                out.write_table(part)
+            ids.append(block[order[a]])
+            blobs.append(sink.getvalue().to_pybytes())
+        return pa.RecordBatch.from_arrays([pa.array(ids, pa.int32()), pa.array(blobs, pa.binary())], names=["block", "data"])
+
+    def run(batches):
+        held, n = [], 0
+        for batch in batches:
+            if batch.num_rows:
+                held.append(batch)
+                n += batch.num_rows
+            if n >= count:
+                yield deal(held)
+                held, n = [], 0
+        if held:
+            yield deal(held)
+
+    return rows.mapInArrow(run, PACKED)
+
+
 def bundles(docs: DataFrame, learn: Column, blocks: int) -> DataFrame:
-    """(block, data): the documents of a batch that belong to one block, compressed together."""
+    """The documents, dealt to blocks by a hash and packed."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"),
                        F.coalesce(learn, F.lit(True)).alias("train"))
-    rows = rows.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int"))
+    return packed(rows.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int")))
 
-    def run(batches):
-        for batch in batches:
-            block = unchunked(batch.column(3)).to_numpy(zero_copy_only=False)
-            order = np.argsort(block, kind="stable")
-            cuts = np.flatnonzero(np.diff(block[order], prepend=-1, append=-1))
-            for a, b in zip(cuts[:-1], cuts[1:]):
-                part = batch.take(pa.array(order[a:b])).select([0, 1, 2])
-                sink = pa.BufferOutputStream()
-                with pa.ipc.new_stream(sink, part.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
-                    out.write_batch(part)
-                yield pa.RecordBatch.from_arrays([pa.array([block[order[a]]], pa.int32()), pa.array([sink.getvalue().to_pybytes()], pa.binary())],
-                                                 names=["block", "data"])
 
-    return rows.mapInArrow(run, "block int, data binary")
+def unpacked(table: pa.Table):
+    for data in table.column("data"):
+        yield from pa.ipc.open_stream(data.as_buffer())
 
 
 def _parts(table: pa.Table):
     """(doc ids, texts as Arrow, texts as bytes, training flags) of bounded slices of a block."""
-    for data in table.column("data"):
-        for batch in pa.ipc.open_stream(data.as_buffer()):
-            texts, train = texts_of(batch), unchunked(batch.column(2)).to_numpy(zero_copy_only=False).astype(bool)
-            for lo, hi in slices(texts, SLICE):
-                part = texts.slice(lo, hi - lo)
-                yield unchunked(batch.column(0)).slice(lo, hi - lo), part, part.cast(pa.large_binary()).to_pylist(), train[lo:hi]
+    for batch in unpacked(table):
+        texts, train = texts_of(batch), unchunked(batch.column(2)).to_numpy(zero_copy_only=False).astype(bool)
+        for lo, hi in slices(texts, SLICE):
+            part = texts.slice(lo, hi - lo)
+            yield unchunked(batch.column(0)).slice(lo, hi - lo), part, part.cast(pa.large_binary()).to_pylist(), train[lo:hi]
 
 
 ASKED = "block int, gram long, word binary, n long"
@@ -189,23 +219,28 @@ def scores(docs: DataFrame, learn: Column, order: int = ORDER, block_bytes: int
     ends = docs.where(F.coalesce(learn, F.lit(True))).count()  # every training document has one end
     n, v = n + ends, v + (ends > 0)
     floor, end_score = float(np.log10(n + v + 1)), float(np.log10(ends + 1))
-    known = held.where("gram is not null").join(logp, "gram").select("block", "gram", "logp", F.lit(None).cast("binary").alias("word"), F.lit(None).cast("long").alias("c"))
-    known = known.unionByName(words.select("block", F.lit(None).cast("long").alias("gram"), F.lit(None).cast("double").alias("logp"), "word", "c"))
+    known = packed(held.where("gram is not null").join(logp, "gram").select("block", "gram", "logp"), PACK_ROWS)
+    known = known.unionByName(packed(words.select("block", "word", "c"), PACK_ROWS))
 
     def run(key, left, right):
-        gram = right.column("gram").combine_chunks()
-        has = gram.is_valid().to_numpy(zero_copy_only=False)
-        code = gram.filter(pa.array(has)).to_numpy(zero_copy_only=False)
-        value = right.column("logp").combine_chunks().filter(pa.array(has)).to_numpy(zero_copy_only=False)
+        grams_, values, names_, counts_ = [np.zeros(0, np.int64)], [np.zeros(0)], [pa.array([], pa.binary())], [np.zeros(0, np.int64)]
+        for batch in unpacked(right):
+            one, two = unchunked(batch.column(0)), unchunked(batch.column(1)).to_numpy(zero_copy_only=False)
+            if batch.schema.names[0] == "gram":
+                grams_.append(one.to_numpy(zero_copy_only=False))
+                values.append(two)
+            else:
+                names_.append(one)
+                counts_.append(two)
+        code, value = np.concatenate(grams_), np.concatenate(values)
+        word, count = pa.concat_arrays(names_), np.concatenate(counts_)
         logp_of = Lookup(code, value) if len(code) else None
-        word = dict(zip(right.column("word").combine_chunks().filter(pa.array(~has)).to_pylist(),
-                        right.column("c").combine_chunks().filter(pa.array(~has)).to_pylist()))
         out = {x: [] for x in ("doc_id", "train", "n_tokens", "n_known", "base_score", "score")}
         for doc, texts, raw, train in _parts(left):
             found, off = grams(raw, order)
             score = sums(logp_of(found), off)
             codes, names, off = words_of(texts)
-            c = np.array([word[w] for w in names], np.int64)
+            c = count[pc.index_in(pa.array(names, pa.binary()), value_set=word).to_numpy(zero_copy_only=False).astype(np.int64)] if names else np.zeros(0, np.int64)
             tokens = np.diff(off) + 1
             out["doc_id"].append(doc)
             out["train"].append(pa.array(train))
