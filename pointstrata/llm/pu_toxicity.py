@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from .common import ragged, slices, sums, texts_of, with_columns, words_of
 
 BUCKETS = 1 << 16
-POSITIVES, UNLABELLED = 2500, 5000
+POSITIVES, UNLABELLED = 2500, 4000
 TOP = 4
 STEPS = 500  # of the fit at least
 #: The score at which a text counts as toxic.
@@ -71,7 +71,7 @@ def pooled(value: np.ndarray, codes: np.ndarray, offsets: np.ndarray) -> tuple[n
 
 def _bags(texts: list[str]):
     codes, words, offsets = words_of(pa.array(texts, pa.large_string()))
-    return codes, word_features(words), offsets
+    return codes.astype(np.int32), word_features(words).astype(np.int32), offsets
 
 
 def fit(positive: list[str], unlabelled: list[str], prior: float, epochs: int = 14, rate: float = 0.02, seed: int = 7) -> Model:
@@ -129,7 +129,7 @@ def fit(positive: list[str], unlabelled: list[str], prior: float, epochs: int =
                 x -= lr * (m1 / (1 - 0.9 ** step)) / (np.sqrt(m2 / (1 - 0.99 ** step)) + 1e-6)
             extra[:2] = np.maximum(extra[:2], 0.05)
     raw = Model(weights, extra[:2].copy(), float(extra[2]))
-    z = raw.logits(codes, features, offsets)
+    z = np.concatenate([raw.logits(codes[offsets[i]:offsets[min(i + 500, total)]], features, offsets[i:i + 501] - offsets[i]) for i in range(0, total, 500)])
     z_p, z_u = (z[held_p], z[held_u + np_]) if np_ >= 200 else (z[:np_], z[np_:])  # with few positives none can be held out
     slope, shift = _calibrate(z_p, z_u, prior)
     at = _operating_point(slope * z_p + shift, slope * z[np_:] + shift, prior)
