@@ -67,6 +67,11 @@ def packed(rows: DataFrame, count: int = 1) -> DataFrame:
 
     A block's rows then travel and are sorted as few large values, not one by one.
     """
+    def pieces(batch):
+        if "text" not in batch.schema.names:
+            return [batch] if batch.num_rows else []
+        return (batch.slice(lo, hi - lo) for lo, hi in slices(texts_of(batch)))
+
     def deal(held):
         table = pa.Table.from_batches(held).combine_chunks()
         at = table.schema.get_field_index("block")
@@ -86,12 +91,13 @@ def packed(rows: DataFrame, count: int = 1) -> DataFrame:
     def run(batches):
         held, n = [], 0
         for batch in batches:
-            if batch.num_rows:
-                held.append(batch)
-                n += batch.num_rows
-            if n >= count:
-                yield deal(held)
-                held, n = [], 0
+            for part in pieces(batch):
+                held.append(part)
+                n += part.num_rows
+                if n >= count:
+                    yield deal(held)
+                    held, n = [], 0
+            pa.default_memory_pool().release_unused()
         if held:
             yield deal(held)
 
@@ -126,7 +132,7 @@ def asked(parts: DataFrame, order: int = ORDER) -> DataFrame:
     """The grams and words of each block and how often training documents of the block have them."""
 
     def run(key, table):
-        keys, counts, words = [], [], {}
+        keys, counts, names_, known = [], [], [pa.array([], pa.binary())], [np.zeros(0)]
         for _, texts, raw, train in _parts(table):
             code, off = grams(raw, order)
             learn = np.repeat(train, np.diff(off))
@@ -138,14 +144,17 @@ def asked(parts: DataFrame, order: int = ORDER) -> DataFrame:
                 k, c = _summed(keys, counts)
                 keys, counts = [k, k[:0]], [c, c[:0]]
             codes, names, off = words_of(texts)
-            n = np.bincount(codes, np.repeat(train, np.diff(off)), len(names)).astype(np.int64)
-            for w, c in zip(names, n.tolist()):
-                words[w] = words.get(w, 0) + c
+            names_.append(pa.array(names, pa.binary()))
+            known.append(np.bincount(codes, np.repeat(train, np.diff(off)), len(names)))
         k, c = _summed(keys, counts)
-        block = np.full(len(k) + len(words), key[0].as_py(), np.int32)
-        return pa.table({"block": block, "gram": pa.concat_arrays([pa.array(k), pa.nulls(len(words), pa.int64())]),
-                         "word": pa.concat_arrays([pa.nulls(len(k), pa.binary()), pa.array(list(words), pa.binary())]),
-                         "n": np.concatenate((c, np.fromiter(words.values(), np.int64, len(words))))})
+        flat = pa.concat_arrays(names_).dictionary_encode()
+        words = flat.dictionary
+        n = np.bincount(flat.indices.to_numpy(zero_copy_only=False), np.concatenate(known), len(words)).astype(np.int64)
+        out = pa.table({"block": np.full(len(k) + len(words), key[0].as_py(), np.int32),
+                        "gram": pa.concat_arrays([pa.array(k), pa.nulls(len(words), pa.int64())]),
+                        "word": pa.concat_arrays([pa.nulls(len(k), pa.binary()), words]), "n": np.concatenate((c, n))})
+        pa.default_memory_pool().release_unused()
+        return out
 
     return parts.groupBy("block").applyInArrow(run, ASKED)
 
@@ -248,6 +257,7 @@ def scores(docs: DataFrame, learn: Column, order: int = ORDER, block_bytes: int
             out["n_known"].append(pa.array(sums((c > 0).astype(np.int64)[codes], off) + (ends > 0)))
             out["base_score"].append(pa.array(sums(np.log10(c + 1.0)[codes], off) + end_score - tokens * floor))
             out["score"].append(pa.array(score))
+        pa.default_memory_pool().release_unused()
         kinds = (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64())
         return pa.table({x: pa.concat_arrays(a) if a else pa.array([], t) for (x, a), t in zip(out.items(), kinds)})
 
