@@ -116,9 +116,22 @@ def unpacked(table: pa.Table):
         yield from pa.ipc.open_stream(data.as_buffer())
 
 
+def _gathered(table: pa.Table):
+    """The batches of a block, small ones put together."""
+    held, size = [], 0
+    for batch in unpacked(table):
+        held.append(batch)
+        size += batch.nbytes
+        if size >= SLICE:
+            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            held, size = [], 0
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+
 def _parts(table: pa.Table):
     """(doc ids, texts as Arrow, texts as bytes, training flags) of bounded slices of a block."""
-    for batch in unpacked(table):
+    for batch in _gathered(table):
         texts, train = texts_of(batch), unchunked(batch.column(2)).to_numpy(zero_copy_only=False).astype(bool)
         for lo, hi in slices(texts, SLICE):
             part = texts.slice(lo, hi - lo)
