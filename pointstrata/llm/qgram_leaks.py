@@ -34,6 +34,7 @@ STRIDE = 32  # bands are twice as wide; at least 2 k + 1
 BLOCK_CHARS = 2_000_000
 HASH_BITS = 21
 _END = 0xFF  # never part of UTF-8
+_WALL = 1 << 12  # cost of the end of a text: no alignment passes from one text to the next
 
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[[c for c in range(128) if not chr(c).isalnum()]] = 32
@@ -108,17 +109,20 @@ def align(index: Index, probe: np.ndarray, low: np.ndarray, data: np.ndarray) ->
     """Least edits of each probe in the band of diagonals from ``low`` on, and where that alignment ends."""
     width = 2 * STRIDE
     best, end = np.empty(len(probe), np.int64), np.empty(len(probe), np.int64)
-    d, one = np.arange(width, dtype=np.int16), np.int16(1)
+    one = np.int32(1)
     for lo in range(0, len(probe), 2048):
         p, base = probe[lo:lo + 2048], low[lo:lo + 2048]
-        cost = np.zeros((len(p), width), np.int16)
+        cost = np.zeros((len(p), width), np.int32)
         done = index.length[p]
         at = base[:, None] + np.arange(int(done.max()) + width)
         window = np.where((at >= 0) & (at < len(data)), data[np.clip(at, 0, len(data) - 1)], _END)
+        wall = np.where(window == _END, np.int32(_WALL), np.int32(0))
+        more = np.cumsum(wall + one, axis=1, dtype=np.int32)
         letters = index.letters[p]
         top, stop = np.zeros(len(p), np.int64), np.zeros(len(p), np.int64)
         for i in range(int(done.max())):
-            new = cost + (window[:, i:i + width] != letters[:, i:i + 1])
+            d = more[:, i:i + width]
+            new = cost + (window[:, i:i + width] != letters[:, i:i + 1]) + wall[:, i:i + width]
             np.minimum(new[:, :-1], cost[:, 1:] + one, out=new[:, :-1])  # the probe's character is missing in the text
             new -= d
             cost = np.minimum.accumulate(new, axis=1)  # the text has characters more
@@ -175,14 +179,13 @@ def find(texts: pa.Array, index: Index) -> list[tuple[int, object, int, int, int
         edits, end = align(index, probe_c, low, data)
         ok = edits <= index.edits[probe_c]
         probe_c, edits, end = probe_c[ok], edits[ok], end[ok]
-        start = np.maximum(end - index.length[probe_c], 0)
         stops = np.flatnonzero(data == _END)
-        row = np.searchsorted(stops, start)
+        row = np.searchsorted(stops, end - 1)  # the alignment may be shorter than its probe: only its end is sure to lie in the text
         begin = np.concatenate(([0], stops[:-1] + 1))
         points = np.cumsum((raw & 0xC0) != 0x80)
         zero = np.concatenate(([0], points[origin[stops]]))  # code points up to each text
         cp = lambda at: points[origin[np.minimum(at, len(data) - 1)]] - 1
-        s, e = cp(np.maximum(start, begin[row])) - zero[row], cp(end - 1) + 1 - zero[row]
+        s, e = cp(np.maximum(end - index.length[probe_c], begin[row])) - zero[row], cp(end - 1) + 1 - zero[row]
         regions: dict[tuple[int, object], list[list[int]]] = {}
         for i in np.lexsort((s, row)):
             here = regions.setdefault((int(row[i]) + lo, index.item[probe_c[i]]), [])

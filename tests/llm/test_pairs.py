@@ -198,3 +198,19 @@ def test_leak_edges(spark):
     assert leaks.clean(docs, bench).count() == len(ROWS) - 1 and leaks.clean(docs, bench).columns == docs.columns
     assert leaks.matches(docs, bench.limit(0)).count() == 0 and leaks.clean(docs, bench.limit(0)).count() == len(ROWS)
     assert leaks.matches(empty_docs(spark), bench).count() == 0
+
+
+@pytest.mark.parametrize("words", [17, 40])
+@pytest.mark.parametrize("gone", [1, 3, 5])
+def test_short_passage_at_the_edges_of_a_document(spark, words, gone):
+    rng = random.Random(10 * words + gone)
+    item = _prose(rng, words)
+    at = [len(item) // 2 - 2 * j for j in range(gone)]
+    cut = "".join(c for j, c in enumerate(item) if j not in at)
+    texts = [_prose(rng, 30), cut + " " + _prose(rng, 30), _prose(rng, 30), _prose(rng, 30) + " " + cut, item[gone:], item[:-gone], _prose(rng, 30)]
+    rows = leaks.find(pa.array(texts, pa.large_string()), leaks.index_of([(7, item)]))
+    assert {r[0] for r in rows} == {1, 3, 4, 5}
+    assert all(0 <= start < end <= len(texts[row]) for row, _, start, end, _ in rows)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    bench = spark.createDataFrame([(7, item)], "item_id long, text string")
+    assert {r["doc_id"] for r in leaks.clean(docs, bench).collect()} == {0, 2, 6}
