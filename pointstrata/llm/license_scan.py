@@ -104,25 +104,53 @@ def patience(text: list, template: list) -> list[tuple[int, int]]:
     return sorted(out)
 
 
+def upper_bounds(text: list, template: list, reach: int) -> list[int]:
+    """For each place, how many of the template's words (repeats included) the ``reach`` words from there on hold."""
+    want, have, n, out = Counter(template), Counter(), 0, []
+    for i in range(len(text) + reach):
+        if i >= reach:
+            out.append(n)
+            w = text[i - reach]
+            n -= 0 < have[w] <= want[w]
+            have[w] -= 1
+        if i < len(text):
+            w = text[i]
+            have[w] += 1
+            n += have[w] <= want[w]
+    return out
+
+
 def regions(text: list, template: list) -> list[tuple[int, int, int]]:
-    """(first, last, aligned) of the template's places in a stretch of words, from left to right."""
-    need, reach, step = COVERAGE * len(template), int(STRETCH * len(template)) + 1, max(1, len(template) // 2)
-    out, lo = [], 0
-    while len(text) - lo >= need:
-        best = (0, 0, 0)
-        for at in (lo, lo + step):
-            found = patience(text[at:at + reach], template)
-            if len(found) >= need and len(found) > best[2]:
-                best = (at + found[0][0], at + found[-1][0], len(found))
-        if best[2]:
-            again = patience(text[best[0]:best[0] + reach], template)  # now with the whole template in view
-            if len(again) >= best[2]:
-                best = (best[0] + again[0][0], best[0] + again[-1][0], len(again))
+    """(first, last, aligned) of the template's places in a stretch of words, from left to right.
+
+    Every place is tried as the start.  The leftmost region that reaches the
+    coverage is reported, unless a later start aligns more words with the same
+    text: then the first is cut off before it, or dropped if too little is left.
+    """
+    need, reach, known = COVERAGE * len(template), int(STRETCH * len(template)) + 1, set(template)
+    most = upper_bounds(text, template, reach)
+
+    def at(lo: int, hi: int) -> tuple[int, int, int] | None:
+        found = patience(text[lo:hi], template)
+        return (lo + found[0][0], lo + found[-1][0], len(found)) if len(found) >= need else None
+
+    out, best, lo = [], None, 0
+    while lo < len(text):
+        if best and lo > best[1]:
             out.append(best)
-            lo = best[1] + 1
-        else:
-            lo += step
-    return out
+            best = None
+        if text[lo] in known and most[lo] >= need and (best is None or most[lo] > best[2]):
+            new = at(lo, lo + reach)
+            if new and (best is None or new[2] > best[2]):
+                if best and new[0] > best[0]:
+                    left = at(best[0], new[0])
+                    out += [left] if left else []
+                best = new
+                lo = max(lo, best[0] - 1)  # next, with the whole template in view
+                if best[2] == len(template) == best[1] - best[0] + 1:  # nothing can be better
+                    lo = best[1]
+        lo += 1
+    return out + ([best] if best else [])
 
 
 def scan(docs: DataFrame, templates: dict[str, str] | None = None) -> DataFrame:

@@ -65,6 +65,24 @@ def test_statements_are_found(spark):
             assert 0.9 < r["coverage"] < 1
 
 
+def test_license_next_to_another():
+    template = "released under the mit license".split()
+    exact, altered = list(template), "released under the mit x".split()
+    assert license_scan.regions(altered + exact, template) == [(0, 3, 4), (5, 9, 5)]
+    assert license_scan.regions(exact + altered, template) == [(0, 4, 5), (5, 8, 4)]
+    assert license_scan.regions("released under the x".split() + exact, template) == [(4, 8, 5)]
+    assert license_scan.regions(exact * 3, template) == [(0, 4, 5), (5, 9, 5), (10, 14, 5)]
+
+
+@pytest.mark.parametrize("offset", range(0, 60))
+def test_stretched_license_at_every_offset(offset):
+    template = [f"t{i}" for i in range(40)]
+    stretched = [x for i, w in enumerate(template) for x in ([] if i % 8 == 3 else [w]) + ([f"x{i}"] if i % 8 < 4 else [])]
+    assert len(stretched) <= 1.5 * len(template)
+    text = [f"y{i}" for i in range(offset)] + stretched + [f"z{i}" for i in range(60)]
+    assert license_scan.regions(text, template) == [(offset, offset + max(i for i, w in enumerate(stretched) if w in template), 35)]
+
+
 def test_license_edges(spark):
     docs = edge_docs(spark)
     rows = license_scan.scan(docs, {"X": ROWS[0][1], "none": "", "twice": "same text twice in the table"}).collect()
