@@ -18,6 +18,7 @@ from pointstrata.llm import tokens
 from tests.llm.edge import ROWS, SCHEMA, edge_docs, empty_docs, key
 
 BYTE, WORD = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("word_bpe_49k.json")
+PIECE = public_tokenizers.path("piece_bpe_32k.model")
 PLAIN = {p: Tokenizer.from_file(p) for p in (BYTE, WORD)}
 
 
@@ -33,6 +34,15 @@ def test_pieces_encode_as_the_whole_text(texts):
         assert [ids[a:b].tolist() for a, b in zip(off, off[1:])] == [ids_of(path, t) for t in texts]
 
 
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.text(st.sampled_from("aB é'.,;:!?1 \n\n\t\u2581\xa0<|>日İśⱯ\U0001f600"), max_size=30), max_size=4))
+def test_prefixed_pieces_encode_as_the_whole_text(texts):
+    for path in (BYTE, PIECE):
+        enc = tokens.prefixed(path)
+        ids, off = enc.encode(pa.array(texts, pa.large_string()))
+        assert [ids[a:b].tolist() for a, b in zip(off, off[1:])] == [list(enc._whole(t)) for t in texts]
+
+
 def test_special_strings_in_a_text():
     texts = ["a <|endoftext|> b", "x<|endoftext|>y", "<|startoftext|>", "foo\n<|endoftext|>\nbar don't"]
     for path, spaced in ((BYTE, True), (WORD, False)):
