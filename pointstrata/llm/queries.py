@@ -8,10 +8,10 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import best_two_fit, crf_pii, huffman_ids, license_scan, line_frequency, mil_quality, ppm, pu_toxicity, qgram_leaks, simhash
+from . import best_two_fit, cost_balanced, crf_pii, huffman_ids, license_scan, line_frequency, mil_quality, ppm, pu_toxicity, qgram_leaks, rns_negatives, simhash, token_links
 from .common import fold, table
 
-BYTE_BPE, WORD_BPE = "byte_bpe_50k.json", "word_bpe_49k.json"
+BYTE_BPE, WORD_BPE, PIECE_BPE = "byte_bpe_50k.json", "word_bpe_49k.json", "piece_bpe_32k.model"
 
 
 def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -65,6 +65,21 @@ def op10_qgram_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return qgram_leaks.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op11_rns_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), moved.alias("label"), F.col("embedding").alias("vector"))
+    return rns_negatives.mine(rows, F.col("id") % 100 == 0)
+
+
+def op12_token_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_links.links(table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_BPE), public_tokenizers.path(PIECE_BPE))
+
+
+def op13_cost_balanced_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    packed = cost_balanced.cost_balanced(table(spark, sf_dir, "documents"), public_tokenizers.path(WORD_BPE))
+    return packed.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash_near_dedup": op1_simhash_near_dedup,
     "op2_license_scan": op2_license_scan,
@@ -76,6 +91,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_best_two_fit_packing": op8_best_two_fit_packing,
     "op9_line_frequency_rules": op9_line_frequency_rules,
     "op10_qgram_decontamination": op10_qgram_decontamination,
+    "op11_rns_hard_negatives": op11_rns_hard_negatives,
+    "op12_token_links": op12_token_links,
+    "op13_cost_balanced_packing": op13_cost_balanced_packing,
 }
 _WS = "[ \\t\\n\\x0B\\f\\r]+"
 _TRIM = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
@@ -106,6 +124,24 @@ SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS
 FROM judged
 """
 
+#: Rows numbered, so that an anchor leaves out just itself.
+HARD_NEGATIVES_SQL = """
+WITH e AS (SELECT row_number() OVER () AS r, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+                  list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v
+           FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+           AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+a AS (SELECT * FROM e WHERE vec_id % 100 = 0),
+s AS (SELECT a.r AS anchor, a.vec_id AS anchor_id, a.label AS anchor_label, e.vec_id, e.label, CAST(list_inner_product(a.v, e.v) AS BIGINT) AS score
+      FROM a, e WHERE a.r <> e.r),
+p AS (SELECT *, row_number() OVER (PARTITION BY anchor ORDER BY score DESC, vec_id) AS nth FROM s WHERE label = anchor_label),
+n AS (SELECT p.anchor_id, p.vec_id AS positive_id, row_number() OVER (PARTITION BY p.anchor, p.nth ORDER BY s.score DESC, s.vec_id) AS rank,
+             s.vec_id AS negative_id, p.score AS positive_score, s.score AS negative_score
+      FROM p JOIN s ON p.anchor = s.anchor AND s.label <> s.anchor_label AND 30 * p.score <= 100 * s.score AND 100 * s.score <= 90 * p.score
+      WHERE p.nth <= 5)
+SELECT anchor_id, positive_id, CAST(rank AS INTEGER) AS rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 10
+"""
+
 ORACLE_SQL: dict[str, str] = {
+    "op11_rns_hard_negatives": HARD_NEGATIVES_SQL,
     "op9_line_frequency_rules": LINE_FREQUENCY_SQL,
 }
