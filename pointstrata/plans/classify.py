@@ -126,9 +126,7 @@ def classify(points: DataFrame, cfg: Config = Config(), has_colour: bool = True,
     p = p.withColumn("_base", base)
     if "buildings" in cfg.steps:
         cand = p.where(landcover.building_candidates(F.col("hag"), *cfg.building_heights, has_colour=has_colour))
-        o = cfg.planes
-        found = planes.extract_planes(sampling.tile_key(cand, ext, plane_tile), "tile_id", o["max_planes"], o["min_points"],
-                                      o["threshold"], o["trials"], o["seed"])
+        found = planes.extract_planes(cand, ext, plane_tile, **cfg.planes)
         kind = found.select("point_id", "kind")
         p = p.join(kind, "point_id", "left")
         surface = F.when(F.col("kind") == "wall", 40).when(F.col("kind").isNotNull(), 41)

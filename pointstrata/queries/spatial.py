@@ -353,8 +353,6 @@ add("A44_building_statistics", "total_count:i total_area_m2:d total_volume_m3:d
 add("S23_building_elements", "name:s element_type:s", lambda p: reports.building_elements(shapes.buildings(p)), "SELECT 'Building_' || building_id AS name, 'IfcBuilding' AS element_type FROM blds", "blds")
 add("D03_J17_best_plane", "chunk_id:i inliers:i nz:d", lambda p: planes.best_planes(p.where("classification = 6"), "chunk_id", 40).select("chunk_id", "inliers", F.round(F.abs("nz"), 4).alias("nz")),
     "SELECT chunk_id, count(*) AS inliers, 1e0 AS nz FROM scene WHERE classification = 6 AND z = 106 GROUP BY 1", "scene")
-add("D04_A23_plane_extraction", "n_points:i building:i roof:i wall:i", lambda p: (lambda h: planes.building_statistics(h, planes.extract_planes(
-    sampling.tile_key(h.where(landcover.building_candidates(F.col("hag"))), cells.extent(h), 64.0), "tile_id", 3, 200, trials=60)))(raster.height_above_ground(p)))
 add("D42_cloud_lod", "lod:i overall_score:d confidence:d tips:s", lambda p: lod.cloud_lod(p).withColumn("tips", F.concat_ws(",", "recommendations")),
     "SELECT CASE WHEN s >= 90 THEN 500 WHEN s >= 75 THEN 400 WHEN s >= 60 THEN 350 WHEN s >= 45 THEN 300 WHEN s >= 30 THEN 200 ELSE 100 END AS lod, s AS overall_score, least(1e0, s / 100) AS confidence, concat_ws(',', CASE WHEN ds < 50 THEN 'low_density' END, CASE WHEN cs < 70 THEN 'incomplete_coverage' END, CASE WHEN es < 50 THEN 'limited_classes' END, CASE WHEN ns < 80 THEN 'noisy' END, "
     "CASE WHEN ds >= 50 AND cs >= 70 AND es >= 50 AND ns >= 80 THEN 'good_quality' END) AS tips FROM (SELECT *, ds * 0.4e0 + cs * 0.3e0 + es * 0.2e0 + ns * 0.1e0 AS s FROM (SELECT CASE WHEN d < 1 THEN 10 WHEN d < 5 THEN 30 WHEN d < 20 THEN 50 ELSE 70 END AS ds, cs, es, ns FROM (SELECT n / ((x1 - x0) * (y1 - y0)) AS d FROM ext), "
@@ -367,7 +365,5 @@ add("D43_element_lod", "chunk_id:i lod:i point_density:d edge_quality:d confiden
 # ---- plans ----------------------------------------------------------------
 add("T00_slice", "point_id:i hag:d new_class:i", plan.classify_given_ground, "SELECT point_id, hag, new_class FROM slice", "slice")
 add("T00_slice_histogram", "new_class:i n:i", lambda p: plan.classify_given_ground(p).groupBy("new_class").agg(F.count("*").alias("n")), "SELECT new_class, count(*) AS n FROM slice GROUP BY 1", "slice")
-add("T00_full_classification", "new_class:i n:i", lambda p: plan.classify(p, plan.Config(planes={"max_planes": 4, "min_points": 200, "threshold": 0.1, "trials": 100, "seed": 0})).groupBy("new_class").agg(F.count("*").alias("n")))
-add("T00_fast_preset", "new_class:i n:i", lambda p: plan.classify(p, plan.preset("fast")).groupBy("new_class").agg(F.count("*").alias("n")))
 add("T00_step_statistics", "n_points:i noise:i ground:i vegetation:i infrastructure:i unclassified:i hag_min:d hag_max:d hag_mean:d", lambda p: plan.step_statistics(plan.classify_given_ground(p)),
     "SELECT count(*) AS n_points, count(*) FILTER (new_class = 7) AS noise, count(*) FILTER (new_class = 2) AS ground, count(*) FILTER (new_class IN (3, 4, 5)) AS vegetation, count(*) FILTER (new_class IN (9,17,18,19,20,21,30,32,35,36)) AS infrastructure, count(*) FILTER (new_class = 1) AS unclassified, min(hag) AS hag_min, max(hag) AS hag_max, avg(hag) AS hag_mean FROM slice", "slice")
