@@ -38,7 +38,8 @@ from .common import ragged, slices, store, sums, texts_of, unchunked
 from .tokens import prefixed
 
 BUCKETS = 256
-PART_BYTES = 32 << 20
+#: Text in a slice, and in the slices of a part.
+SLICE, PART_BYTES = 2 << 20, 16 << 20
 #: Rows of counts that one leaf of the tree adds up, and vectors that each further node adds up.
 LEAF, FAN = 256, 16
 LOAD = 2.0
@@ -91,7 +92,7 @@ def tokenize(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
         part, filled = TaskContext.get().partitionId() << 32, 0
         for batch in batches:
             texts, doc = texts_of(batch), unchunked(batch.column(0))
-            for lo, hi in slices(texts):
+            for lo, hi in slices(texts, SLICE):
                 here = texts.slice(lo, hi - lo)
                 filled += pc.sum(pc.binary_length(here)).as_py()
                 a, a_off, ok = restored(here, a_path)
@@ -102,6 +103,8 @@ def tokenize(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
                 kept = [x.astype(kind).tobytes() for x, kind in ((a, id_type(a_path)), (a_n * ok, "<u4"), (b, id_type(b_path)), (b_n * ok, "<u4"))]
                 yield pa.RecordBatch.from_arrays([pa.array([part], pa.int64()), pa.array([doc.slice(lo, hi - lo).to_pylist()], pa.list_(pa.int64())),
                                                   *(pa.array([x], pa.binary()) for x in kept)], names=["part", "doc_id", "a", "a_n", "b", "b_n"])
+                del a, b, kept
+                pa.default_memory_pool().release_unused()
                 if filled >= PART_BYTES:
                     part, filled = part + 1, 0
 
@@ -307,8 +310,8 @@ RESULT = "doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best l
 
 def described(a, a_n, b, i, j, ends) -> list[str]:
     """sha256 of ``a1,a2|b1;a3|b2,b3`` of each document; empty without tokens."""
-    names = [str(n) for n in range(1 + max(a.max(initial=0), b.max(initial=0)))]
-    a_names, b_names = list(map(names.__getitem__, a.tolist())), list(map(names.__getitem__, b.tolist()))
+    names = np.array([str(n) for n in range(1 + max(a.max(initial=0), b.max(initial=0)))], object)
+    a_names, b_names = names[a].tolist(), names[b].tolist()
     last = np.flatnonzero(ends)
     a_to, b_to = (i[last] + 1).tolist(), (j[last] + 1).tolist()
     groups, x, y = [], 0, 0
@@ -352,6 +355,8 @@ def links(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
                 per = [sums(x.astype(np.int64), off) for x in (ends, np.ones(len(at), np.int64), best[at], counts[at])]
                 out.append(pa.table([batch.column("doc_id")[k].values, pa.array(a_n), pa.array(b_n), *map(pa.array, per), pa.array(described(a, a_n, b, i, j, ends), pa.string())],
                                     names=["doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"]))
+                del a, b, i, j, is_a, is_b, at, ends
+                pa.default_memory_pool().release_unused()
         if not out:
             return pa.table({c: pa.array([], pa.string() if c == "groups_sha256" else pa.int64()) for c in (x.split()[0] for x in RESULT.split(", "))})
         return pa.concat_tables(out)
