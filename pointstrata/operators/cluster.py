@@ -3,8 +3,8 @@
 DBSCAN works on cells of side eps / sqrt(d): all core points of one cell are
 connected without looking at a single pair, so the graph has one vertex per
 cell.  Two nearby cells are compared by tight boxes first, then by the boxes of
-their sub-cells, and only sub-cells that straddle eps are compared by points.
-A crowded cell therefore never meets another one pair by pair.
+their halves, round by round, and points are compared only in parts that are
+small.  A crowded cell therefore never meets another one pair by pair.
 """
 
 from __future__ import annotations
@@ -13,28 +13,33 @@ import itertools
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut
 from .neighbours import positions, radius_pairs
 
-SUB = 4
+#: Pairs of positions in two parts of cells that are compared one by one.
+LEAF = 4096
 
 
 def connected_components(edges: DataFrame, vertices: DataFrame) -> DataFrame:
     """(v, component) where component is the smallest vertex id of its component.
 
-    Every round each vertex joins its smallest neighbour and the graph is
-    contracted, which at least halves the vertices that still have edges.
+    Every round each vertex joins the neighbour that is first in an order drawn
+    anew from hashes, and the graph is contracted.  The order does not follow
+    the ids: on a line with rising ids "the smallest neighbour" would move every
+    vertex by a few steps only, while in a drawn order descents are short and
+    each round leaves less than half of the vertices that still have edges.
     """
     labels = vertices.select("v", F.col("v").alias("component"))
     steps: list[DataFrame] = []
     e = cut(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     while not e.isEmpty():
+        order = lambda c: F.struct(F.xxhash64(F.col(c), F.lit(len(steps))).alias("h"), F.col(c).alias("id"))  # noqa: E731,B023
         both = e.select(F.col("a").alias("v"), F.col("b").alias("u")).unionByName(
             e.select(F.col("b").alias("v"), F.col("a").alias("u")))
-        f = both.groupBy("v").agg(F.least(F.col("v"), F.min("u")).alias("f"))
+        f = both.groupBy("v").agg(F.min(order("u")).alias("_u")).select("v", F.least(order("v"), F.col("_u"))["id"].alias("f"))
         for _ in range(2):
             g = f.select(F.col("v").alias("f"), F.col("f").alias("g"))
             f = f.join(g, "f").select("v", F.col("g").alias("f"))
@@ -46,7 +51,11 @@ def connected_components(edges: DataFrame, vertices: DataFrame) -> DataFrame:
     for f in steps:  # a logarithmic number of rounds
         labels = labels.join(f.withColumnRenamed("v", "component"), "component", "left").select(
             "v", F.coalesce("f", "component").alias("component"))
-    return labels
+    if not steps:
+        return labels
+    labels = cut(labels)
+    smallest = labels.groupBy("component").agg(F.min("v").alias("_m"))
+    return labels.join(smallest, "component").select("v", F.col("_m").alias("component"))
 
 
 def _box(dims: Sequence[str]) -> list:
@@ -70,29 +79,58 @@ def _far2(dims, a="", b="b_"):
 
 
 def _close_cells(core: DataFrame, cells: DataFrame, open_: DataFrame, dims, keys, within, side, e2) -> DataFrame:
-    """Of the undecided cell pairs those with two core points within eps."""
-    tagged = core.join(cells.select(*within, *keys, "vid"), within + keys)
-    sub = F.lit(0)
-    for k, d in zip(keys, dims):
-        part = F.floor((F.col(d) - F.col(k) * side) / side * F.lit(float(SUB))).cast("int")
-        sub = sub * F.lit(SUB) + F.least(F.greatest(part, F.lit(0)), F.lit(SUB - 1))
-    tagged = tagged.withColumn("sub", sub)
-    boxes = tagged.groupBy("vid", "sub").agg(*_box(dims))
-    bbox = boxes.select(*[F.col(c).alias(f"b_{c}") for c in boxes.columns])
-    fine = open_.join(boxes, "vid").join(bbox, "b_vid").where(_gap2(dims) <= e2).withColumn("_sure", _far2(dims) <= e2)
+    """Of the undecided cell pairs those with two core points within eps.
+
+    Both cells of a pair are halved along every axis, round by round.  Boxes of
+    the halves decide most pairs of parts: too far, or so near that the cells are
+    connected, which settles all other parts of the two cells.  Points are only
+    compared where two parts have ``LEAF`` pairs of positions at most, so a
+    crowded cell costs its border, not its square.
+    """
+    nd = len(dims)
+    need = open_.select("vid").unionByName(open_.select(F.col("b_vid").alias("vid"))).distinct()
+    at = cut(core.join(cells.select(*within, *keys, "vid"), within + keys).join(need, "vid", "left_semi").select(
+        "vid", *dims, *[((F.col(d) - F.col(k) * side) / side).alias(f"_u{i}") for i, (k, d) in enumerate(zip(keys, dims))]).distinct())
     extra = [c for c in open_.columns if c not in ("vid", "b_vid")]
-    fine = cut(fine.select("vid", "b_vid", "sub", "b_sub", "_sure", *extra))
-    sure2 = fine.where("_sure").select("vid", "b_vid").distinct()
-    rest = fine.where("not _sure").join(sure2, ["vid", "b_vid"], "left_anti")
-    pa_ = tagged.select("vid", "sub", *dims).distinct()
-    pb_ = pa_.select(*[F.col(c).alias(f"b_{c}") for c in pa_.columns])
-    d2 = None
-    for d in dims:
-        t = F.col(d) - F.col(f"b_{d}")
-        d2 = t * t if d2 is None else d2 + t * t
-    exact = (rest.join(pa_, ["vid", "sub"]).join(pb_, ["b_vid", "b_sub"]).where(d2 <= e2)
-             .select("vid", "b_vid").distinct())
-    return sure2.unionByName(exact)
+    pairs = open_.select("vid", "b_vid", *extra, F.lit(0).cast("long").alias("part"), F.lit(0).cast("long").alias("b_part"))
+    found: list[DataFrame] = []
+    level = 0
+    while True:
+        level += 1
+        parts = at.withColumn("up", _part(level - 1, nd)).withColumn("part", _part(level, nd))
+        boxes = cut(parts.groupBy("vid", "up", "part").agg(F.count(F.lit(1)).alias("n"), *_box(dims)))
+        b_boxes = boxes.select(*[F.col(c).alias(f"b_{c}") for c in boxes.columns])
+        below = pairs.select("vid", F.col("part").alias("up"), "b_vid", F.col("b_part").alias("b_up"), *extra)
+        below = below.join(boxes, ["vid", "up"]).join(b_boxes, ["b_vid", "b_up"]).where(_gap2(dims) <= e2)
+        below = cut(below.select("vid", "b_vid", "part", "b_part", *extra, (_far2(dims) <= e2).alias("_sure"), ((F.col("n") * F.col("b_n") <= LEAF) | F.lit(level >= 20)).alias("_leaf")))
+        sure = cut(below.where("_sure").select("vid", "b_vid").distinct())
+        rest = below.where("not _sure").join(sure, ["vid", "b_vid"], "left_anti")
+        found.append(sure)
+        pa_ = parts.select("vid", "part", *dims)
+        pb_ = pa_.select(*[F.col(c).alias(f"b_{c}") for c in pa_.columns])
+        d2 = None
+        for d in dims:
+            t = F.col(d) - F.col(f"b_{d}")
+            d2 = t * t if d2 is None else d2 + t * t
+        exact = cut(rest.where("_leaf").join(pa_, ["vid", "part"]).join(pb_, ["b_vid", "b_part"]).where(d2 <= e2).select("vid", "b_vid").distinct())
+        found.append(exact)
+        pairs = cut(rest.where("not _leaf").join(exact, ["vid", "b_vid"], "left_anti").select("vid", "b_vid", *extra, "part", "b_part"))
+        if pairs.isEmpty():
+            break
+    out = found[0]
+    for f in found[1:]:
+        out = out.unionByName(f)
+    return out.distinct()
+
+
+def _part(level: int, nd: int) -> Column:
+    """Number of the part of its cell that a point lies in after ``level`` halvings along every axis."""
+    wide = 1 << level
+    expr = F.lit(0).cast("long")
+    for i in range(nd):
+        step = F.floor(F.col(f"_u{i}") * F.lit(float(wide))).cast("long")
+        expr = expr * F.lit(wide) + F.least(F.greatest(step, F.lit(0)), F.lit(wide - 1))
+    return expr
 
 
 def dbscan(points: DataFrame, eps: float | str, min_samples: int, dims: Sequence[str] = ("x", "y"),

@@ -169,70 +169,81 @@ def track_points(points: DataFrame, direction: tuple[float, float] | None = None
 
 def rail_axes(points: DataFrame, **kw) -> DataFrame:
     """Left and right rail points of the segments that have more than 20 of each."""
-    t = track_points(points, **kw)
-    ok = t.groupBy("segment").agg(F.count(F.when(F.col("side") == "left", 1)).alias("l"), F.count(F.when(F.col("side") == "right", 1)).alias("r"))
-    return t.join(ok.where("l > 20 and r > 20").select("segment"), "segment", "left_semi")
+    return two_sided(track_points(points, **kw))
 
 
-def rail_pairs(axes: DataFrame, flat: bool, gauge: float = GAUGE) -> DataFrame:
+def two_sided(t: DataFrame, keys: tuple[str, ...] = ("segment",), min_points: int = 0) -> DataFrame:
+    """Rail points of the segments with more than 20 points on either side."""
+    ok = t.groupBy(*keys).agg(F.count(F.when(F.col("side") == "left", 1)).alias("l"), F.count(F.when(F.col("side") == "right", 1)).alias("r"))
+    return t.join(ok.where((F.col("l") > 20) & (F.col("r") > 20) & (F.col("l") + F.col("r") >= min_points)).select(*keys), list(keys), "left_semi")
+
+
+def rail_pairs(axes: DataFrame, flat: bool, gauge: float = GAUGE, keys: tuple[str, ...] = ("segment",)) -> DataFrame:
     """Nearest right-rail point of every left-rail point of the segment within twice the gauge."""
     dims = ("x", "y") if flat else XYZ
     left, right = axes.where("side = 'left'"), axes.where("side = 'right'")
     pairs = radius_pairs(left, right, 2 * gauge, dims, left_cols=("point_id", *XYZ), right_cols=("point_id", *XYZ),
-                         strict=True, equal=("segment",))
+                         strict=True, equal=keys)
     best = F.min(F.struct("d2", "n_point_id", "x", "y", "z", "n_x", "n_y", "n_z")).alias("b")
-    return pairs.groupBy("segment", "point_id").agg(best).select("segment", "point_id", "b.*")
+    return pairs.groupBy(*keys, "point_id").agg(best).select(*keys, "point_id", "b.*")
 
 
 def track_segments(points: DataFrame, direction: tuple[float, float] | None = None, gauge: float = GAUGE,
-                   axes: DataFrame | None = None) -> DataFrame:
+                   axes: DataFrame | None = None, keys: tuple[str, ...] = ("segment",), order: tuple[str, ...] = ("x", "y")) -> DataFrame:
     """Metrics per 50 m segment: gauge, cant, curvature, length and geometry type.
 
-    A segment is 50 m of rail, so ordering its centre line stays local.
+    A segment is 50 m of rail, so ordering its centre line stays local.  ``keys``
+    name a segment (track and segment in the frame of each track), ``order`` is
+    the order of its left-rail points along the line.
     """
     axes = cut(axes if axes is not None else rail_axes(points, direction=direction))
-    centre = rail_pairs(axes, flat=False, gauge=gauge)
-    line = centre.select("segment", *[((F.col(a) + F.col(f"n_{a}")) / 2).alias(a) for a in "xyz"], "point_id")
-    n = line.groupBy("segment").agg(F.count(F.lit(1)).alias("_n"))
-    thin = axes.join(n.where(F.col("_n") >= 10), "segment", "left_anti").select("segment", *XYZ, "point_id")
-    line = line.join(n.where(F.col("_n") >= 10).select("segment"), "segment", "left_semi").unionByName(thin)
-    w = Window.partitionBy("segment").orderBy("x", "y", "point_id")
+    centre = rail_pairs(axes, flat=False, gauge=gauge, keys=keys)
+    line = centre.select(*keys, *[((F.col(a) + F.col(f"n_{a}")) / 2).alias(a) for a in "xyz"], "point_id")
+    n = line.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    thin = axes.join(n.where(F.col("_n") >= 10), list(keys), "left_anti").select(*keys, *XYZ, "point_id")
+    line = line.join(n.where(F.col("_n") >= 10).select(*keys), list(keys), "left_semi").unionByName(thin)
+    extra = [c for c in order if c not in line.columns]
+    if extra:
+        line = line.join(axes.select(*keys, "point_id", *extra), [*keys, "point_id"])
+    w = Window.partitionBy(*keys).orderBy(*order, "point_id")
     step = line.withColumns({f"s{a}": F.lead(a).over(w) - F.col(a) for a in "xyz"}).where("sx is not null")
     step = step.withColumns({
         "d": F.sqrt(F.col("sx") * F.col("sx") + F.col("sy") * F.col("sy")),
         "d3": F.sqrt(F.col("sx") * F.col("sx") + F.col("sy") * F.col("sy") + F.col("sz") * F.col("sz")),
         "angle": F.atan2("sy", "sx")})
-    w2 = Window.partitionBy("segment").orderBy("x", "y", "point_id")
+    w2 = Window.partitionBy(*keys).orderBy(*order, "point_id")
     step = step.withColumn("turn", F.abs(F.lead("angle").over(w2) - F.col("angle")))
-    shape = step.groupBy("segment").agg(
+    step = step.withColumn("turn", F.least("turn", F.lit(2 * math.pi) - F.col("turn")))  # a line may head any way
+    shape = step.groupBy(*keys).agg(
         F.sum("d3").alias("length"), F.sum("turn").alias("_t"), F.sum(F.when(F.col("turn").isNotNull(), F.col("d"))).alias("_d"),
         F.count(F.lit(1)).alias("_m"))
-    ends = line.groupBy("segment").agg(F.min_by("z", "point_id").alias("z_first"), F.max_by("z", "point_id").alias("z_last"))
-    flat = rail_pairs(axes, flat=True, gauge=gauge)
-    gc = flat.groupBy("segment").agg(F.median(F.sqrt("d2")).alias("gauge"), (F.median(F.col("z") - F.col("n_z")) * 1000).alias("cant"))
-    out = shape.join(ends, "segment").join(gc, "segment", "left")
+    place = F.struct(*extra, "point_id")
+    ends = line.groupBy(*keys).agg(F.min_by("z", place).alias("z_first"), F.max_by("z", place).alias("z_last"))
+    flat = rail_pairs(axes, flat=True, gauge=gauge, keys=keys)
+    gc = flat.groupBy(*keys).agg(F.median(F.sqrt("d2")).alias("gauge"), (F.median(F.col("z") - F.col("n_z")) * 1000).alias("cant"))
+    out = shape.join(ends, list(keys)).join(gc, list(keys), "left")
     out = out.withColumn("curvature", F.when((F.col("_m") >= 9) & (F.col("_d") > 0), F.col("_t") / F.col("_d")).otherwise(F.lit(0.0)))
     kind = F.when(F.col("curvature") < 0.0001, "straight").when(F.col("curvature") < 0.001, "transition").otherwise("curve")
-    return out.select("segment", "length", F.coalesce("gauge", F.lit(gauge)).alias("gauge"),
+    return out.select(*keys, "length", F.coalesce("gauge", F.lit(gauge)).alias("gauge"),
                       (F.coalesce("gauge", F.lit(gauge)) - F.lit(gauge)).alias("gauge_deviation"),
                       F.coalesce("cant", F.lit(0.0)).alias("cant"), "curvature", kind.alias("geometry_type"),
                       (F.col("z_last") - F.col("z_first")).alias("dz"))
 
 
-def track_geometry(segments: DataFrame) -> DataFrame:
-    """Radius, cant, gradient and running kilometre per segment (NULL radius = straight).
+def track_geometry(segments: DataFrame, within: tuple[str, ...] = ()) -> DataFrame:
+    """Radius, cant, gradient and running kilometre per segment (NULL radius = straight); ``within`` counts kilometres per track.
 
     Segments are 50 m, so even a continental network is a few million rows; the
     running sum is taken over chunk totals first.
     """
     s = segments.withColumn("_c", F.floor(F.col("segment") / F.lit(10_000)).cast("int"))
-    w = Window.partitionBy("_c").orderBy("segment")
-    part = s.groupBy("_c").agg(F.sum("length").alias("_l"))
+    w = Window.partitionBy(*within, "_c").orderBy("segment")
+    part = s.groupBy(*within, "_c").agg(F.sum("length").alias("_l"))
     before = part.withColumn("_b", F.coalesce(F.sum("_l").over(
-        Window.partitionBy(F.lit(0)).orderBy("_c").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))).drop("_l")
-    run = s.join(F.broadcast(before), "_c").withColumn("_end", F.col("_b") + F.sum("length").over(w))
+        Window.partitionBy(*(within or (F.lit(0),))).orderBy("_c").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))).drop("_l")
+    run = s.join(before if within else F.broadcast(before), [*within, "_c"]).withColumn("_end", F.col("_b") + F.sum("length").over(w))
     return run.select(
-        "segment", F.when(F.col("curvature") > 0, F.lit(1.0) / F.col("curvature")).alias("horizontal_radius"), "cant",
+        *within, "segment", F.when(F.col("curvature") > 0, F.lit(1.0) / F.col("curvature")).alias("horizontal_radius"), "cant",
         F.when(F.col("length") > 0, F.col("dz") / F.col("length") * 1000).otherwise(F.lit(0.0)).alias("gradient"),
         ((F.col("_end") - F.col("length")) / 1000).alias("km_start"), (F.col("_end") / 1000).alias("km_end"))
 

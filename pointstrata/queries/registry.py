@@ -58,10 +58,11 @@ def finish_sql(body: str, cols: str) -> str:
     return f"SELECT {', '.join(out)} FROM ({body}) AS result"
 
 
-def add(name: str, cols: str, build: Callable[[DataFrame], DataFrame], body: str | None = None, *ctes: str) -> None:
-    """Registers a query over the scene; ``body`` is its SQL over the named CTEs."""
+def add(name: str, cols: str, build: Callable[[DataFrame], DataFrame], body: str | None = None, *ctes: str,
+        source: Callable[[SparkSession, str], DataFrame] = scene) -> None:
+    """Registers a query over the scene (or another source); ``body`` is its SQL over the named CTEs."""
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return finish(build(scene(spark, sf_dir)), cols)
+        return finish(build(source(spark, sf_dir)), cols)
 
     QUERIES[name] = run
     if body is not None:

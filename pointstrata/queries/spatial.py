@@ -6,12 +6,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import classes
-from ..operators import cells, evaluation, features, findings, ground, landcover, lod, noise, planes, railway, raster, rules, sampling, shapes
+from ..operators import cells, evaluation, features, findings, ground, landcover, lod, noise, planes, railway, raster, rules, sampling, shapes, tracks
 from ..operators import neighbours as nb
 from ..plans import classify as plan
 from ..plans import inventory
 from ..session import cut, work_folder
 from ..sources import reports
+from ..sources.scene import winding_tracks
 from .registry import MASKS, PRECEDENCE, add, cte, dbscan_ctes, names_sql
 
 # ---- neighbour lists in SQL: 8 m buckets, noise points against everything --
@@ -281,6 +282,30 @@ add("D24_N03_track_geometry", "segment:i horizontal_radius:d gradient:d km_start
 add("A41_track_statistics", "segments:i total_length_m:d avg_gauge_m:d max_cant_mm:d straight_ratio:d", lambda p: railway.track_statistics(_tr(p)),
     "SELECT count(*) AS segments, sum(length) AS total_length_m, avg(gauge) AS avg_gauge_m, max(abs(cant)) AS max_cant_mm, coalesce(sum(length) FILTER (geometry_type = 'straight'), 0) / sum(length) AS straight_ratio FROM tracks", "tracks")
 
+# tracks that wind: each in its own frame
+def _frames(p: DataFrame) -> DataFrame:
+    got = tracks.along_track(p).join(p.select("point_id", "line", "truth"), "point_id")
+    right = F.count(F.when(F.col("side") == F.col("truth"), 1))
+    return got.groupBy("line").agg(F.count("*").alias("n"), F.countDistinct("track").alias("tracks"), F.countDistinct("segment").alias("segments"),
+                                   F.least(right, F.count("*") - right).alias("wrong_sides"))
+
+
+def _frame_segments(p: DataFrame) -> DataFrame:
+    keys = ("track", "segment")
+    axes = cut(railway.two_sided(tracks.along_track(p), keys, 50))
+    seg = railway.track_segments(p, axes=axes, keys=keys, order=("chainage",))
+    line = axes.join(p.select("point_id", "line"), "point_id").groupBy("track").agg(F.min("line").alias("line"))
+    whole = seg.join(line, "track").where("length > 48")
+    return whole.groupBy("line").agg(F.round(F.avg("gauge"), 3).alias("gauge"), F.round(F.max(F.abs("cant")), 0).alias("cant"),
+                                     F.round(F.max("curvature") * 300).alias("bend"), (F.round(F.avg("length") / 5) * 5).alias("length"))
+
+
+cte("windstep", "SELECT line, sqrt((u - lag(u) OVER w) ** 2 + (y - lag(y) OVER w) ** 2) AS step FROM (SELECT o_orderkey % 2 AS line, (o_orderkey // 2) * 0.5e0 AS u, 60 * sin((o_orderkey // 2) * 0.5e0 / 150) AS y FROM orders) WINDOW w AS (PARTITION BY line ORDER BY u)")
+add("D21_N05_track_frames", "line:i n:i tracks:i segments:i wrong_sides:i", _frames,
+    "SELECT line, 2 * count(*) AS n, 1 AS tracks, CAST(floor(sum(step) / 50) AS BIGINT) + 1 AS segments, 0 AS wrong_sides FROM windstep GROUP BY line", "windstep", source=winding_tracks)
+add("D23_track_frame_segments", "line:i gauge:d cant:d bend:d length:d", _frame_segments,
+    "SELECT line, 1.435e0 AS gauge, 0 AS cant, round(60e0 / 150 / 150 * 300) AS bend, 50 AS length FROM windstep GROUP BY line", "windstep", source=winding_tracks)
+
 # ---- signals --------------------------------------------------------------
 _sg = lambda h: f"CASE WHEN {h} BETWEEN 3.5 AND 6 THEN 'main_signal' WHEN {h} BETWEEN 2.5 AND 4.5 THEN 'distant_signal' WHEN {h} BETWEEN 1.5 AND 3 THEN 'speed_limit' WHEN {h} BETWEEN 0.5 AND 1.5 THEN 'km_post' ELSE 'unknown' END"
 cte("profile", "SELECT cluster, least(CAST(floor((z - lo) / ((hi - lo) / 19)) AS BIGINT), 18) AS bin, count(*) AS n_points, greatest(max(x) - min(x), max(y) - min(y)) AS width FROM polec JOIN (SELECT cluster, min(z) AS lo, max(z) AS hi FROM polec GROUP BY 1) USING (cluster) WHERE z < hi GROUP BY 1, 2", "polec")

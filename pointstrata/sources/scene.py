@@ -91,6 +91,22 @@ def scene(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def winding_tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rails of two parallel tracks that wind to and fro: every order yields a point on both rails of one track.
+
+    ``line`` is the track, ``truth`` the side of the rail in the direction of growing keys.
+    """
+    k = F.col("o_orderkey").cast("long")
+    u = F.floor(k / 2) * 0.5
+    df = spark.read.parquet(f"{sf_dir}/orders.parquet").select(k.alias("k"), u.alias("u"), (k % 2).alias("line"), (0.4 * F.cos(u / 150)).alias("slope"))
+    df = df.withColumn("side", F.explode(F.array(F.lit(-1), F.lit(1))))
+    off = F.col("side") * 0.7175 / F.sqrt(1 + F.col("slope") * F.col("slope"))
+    return df.select(
+        (F.col("k") * 2 + (F.col("side") + 1) / 2).cast("long").alias("point_id"), "line", (F.col("u") - off * F.col("slope")).alias("x"),
+        (60 * F.sin(F.col("u") / 150) + 5.0 * F.col("line") + off).alias("y"), (100 + F.col("u") / 500).alias("z"), F.lit(18).alias("classification"),
+        F.when(F.col("side") < 0, "left").otherwise("right").alias("truth"))
+
+
 def predictions(points: DataFrame) -> DataFrame:
     """Evaluation rows of two models over a classified cloud (long form)."""
     pid, truth = F.col("point_id"), F.col("classification")
