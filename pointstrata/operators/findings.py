@@ -84,16 +84,18 @@ def clash_pair_dim(spark: SparkSession, pairs=CLASH_PAIRS) -> DataFrame:
 def collision_points(points: DataFrame, pairs=CLASH_PAIRS) -> DataFrame:
     """Points of class a with the nearest class-b point closer than the allowed distance, per pair.
 
-    Every pair has its own radius, so each is its own cell join; the pair list
-    is a handful of rows.
+    All pairs go through one search, each with its own distance; a point takes
+    part in as many as its class has.
     """
-    out = None
-    p = points.select("point_id", "x", "y", "z", "classification")
-    for i, (a, b, d) in enumerate(pairs):
-        side_a, side_b = (p.where(F.col("classification") == c) for c in (a, b))
-        hit = nearest_within(side_a, side_b, d, keep=XYZ).select(F.lit(i).alias("pair"), "point_id", "x", "y", "z", "dist")
-        out = hit if out is None else out.unionByName(hit)
-    return out
+    p = points.select("point_id", *XYZ, "classification")
+
+    def sides(which: int, keep: tuple[str, ...]) -> DataFrame:
+        of = F.array(*[F.struct(F.lit(i).alias("pair"), F.lit(pair[which]).alias("class"), F.lit(float(pair[2])).alias("reach")) for i, pair in enumerate(pairs)])
+        mine = F.filter(of, lambda s: s["class"] == F.col("classification"))
+        return p.withColumn("_p", F.explode(mine)).select(*keep, "_p.pair", "_p.reach")
+
+    hit = nearest_within(sides(0, ("point_id", *XYZ)), sides(1, ("point_id", *XYZ)), "reach", equal=("pair",), keep=XYZ)
+    return hit.select("pair", "point_id", *XYZ, "dist")
 
 
 def clashes(points: DataFrame, pairs=CLASH_PAIRS, include_soft: bool = True, max_clashes: int | None = None,

@@ -311,23 +311,106 @@ def nearest(queries: DataFrame, data: DataFrame, k: int, dims: Sequence[str] = X
     return res.select(F.col("qid").alias(query_id), "nd", "nid", *[F.col(f"a_{c}").alias(f"n_{c}") for c in carry])
 
 
-def edges(neigh: DataFrame, query_id: str = "point_id") -> DataFrame:
-    """Long form of ``nearest``: one row per (query, neighbour)."""
-    arrays = [c for c in neigh.columns if c != query_id]
-    z = F.arrays_zip(*arrays)
-    out = neigh.select(query_id, F.posexplode(z).alias("rank", "e"))
-    return out.select(query_id, (F.col("rank") + 1).alias("rank"), *[F.col(f"e.{c}").alias(c) for c in arrays])
+#: Side of the tiles of ``nearest_within`` in radii, and parts of a tile along each axis inside the kernel.
+WITHIN_TILE, WITHIN_PARTS = 8.0, 16
 
 
-def nearest_within(left: DataFrame, right: DataFrame, r: float, dims: Sequence[str] = XYZ,
+def _boxes(x: np.ndarray, side: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(order of the rows by part, first row of each part and the end, lower corners, upper corners)."""
+    code = np.zeros(len(x), np.int64)
+    for c in np.floor((x - x.min(axis=0)) / side).astype(np.int64).T:
+        code = code * (4 * WITHIN_PARTS) + c
+    order = np.argsort(code, kind="stable")
+    first = np.flatnonzero(np.diff(code[order], prepend=-1))
+    lo, hi = np.minimum.reduceat(x[order], first), np.maximum.reduceat(x[order], first)
+    return order, np.append(first, len(x)), lo, hi
+
+
+def _closest(q: np.ndarray, d: np.ndarray, r: float) -> tuple[np.ndarray, np.ndarray]:
+    """(squared distance, row) of the nearest row of ``d`` closer than r; row -1 for none.  Equal distances take the first row.
+
+    Parts of both sides are compared by their boxes: a part of ``d`` that is
+    farther than the farthest corner of another one is not looked into.
+    """
+    best, pick = np.full(len(q), r * r), np.full(len(q), -1, np.int64)
+    if not len(q) or not len(d):
+        return best, pick
+    side = r * WITHIN_TILE / WITHIN_PARTS
+    q_order, q_at, q_lo, q_hi = _boxes(q, side)
+    d_order, d_at, d_lo, d_hi = _boxes(d, side)
+    for k in range(len(q_at) - 1):
+        rows = q_order[q_at[k]:q_at[k + 1]]
+        gap = np.maximum(np.maximum(d_lo - q_hi[k], q_lo[k] - d_hi), 0.0)
+        far = np.maximum(d_hi - q_lo[k], q_hi[k] - d_lo)
+        gap, far = (gap * gap).sum(axis=1), (far * far).sum(axis=1)
+        use = np.flatnonzero(gap <= min(far.min(), r * r))
+        if not len(use):
+            continue
+        cand = np.sort(np.concatenate([d_order[d_at[u]:d_at[u + 1]] for u in use]))
+        step = max(1, 2_000_000 // len(cand))
+        for lo in range(0, len(rows), step):
+            part = rows[lo:lo + step]
+            d2 = np.zeros((len(part), len(cand)))
+            for i in range(q.shape[1]):
+                diff = q[part, i:i + 1] - d[cand, i]
+                d2 += diff * diff
+            at = d2.argmin(axis=1)
+            found = d2[np.arange(len(part)), at]
+            hit = found < r * r
+            best[part[hit]], pick[part[hit]] = found[hit], cand[at[hit]]
+    return best, pick
+
+
+def nearest_within(left: DataFrame, right: DataFrame, r: float | str, dims: Sequence[str] = XYZ,
                    left_id: str = "point_id", right_id: str = "point_id",
-                   carry: Sequence[str] = (), equal: Sequence[str] = (), keep: Sequence[str] = ()) -> DataFrame:
-    """Nearest right row of every left row that has one within r (strictly); ``keep`` names left columns to return."""
-    pairs = radius_pairs(left, right, r, dims, left_cols=(left_id, *equal, *keep),
-                         right_cols=(right_id, *carry), strict=True, equal=equal)
-    best = F.min(F.struct("d2", f"n_{right_id}", *[f"n_{c}" for c in carry])).alias("_b")
-    kept = [F.first(c).alias(f"_k_{c}") for c in keep]
-    return pairs.groupBy(left_id, *equal).agg(best, *kept).select(
-        left_id, *equal, *[F.col(f"_k_{c}").alias(c) for c in keep], F.sqrt("_b.d2").alias("dist"), F.col(f"_b.n_{right_id}").alias("n_id"),
-        *[F.col(f"_b.n_{c}") for c in carry]
-    )
+                   carry: Sequence[str] = (), equal: Sequence[str] = (), keep: Sequence[str] = (), tile_rows: int = TILE_ROWS) -> DataFrame:
+    """Nearest right row of every left row that has one within r (strictly); ``keep`` names left columns to return.
+
+    ``equal`` names columns that must match; ``r`` may name one that both sides
+    have, when every group has its own radius.  Tiles hold the left rows once and
+    the right rows with a margin of r; the kernel returns one row a left row, so
+    the pairs within r are never made.  A tile that is too full is split into
+    chunks of both sides, whose nearest rows merge.
+    """
+    nd = len(dims)
+    equal = list(dict.fromkeys([*equal, *([r] if isinstance(r, str) else [])]))
+    reach = F.col(r).cast("double") if isinstance(r, str) else F.lit(float(r))
+    cols = list(dict.fromkeys([left_id, *equal, *keep]))
+    tkeys = [f"_t{i}" for i in range(nd)]
+    keys = [*equal, *tkeys]
+    side = reach * WITHIN_TILE
+    q = left.select(*cols, *[F.col(d).cast("double").alias(f"_q{i}") for i, d in enumerate(dims)], reach.alias("_r"))
+    q = q.withColumns({t: F.floor(F.col(f"_q{i}") / (F.col("_r") * WITHIN_TILE)).cast("long") for i, t in enumerate(tkeys)})
+    types = {c: t for c, t in left.dtypes if c in cols} | {f"_n_{c}": t for c, t in right.dtypes if c in (right_id, *carry)}
+    d = right.select(*equal, *[F.col(c).alias(f"_n_{c}") for c in dict.fromkeys([right_id, *carry])], *[F.col(c).cast("double").alias(f"_d{i}") for i, c in enumerate(dims)],
+                     side.alias("_s"), reach.alias("_m"))
+    for i, t in enumerate(tkeys):
+        span = F.sequence(*[F.floor((F.col(f"_d{i}") + F.col("_m") * sign) / F.col("_s")).cast("long") for sign in (-1, 1)])
+        d = d.withColumn(t, F.explode(span))
+    tiles = q.groupBy(*keys).agg(F.count(F.lit(1)).alias("_nq"))
+    d = cut(d.drop("_s", "_m").join(tiles.select(*keys), keys, "left_semi"))
+    size = cut(tiles.join(d.groupBy(*keys).agg(F.count(F.lit(1)).alias("_nd")), keys))
+    full = size.agg(F.max(F.greatest("_nq", "_nd"))).first()[0] or 0
+    if full > tile_rows:
+        chunks = lambda c: F.ceil(F.col(c) / F.lit(0.9 * tile_rows)).cast("int")
+        plan = size.select(*keys, chunks("_nq").alias("_sq"), chunks("_nd").alias("_sd"))
+        deal = lambda c, n: F.pmod(F.xxhash64(c), F.col(n)).cast("int")
+        q = q.join(plan, keys).withColumn("_kq", deal(left_id, "_sq")).withColumn("_kd", F.explode(F.sequence(F.lit(0), F.col("_sd") - 1))).drop("_sq", "_sd")
+        d = d.join(plan, keys).withColumn("_kd", deal(f"_n_{right_id}", "_sd")).withColumn("_kq", F.explode(F.sequence(F.lit(0), F.col("_sq") - 1))).drop("_sq", "_sd")
+        keys = [*keys, "_kq", "_kd"]
+    wanted = [f"_n_{c}" for c in dict.fromkeys([right_id, *carry])]
+
+    def kernel(lt: pa.Table, rt: pa.Table) -> pa.Table:
+        rt = rt.sort_by(f"_n_{right_id}")
+        x, y = (np.column_stack([t.column(f"{p}{i}").to_numpy() for i in range(nd)]) for t, p in ((lt, "_q"), (rt, "_d")))
+        best, pick = _closest(x, y, lt.column("_r")[0].as_py()) if lt.num_rows else (np.zeros(0), np.zeros(0, np.int64))
+        hit = np.flatnonzero(pick >= 0)
+        a, b = lt.select(cols).take(pa.array(hit)), rt.select(wanted).take(pa.array(pick[hit]))
+        return pa.table([*a.columns, *b.columns, pa.array(best[hit])], names=[*cols, *wanted, "_d2"])
+
+    ddl = ", ".join([f"`{c}` {types[c]}" for c in (*cols, *wanted)]) + ", _d2 double"
+    found = q.groupBy(*keys).cogroup(d.groupBy(*keys)).applyInArrow(kernel, ddl)
+    if full > tile_rows:
+        best = F.min(F.struct("_d2", *wanted)).alias("_b")
+        found = found.groupBy(*cols).agg(best).select(*cols, "_b.*")
+    return found.select(*cols, F.sqrt("_d2").alias("dist"), F.col(f"_n_{right_id}").alias("n_id"), *[F.col(f"_n_{c}").alias(f"n_{c}") for c in carry])

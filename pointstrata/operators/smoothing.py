@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..session import cut
 from . import cells
 from .cells import Extent, extent
-from .neighbours import XYZ, edges, nearest, positions, radius_pairs
+from .neighbours import XYZ, nearest, positions, radius_pairs
 
 
 def majority(votes: DataFrame, key: str, value: str, weight: Column | None = None) -> DataFrame:
