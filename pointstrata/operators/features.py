@@ -7,39 +7,29 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.eigen import moments, with_covariance, with_eigen3
+from ..functions.eigen import with_covariance, with_eigen3
 from ..session import cut
 from . import cells
 from .cells import Extent, extent
-from .neighbours import XYZ, nearest, radius_count, radius_pairs
+from .neighbours import XYZ, nearest, plane_distances, radius_count, radius_moments
 
 EPS = 1e-8
 SHAPE = ("planarity", "linearity", "sphericity", "verticality", "horizontality", "roughness", "height_variance", "density")
 
 
-def _weighted_moments() -> list[Column]:
-    return moments("dx", "dy", "dz", F.col("n_w").cast("double"))
-
-
 def radius_features(points: DataFrame, radius: float = 1.0, min_neighbours: int = 10, within: tuple[str, ...] = ()) -> DataFrame:
     """Points plus PCA features of the neighbours within ``radius`` (itself included).
 
     Works on distinct positions with weights.  Moments are sums of offsets from
-    the query point, so they merge map-side and stay exact; the pairs are
-    streamed twice (moments, then plane distances) instead of being kept.
+    the query point; a second search sums the distances from the fitted planes.
     ``within`` restricts neighbours to the same tile.
     """
     key = [*XYZ, *within]
-    pos = points.groupBy(*key).agg(F.count(F.lit(1)).alias("w"))
-    pairs = radius_pairs(pos, pos, radius, left_cols=XYZ, right_cols=("w",), equal=within)
-    off = {f"d{a}": F.col(f"n_{a}") - F.col(a) for a in "xyz"}
-    m = pairs.withColumns(off).groupBy(*key).agg(*_weighted_moments()).where(F.col("m_n") >= min_neighbours)
-    m = with_eigen3(with_covariance(m))
-    m = cut(m.select(*key, "m_n", "l1", "l2", "l3", "nx", "ny", "nz", "czz",
-                     *[(F.col(f"m_{a}") / F.col("m_n")).alias(f"g{a}") for a in "xyz"]))
-    again = radius_pairs(m, pos, radius, left_cols=(*XYZ, "nx", "ny", "nz", "gx", "gy", "gz"), right_cols=("w",), equal=within)
-    dist = F.abs(sum(((F.col(f"n_{a}") - F.col(a) - F.col(f"g{a}")) * F.col(f"n{a}") for a in "xyz"), F.lit(0.0)))
-    flat = again.groupBy(*key).agg((F.sum(dist * F.col("n_w")) / F.sum("n_w")).alias("_ad"))
+    pos = cut(points.groupBy(*key).agg(F.count(F.lit(1)).alias("w")))
+    m = with_eigen3(with_covariance(radius_moments(pos, pos, radius, equal=within).where(F.col("m_n") >= min_neighbours)))
+    offset = sum((F.col(f"m_{a}") / F.col("m_n") * F.col(f"n{a}") for a in "xyz"), F.lit(0.0))
+    m = cut(m.select(*key, "m_n", "l1", "l2", "l3", "nx", "ny", "nz", "czz", offset.alias("offset")))
+    flat = plane_distances(m, pos, radius, within).join(m.select(*key, "m_n"), key).select(*key, (F.col("m_d") / F.col("m_n")).alias("_ad"))
     den = F.col("l1") + F.lit(EPS)
     feats = m.join(flat, key).select(
         *key,

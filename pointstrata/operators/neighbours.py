@@ -108,9 +108,7 @@ def radius_count(queries: DataFrame, data: DataFrame, r: float, dims: Sequence[s
 
     Works on distinct positions with weights, so copies never multiply.
     """
-    q = queries.select(*dims).distinct()
-    pairs = radius_pairs(q, positions(data, dims), r, dims, left_cols=dims, right_cols=("w",))
-    cnt = pairs.groupBy(*dims).agg(F.sum("n_w").cast("long").alias(name))
+    cnt = radius_moments(queries.select(*dims).distinct(), positions(data, dims), r, dims).select(*dims, F.col("m_n").cast("long").alias(name))
     return queries.join(cnt, list(dims), "left").withColumn(name, F.coalesce(F.col(name), F.lit(0).cast("long")))
 
 
@@ -361,6 +359,35 @@ def _closest(q: np.ndarray, d: np.ndarray, r: float) -> tuple[np.ndarray, np.nda
     return best, pick
 
 
+def _within_tiles(q: DataFrame, d: DataFrame, nd: int, equal: list[str], q_row: Sequence[str], d_row: Sequence[str],
+                  tile_rows: int) -> tuple[DataFrame, DataFrame, list[str], bool]:
+    """(left, right, keys, split): left rows in one tile, right rows in every tile whose margin holds them.
+
+    ``q`` has _q0 ..., ``d`` has _d0 ..., both have _r, the radius.  If a tile has
+    more than ``tile_rows`` on a side, ``split`` is true and both sides are dealt
+    to chunks by hashes of ``q_row`` and ``d_row``; results of a left row then
+    come in parts.
+    """
+    tkeys = [f"_t{i}" for i in range(nd)]
+    keys = [*equal, *tkeys]
+    side = F.col("_r") * WITHIN_TILE
+    q = q.withColumns({t: F.floor(F.col(f"_q{i}") / side).cast("long") for i, t in enumerate(tkeys)})
+    for i, t in enumerate(tkeys):
+        d = d.withColumn(t, F.explode(F.sequence(*[F.floor((F.col(f"_d{i}") + F.col("_r") * sign) / side).cast("long") for sign in (-1, 1)])))
+    tiles = q.groupBy(*keys).agg(F.count(F.lit(1)).alias("_nq"))
+    d = cut(d.drop("_r").join(tiles.select(*keys), keys, "left_semi"))
+    size = cut(tiles.join(d.groupBy(*keys).agg(F.count(F.lit(1)).alias("_nd")), keys))
+    full = size.agg(F.max(F.greatest("_nq", "_nd"))).first()[0] or 0
+    if full <= tile_rows:
+        return q, d, keys, False
+    chunks = lambda c: F.ceil(F.col(c) / F.lit(0.9 * tile_rows)).cast("int")
+    plan = size.select(*keys, chunks("_nq").alias("_sq"), chunks("_nd").alias("_sd"))
+    deal = lambda c, n: F.pmod(F.xxhash64(*c), F.col(n)).cast("int")
+    q = q.join(plan, keys).withColumn("_kq", deal(q_row, "_sq")).withColumn("_kd", F.explode(F.sequence(F.lit(0), F.col("_sd") - 1))).drop("_sq", "_sd")
+    d = d.join(plan, keys).withColumn("_kd", deal(d_row, "_sd")).withColumn("_kq", F.explode(F.sequence(F.lit(0), F.col("_sq") - 1))).drop("_sq", "_sd")
+    return q, d, [*keys, "_kq", "_kd"], True
+
+
 def nearest_within(left: DataFrame, right: DataFrame, r: float | str, dims: Sequence[str] = XYZ,
                    left_id: str = "point_id", right_id: str = "point_id",
                    carry: Sequence[str] = (), equal: Sequence[str] = (), keep: Sequence[str] = (), tile_rows: int = TILE_ROWS) -> DataFrame:
@@ -376,28 +403,11 @@ def nearest_within(left: DataFrame, right: DataFrame, r: float | str, dims: Sequ
     equal = list(dict.fromkeys([*equal, *([r] if isinstance(r, str) else [])]))
     reach = F.col(r).cast("double") if isinstance(r, str) else F.lit(float(r))
     cols = list(dict.fromkeys([left_id, *equal, *keep]))
-    tkeys = [f"_t{i}" for i in range(nd)]
-    keys = [*equal, *tkeys]
-    side = reach * WITHIN_TILE
     q = left.select(*cols, *[F.col(d).cast("double").alias(f"_q{i}") for i, d in enumerate(dims)], reach.alias("_r"))
-    q = q.withColumns({t: F.floor(F.col(f"_q{i}") / (F.col("_r") * WITHIN_TILE)).cast("long") for i, t in enumerate(tkeys)})
     types = {c: t for c, t in left.dtypes if c in cols} | {f"_n_{c}": t for c, t in right.dtypes if c in (right_id, *carry)}
-    d = right.select(*equal, *[F.col(c).alias(f"_n_{c}") for c in dict.fromkeys([right_id, *carry])], *[F.col(c).cast("double").alias(f"_d{i}") for i, c in enumerate(dims)],
-                     side.alias("_s"), reach.alias("_m"))
-    for i, t in enumerate(tkeys):
-        span = F.sequence(*[F.floor((F.col(f"_d{i}") + F.col("_m") * sign) / F.col("_s")).cast("long") for sign in (-1, 1)])
-        d = d.withColumn(t, F.explode(span))
-    tiles = q.groupBy(*keys).agg(F.count(F.lit(1)).alias("_nq"))
-    d = cut(d.drop("_s", "_m").join(tiles.select(*keys), keys, "left_semi"))
-    size = cut(tiles.join(d.groupBy(*keys).agg(F.count(F.lit(1)).alias("_nd")), keys))
-    full = size.agg(F.max(F.greatest("_nq", "_nd"))).first()[0] or 0
-    if full > tile_rows:
-        chunks = lambda c: F.ceil(F.col(c) / F.lit(0.9 * tile_rows)).cast("int")
-        plan = size.select(*keys, chunks("_nq").alias("_sq"), chunks("_nd").alias("_sd"))
-        deal = lambda c, n: F.pmod(F.xxhash64(c), F.col(n)).cast("int")
-        q = q.join(plan, keys).withColumn("_kq", deal(left_id, "_sq")).withColumn("_kd", F.explode(F.sequence(F.lit(0), F.col("_sd") - 1))).drop("_sq", "_sd")
-        d = d.join(plan, keys).withColumn("_kd", deal(f"_n_{right_id}", "_sd")).withColumn("_kq", F.explode(F.sequence(F.lit(0), F.col("_sq") - 1))).drop("_sq", "_sd")
-        keys = [*keys, "_kq", "_kd"]
+    d = right.select(*equal, *[F.col(c).alias(f"_n_{c}") for c in dict.fromkeys([right_id, *carry])],
+                     *[F.col(c).cast("double").alias(f"_d{i}") for i, c in enumerate(dims)], reach.alias("_r"))
+    q, d, keys, split = _within_tiles(q, d, nd, equal, [left_id], [f"_n_{right_id}"], tile_rows)
     wanted = [f"_n_{c}" for c in dict.fromkeys([right_id, *carry])]
 
     def kernel(lt: pa.Table, rt: pa.Table) -> pa.Table:
@@ -410,7 +420,123 @@ def nearest_within(left: DataFrame, right: DataFrame, r: float | str, dims: Sequ
 
     ddl = ", ".join([f"`{c}` {types[c]}" for c in (*cols, *wanted)]) + ", _d2 double"
     found = q.groupBy(*keys).cogroup(d.groupBy(*keys)).applyInArrow(kernel, ddl)
-    if full > tile_rows:
+    if split:
         best = F.min(F.struct("_d2", *wanted)).alias("_b")
         found = found.groupBy(*cols).agg(best).select(*cols, "_b.*")
     return found.select(*cols, F.sqrt("_d2").alias("dist"), F.col(f"_n_{right_id}").alias("n_id"), *[F.col(f"_n_{c}").alias(f"n_{c}") for c in carry])
+
+
+MOMENTS = ("m_n", "m_x", "m_y", "m_z", "m_xx", "m_xy", "m_xz", "m_yy", "m_yz", "m_zz")
+
+
+def _terms(y: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """Weight, weighted coordinates and their products, one row each."""
+    x = np.zeros((len(y), 3))
+    x[:, :y.shape[1]] = y
+    second = [x[:, i] * x[:, j] for i in range(3) for j in range(i, 3)]
+    return np.column_stack([np.ones(len(y)), x, *second]) * w[:, None]
+
+
+def _sums_within(q: np.ndarray, d: np.ndarray, w: np.ndarray, r: float) -> np.ndarray:
+    """MOMENTS of the rows of ``d`` within r of each row of ``q``, about that row.
+
+    A part of ``d`` that lies within r of all of a part of ``q`` adds its sums;
+    only parts on the rim are compared row by row.
+    """
+    out = np.zeros((len(q), 10))
+    if not len(q) or not len(d):
+        return out
+    origin = np.floor(d.min(axis=0))
+    terms = _terms(d - origin, w)
+    side = r * WITHIN_TILE / (2 * WITHIN_PARTS)
+    q_order, q_at, q_lo, q_hi = _boxes(q, side)
+    d_order, d_at, d_lo, d_hi = _boxes(d, side)
+    d, terms = d[d_order], terms[d_order]
+    total = np.add.reduceat(terms, d_at[:-1], axis=0)
+    for k in range(len(q_at) - 1):
+        rows = q_order[q_at[k]:q_at[k + 1]]
+        gap = np.maximum(np.maximum(d_lo - q_hi[k], q_lo[k] - d_hi), 0.0)
+        far = np.maximum(d_hi - q_lo[k], q_hi[k] - d_lo)
+        near, inside = (gap * gap).sum(axis=1) <= r * r, (far * far).sum(axis=1) <= r * r
+        out[rows] += total[inside].sum(axis=0)
+        rim = np.flatnonzero(near & ~inside)
+        if not len(rim):
+            continue
+        cand = np.concatenate([np.arange(d_at[u], d_at[u + 1]) for u in rim])
+        step = max(1, 2_000_000 // len(cand))
+        for lo in range(0, len(rows), step):
+            part = rows[lo:lo + step]
+            d2 = np.zeros((len(part), len(cand)))
+            for i in range(q.shape[1]):
+                diff = q[part, i:i + 1] - d[cand, i]
+                d2 += diff * diff
+            out[part] += (d2 <= r * r).astype(np.float64) @ terms[cand]
+    # from the common origin to each row
+    p = np.zeros((len(q), 3))
+    p[:, :q.shape[1]] = q - origin
+    n, first = out[:, :1].copy(), out[:, 1:4].copy()
+    out[:, 1:4] -= n * p
+    for c, (i, j) in enumerate((i, j) for i in range(3) for j in range(i, 3)):
+        out[:, 4 + c] += n[:, 0] * p[:, i] * p[:, j] - first[:, i] * p[:, j] - first[:, j] * p[:, i]
+    return out
+
+
+def _plane_sums(q: np.ndarray, d: np.ndarray, w: np.ndarray, r: float, normal: np.ndarray, offset: np.ndarray) -> np.ndarray:
+    """Weighted sum of distances from each row's plane (normal . (p - row) = offset) over the rows of ``d`` within r."""
+    out = np.zeros(len(q))
+    if not len(q) or not len(d):
+        return out
+    side = r * WITHIN_TILE / (2 * WITHIN_PARTS)
+    q_order, q_at, q_lo, q_hi = _boxes(q, side)
+    d_order, d_at, d_lo, d_hi = _boxes(d, side)
+    for k in range(len(q_at) - 1):
+        rows = q_order[q_at[k]:q_at[k + 1]]
+        gap = np.maximum(np.maximum(d_lo - q_hi[k], q_lo[k] - d_hi), 0.0)
+        cand = np.concatenate([d_order[d_at[u]:d_at[u + 1]] for u in np.flatnonzero((gap * gap).sum(axis=1) <= r * r)] or [np.zeros(0, np.int64)])
+        step = max(1, 1_000_000 // max(len(cand), 1))
+        for lo in range(0, len(rows), step):
+            part = rows[lo:lo + step]
+            d2, dist = np.zeros((2, len(part), len(cand)))
+            for i in range(3):
+                diff = d[cand, i] - q[part, i:i + 1]
+                d2 += diff * diff
+                dist += diff * normal[part, i:i + 1]
+            out[part] += np.where(d2 <= r * r, np.abs(dist - offset[part, None]), 0.0) @ w[cand]
+    return out
+
+
+def radius_moments(left: DataFrame, right: DataFrame, r: float, dims: Sequence[str] = XYZ, equal: Sequence[str] = (),
+                   tile_rows: int = TILE_ROWS) -> DataFrame:
+    """Left positions (``dims``, ``equal``) with MOMENTS of the right positions (weight ``w``) within r, about each.
+
+    The pairs are never made: a kernel per tile returns one row for each left
+    position, and tiles that are too full are split.
+    """
+    return _per_position(left, right, r, dims, equal, (), MOMENTS, lambda q, d, w, extra: _sums_within(q, d, w, r), tile_rows)
+
+
+def plane_distances(left: DataFrame, right: DataFrame, r: float, equal: Sequence[str] = (), tile_rows: int = TILE_ROWS) -> DataFrame:
+    """Left positions with ``m_d``: the weighted sum of distances of right positions within r from the plane nx, ny, nz, offset."""
+    def sums(q, d, w, extra):
+        return _plane_sums(q, d, w, r, extra[:, :3], extra[:, 3])[:, None]
+
+    return _per_position(left, right, r, XYZ, equal, ("nx", "ny", "nz", "offset"), ("m_d",), sums, tile_rows)
+
+
+def _per_position(left, right, r, dims, equal, extra, out, sums, tile_rows) -> DataFrame:
+    nd, equal = len(dims), list(equal)
+    cols = [*dims, *equal]
+    types = dict(left.dtypes)
+    q = left.select(*cols, *extra, *[F.col(c).cast("double").alias(f"_q{i}") for i, c in enumerate(dims)], F.lit(float(r)).alias("_r"))
+    d = right.select(*equal, F.col("w").cast("double").alias("_w"), *[F.col(c).cast("double").alias(f"_d{i}") for i, c in enumerate(dims)], F.lit(float(r)).alias("_r"))
+    q, d, keys, split = _within_tiles(q, d, nd, equal, cols, [f"_d{i}" for i in range(nd)], tile_rows)
+
+    def kernel(lt: pa.Table, rt: pa.Table) -> pa.Table:
+        x, y = (np.column_stack([t.column(f"{p}{i}").to_numpy() for i in range(nd)]) for t, p in ((lt, "_q"), (rt, "_d")))
+        more = np.column_stack([lt.column(c).to_numpy() for c in extra]) if extra else None
+        got = sums(x, y, rt.column("_w").to_numpy(), more)
+        return pa.table([*(lt.column(c) for c in cols), *map(pa.array, got.T.copy())], names=[*cols, *out])
+
+    ddl = ", ".join([*(f"`{c}` {types[c]}" for c in cols), *(f"{c} double" for c in out)])
+    found = q.groupBy(*keys).cogroup(d.groupBy(*keys)).applyInArrow(kernel, ddl)
+    return found.groupBy(*cols).agg(*[F.sum(c).alias(c) for c in out]) if split else found

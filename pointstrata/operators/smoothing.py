@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..session import cut
 from . import cells
 from .cells import Extent, extent
-from .neighbours import XYZ, nearest, positions, radius_pairs
+from .neighbours import XYZ, nearest, positions, radius_moments, radius_pairs
 
 
 def majority(votes: DataFrame, key: str, value: str, weight: Column | None = None) -> DataFrame:
@@ -167,14 +167,13 @@ def refine(points: DataFrame, probabilities: str = "probabilities", k: int = 10,
 def drop_isolated(points: DataFrame, target_class: int, min_cluster: int = 10, distance: float = 2.0, label: str = "classification") -> DataFrame:
     """Adds ``new_class``: target points with fewer than ``min_cluster`` of their class nearby take the majority of the others."""
     keyed = points.withColumn("_l", F.col(label).cast("int"))
-    target = keyed.where(F.col("_l") == target_class).select(*XYZ).distinct()
-    votes = radius_pairs(target, positions(keyed, XYZ, ("_l",)), distance, left_cols=XYZ, right_cols=("_l", "w"))
-    per = votes.groupBy(*XYZ, "n__l").agg(F.sum("n_w").alias("c"))
-    other = F.col("n__l") != target_class
-    g = per.groupBy(*XYZ).agg(
-        F.coalesce(F.sum(F.when(~other, F.col("c"))), F.lit(0)).alias("same"),
-        F.max(F.when(other, F.struct("c", (-F.col("n__l")).alias("v")))).alias("b"))
-    change = g.where((F.col("same") < min_cluster) & F.col("b").isNotNull()).select(*XYZ, (-F.col("b.v")).alias("_new"))
+    pos = cut(positions(keyed, XYZ, ("_l",)))
+    target = pos.where(F.col("_l") == target_class).select(*XYZ, "_l")
+    alone = cut(radius_moments(target, pos.where(F.col("_l") == target_class), distance, equal=("_l",)).where(F.col("m_n") < min_cluster).select(*XYZ))
+    labels = [r["_l"] for r in pos.where(F.col("_l") != target_class).select("_l").distinct().collect()]  # as many as there are classes
+    asked = alone.withColumn("_l", F.explode(F.array(*[F.lit(v) for v in labels]).cast("array<int>")))
+    votes = radius_moments(asked, pos, distance, equal=("_l",)).where(F.col("m_n") > 0)
+    change = votes.groupBy(*XYZ).agg(F.max(F.struct("m_n", (-F.col("_l")).alias("v"))).alias("b")).select(*XYZ, (-F.col("b.v")).alias("_new"))
     out = points.join(change, list(XYZ), "left")
     hit = F.col("_new").isNotNull() & (F.col(label) == target_class)
     return out.withColumn("new_class", F.when(hit, F.col("_new")).otherwise(F.col(label)).cast("int")).drop("_new")
