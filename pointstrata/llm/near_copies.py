@@ -6,8 +6,8 @@ first n // 5 + 1 of each.  The order puts shingles of crowded slots of a count
 sketch last; it decides how many candidates there are, never which pairs are
 found.  Every shared first shingle is a bucket.
 
-Each row is compared with one row of each of its buckets, drawn by hash; what
-that links is contracted, and then all pairs of a bucket that still lie in
+Each row is compared with one row of each of its buckets, the first by a hash;
+what that links is contracted, and then all pairs of a bucket that still lie in
 different components are compared.  A pair is given up early only where the
 parity bits of its sets differ in more places than similar sets can; the others
 are decided by intersecting whole sets, so the components are those of all pairs.
@@ -34,6 +34,8 @@ SEED = 42
 SLOT_BITS = 18
 CROWD = 4
 PARITY = 512
+#: Sets of a group that meet in one task.
+GROUP = 500
 _ODD = np.array([xxhash.xxh64_intdigest(bytes([j]), SEED) | 1 for j in range(SHINGLE)], np.uint64)
 
 
@@ -133,42 +135,66 @@ def prefixes(reps: DataFrame, level: np.ndarray) -> DataFrame:
 
 
 def likely(bits: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Pairs (a, b) of sets of ``m`` and ``n`` shingles in all whose parity bits do not rule out a similarity of 4/5."""
+    """Pairs (a, b) of a group ``g`` with ``all`` shingles in both, whose parity bits do not rule out a similarity of 4/5."""
 
     def run(batches):
         for batch in batches:
-            x, y = (np.frombuffer(b"".join(unchunked(batch.column(i)).to_pylist()), np.uint64).reshape(-1, PARITY // 64) for i in (3, 4))
+            x, y = (np.frombuffer(b"".join(unchunked(batch.column(i)).to_pylist()), np.uint64).reshape(-1, PARITY // 64) for i in (4, 5))
             far = np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64)
-            yield batch.select(["a", "b"]).filter(pa.array(9 * far <= unchunked(batch.column(2)).to_numpy()))  # m + n - 2 * 4/9 (m + n)
+            yield batch.select(["a", "b", "g"]).filter(pa.array(9 * far <= unchunked(batch.column(3)).to_numpy()))  # m + n - 2 * 4/9 (m + n)
 
     both = pairs.join(bits.select(F.col("_fp").alias("a"), F.col("_bits").alias("x")), "a").join(
-        bits.select(F.col("_fp").alias("b"), F.col("_bits").alias("y")), "b").select("a", "b", "all", "x", "y")
-    return both.mapInArrow(run, "a long, b long")
+        bits.select(F.col("_fp").alias("b"), F.col("_bits").alias("y")), "b").select("a", "b", "g", "all", "x", "y")
+    return both.mapInArrow(run, "a long, b long, g long")
 
 
 def similar(fps: DataFrame, first: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose sets have a similarity of 4/5 or more."""
+    """The pairs (a, b) whose sets have a similarity of 4/5 or more.
+
+    ``pairs`` has a group ``g``: pairs of a group meet in one task, and each set
+    travels there once, not once a pair.  A group of many sets is split by
+    chunks of both sides.
+    """
 
     def run(batches):
         for batch in batches:
             fp = unchunked(batch.column(0))
             for lo, hi, h, offsets in _parts(batch):
-                sets = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(h.view(np.int64)))
-                yield pa.RecordBatch.from_arrays([fp.slice(lo, hi - lo), sets], names=["_fp", "s"])
+                raw = [h[x:y].tobytes() for x, y in zip(offsets[:-1].tolist(), offsets[1:].tolist())]
+                yield pa.RecordBatch.from_arrays([fp.slice(lo, hi - lo), pa.array(raw, pa.binary())], names=["_fp", "s"])
+
+    def compare(left: pa.Table, right: pa.Table) -> pa.Table:
+        sets = {k: np.frombuffer(v, np.uint64) for k, v in zip(right.column("_fp").to_pylist(), right.column("s").to_pylist())}
+        left = left.sort_by("a")
+        a, b = left.column("a").to_pylist(), left.column("b").to_pylist()
+        keep, at, mine = [], None, None
+        for x, y in zip(a, b):
+            if x != at:
+                at, mine = x, sets[x]
+            other = sets[y]
+            place = np.searchsorted(mine, other)
+            both = int((mine[np.minimum(place, len(mine) - 1)] == other).sum()) if len(mine) else 0
+            keep.append(9 * both >= 4 * (len(mine) + len(other)))
+        return left.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     pairs = store(likely(first.select("_fp", "_bits"), pairs))
-    ids = pairs.select(F.col("a").alias("_fp")).union(pairs.select(F.col("b").alias("_fp"))).distinct()
-    rows = first.join(ids, "_fp", "left_semi").select(F.col("_tag.k").alias("_k"))
-    sets = fps.join(rows, "_k", "left_semi").select("_fp", F.col("row.text").cast("string").alias("text")).mapInArrow(run, "_fp long, s array<long>")
-    sets = store(sets)
-    both = pairs.join(sets.select(F.col("_fp").alias("a"), F.col("s").alias("sa")), "a").join(
-        sets.select(F.col("_fp").alias("b"), F.col("s").alias("sb")), "b")
-    return both.where(9 * F.size(F.array_intersect("sa", "sb")) >= 4 * (F.size("sa") + F.size("sb"))).select("a", "b")
+    member = pairs.select("g", F.explode(F.array("a", "b")).alias("_fp")).distinct()
+    large = member.groupBy("g").agg(F.ceil(F.count("*") / F.lit(GROUP)).cast("int").alias("k"))
+    chunk = lambda c: F.pmod(F.xxhash64(c), F.col("k")).cast("int")
+    pairs = pairs.join(large, "g").select("g", "a", "b", chunk("a").alias("ca"), chunk("b").alias("cb"))
+    every = F.sequence(F.lit(0), F.col("k") - 1)
+    mine = chunk("_fp")
+    places = F.array_distinct(F.concat(F.transform(every, lambda i: F.struct(mine.alias("ca"), i.alias("cb"))), F.transform(every, lambda i: F.struct(i.alias("ca"), mine.alias("cb")))))
+    member = member.join(large, "g").withColumn("p", F.explode(places)).select("g", "_fp", "p.ca", "p.cb")
+    rows = first.join(member.select("_fp").distinct(), "_fp", "left_semi").select(F.col("_tag.k").alias("_k"))
+    sets = fps.join(rows, "_k", "left_semi").select("_fp", F.col("row.text").cast("string").alias("text")).mapInArrow(run, "_fp long, s binary")
+    sent = member.join(sets, "_fp").select(*[F.col(c).alias(f"to_{c}") for c in ("g", "ca", "cb")], "_fp", "s")
+    return pairs.groupBy("g", "ca", "cb").cogroup(sent.groupBy("to_g", "to_ca", "to_cb")).applyInArrow(compare, "a long, b long")
 
 
 def buckets(rows: DataFrame) -> DataFrame:
     """The rows of tokens that several sets share, each with one of those sets: (token, _fp, n, at, hub, m, by)."""
-    dealt = rows.withColumn("_o", F.xxhash64("_fp", "token")).repartition("token").sortWithinPartitions("token", "_o", "_fp")
+    dealt = rows.withColumn("_o", F.xxhash64("_fp")).repartition("token").sortWithinPartitions("token", "_o", "_fp")
     names = ("token", "_fp", "n", "at")
 
     def run(batches):
@@ -215,15 +241,18 @@ def links(fps: DataFrame, first: DataFrame) -> DataFrame:
     texts = fps.select("_fp", F.col("row.text").cast("string").alias("text"))
     shared = store(buckets(prefixes(texts, levels(texts))))
     low, high = F.least("_fp", "hub").alias("a"), F.greatest("_fp", "hub").alias("b")
-    some = store(shared.where((F.col("_fp") != F.col("hub")) & _possible("n", "at", "m", "by")).select(low, high, (F.col("n") + F.col("m")).alias("all")).distinct())
+    some = store(shared.where((F.col("_fp") != F.col("hub")) & _possible("n", "at", "m", "by")).select(low, high, F.col("hub").alias("g"), (F.col("n") + F.col("m")).alias("all"))
+                 .dropDuplicates(["a", "b"]))
     near = store(similar(fps, first, some))
     rooted = shared.select("token", "_fp", "n", "at").join(_roots(near), "_fp", "left").withColumn("root", F.coalesce("root", "_fp"))
     split = rooted.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("c"))
-    open_ = store(rooted.join(split.where("lo < hi and c > 2").select("token"), "token", "left_semi"))
+    open_ = store(rooted.join(split.where("lo < hi and c > 2").select("token", "c"), "token"))
     other = open_.select("token", *(F.col(c).alias(d) for c, d in (("_fp", "b"), ("n", "m"), ("at", "by"), ("root", "root_b"))))
     rest = open_.withColumnRenamed("_fp", "a").join(other, "token").where(
         (F.col("a") < F.col("b")) & (F.col("root") != F.col("root_b")) & _possible("n", "at", "m", "by"))
-    rest = store(rest.select("a", "b", (F.col("n") + F.col("m")).alias("all")).distinct().join(some, ["a", "b"], "left_anti"))
+    # pairs that meet in several buckets are compared in the largest, where most others are
+    rest = rest.groupBy("a", "b").agg(F.max_by("token", F.struct("c", "token")).alias("g"), F.max(F.col("n") + F.col("m")).alias("all"))
+    rest = store(rest.join(some, ["a", "b"], "left_anti"))
     return near.unionByName(similar(fps, first, rest))
 
 
