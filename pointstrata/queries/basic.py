@@ -349,12 +349,3 @@ add("F06_adaptive_sample", "x:d y:d z:d", lambda p: sampling.adaptive_sample(p,
 add("F07_fixed_blocks", "chunk_id:i block:i n:i labels:i padded:i", lambda p: sampling.fixed_blocks(p, 300).select(
     "chunk_id", "block", "n", F.size("labels").alias("labels"), F.size(F.filter("labels", lambda v: v == -1)).alias("padded")),
     "SELECT chunk_id, (point_id % 1000) // 300 AS block, count(*) AS n, 300 AS labels, 300 - count(*) AS padded FROM scene GROUP BY 1, 2", "scene")
-
-
-def _selected_squares(p):
-    e = cells.extent(p)
-    keep = sampling.square_key(p, e, 40.0).where(F.col("square_id").isin(1, 2, 9)).drop("square_id")
-    return plan.classify_given_ground(keep).groupBy("new_class").agg(F.count("*").alias("n"))
-
-
-add("F08_selected_squares_only", "new_class:i n:i", _selected_squares)

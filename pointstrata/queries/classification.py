@@ -8,11 +8,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import cells, ground, landcover, planes, raster
+from ..operators import cells, features, ground, landcover, planes, raster, sampling
 from ..operators.cells import Extent
 from ..plans import classify as plan
-from .registry import MASKS, PRECEDENCE, add, cte
-from .spatial import _d3
+from .registry import MASKS, PRECEDENCE, add, clone, cte
+from .spatial import _d3, eigen_cte
 
 #: The scene without its noise: one point a square metre at most, less than 20 m deep.
 PARAMS = ground.auto_params(Extent(600_000, 0.0, 1000.0, 0.0, 1000.0, 100.0, 110.0))
@@ -78,3 +78,25 @@ cte("fastnoise", "SELECT point_id, m > (SELECT avg(m) + 2 * stddev_pop(m) FROM v
 plan_ctes("fast", "fastnoise", 2.0)
 add("T00_fast_preset", "new_class:i n:i", lambda p: plan.classify(p, plan.preset("fast")).groupBy("new_class").agg(F.count("*").alias("n")), "SELECT new_class, count(*) AS n FROM fast GROUP BY 1", "fast")
 add("T00_fast_points", "point_id:i hag:d new_class:i", lambda p: plan.classify(p, plan.preset("fast")), "SELECT * FROM fast", "fast")
+
+# three squares of 40 m as a cloud of their own
+cte("sqscene", "SELECT scene.* FROM scene, (SELECT *, greatest(1, CAST(ceil((x1 - x0) / 40) AS BIGINT)) AS nc, greatest(1, CAST(ceil((y1 - y0) / 40) AS BIGINT)) AS nr FROM ext) "
+    "WHERE least(CAST(floor((y - y0) / 40) AS BIGINT), nr - 1) * nc + least(CAST(floor((x - x0) / 40) AS BIGINT), nc - 1) + 1 IN (1, 2, 9)", "scene", "ext")
+clone("sq_", ("ext", "ground_cell", "hag", "keyed", "cell", "feat", "slice"), "sqscene")
+
+
+def _selected_squares(p):
+    e = cells.extent(p)
+    keep = sampling.square_key(p, e, 40.0).where(F.col("square_id").isin(1, 2, 9)).drop("square_id")
+    return plan.classify_given_ground(keep).groupBy("new_class").agg(F.count("*").alias("n"))
+
+
+add("F08_selected_squares_only", "new_class:i n:i", _selected_squares, "SELECT new_class, count(*) AS n FROM sq_slice GROUP BY 1", "sq_slice")
+
+# planarity of the 30 nearest points, the point among them
+cte("near30s", "SELECT point_id, unnest(arg_min(bx, key, 29)) AS x, unnest(arg_min(by_, key, 29)) AS y, unnest(arg_min(bz, key, 29)) AS z FROM cand WHERE point_id IN (SELECT point_id FROM hag WHERE hag >= 2) GROUP BY point_id "
+    "UNION ALL SELECT point_id, x, y, z FROM hag WHERE hag >= 2", "cand", "hag")
+cte("covs30", "SELECT point_id, count(*) AS n, " + ", ".join([f"greatest(var_pop({a}), 0) AS c{a}{a}" for a in "xyz"] + [f"covar_pop({a}, {b}) AS c{a}{b}" for a, b in ("xy", "xz", "yz")]) + " FROM near30s GROUP BY point_id", "near30s")
+eigen_cte("eigs30", "covs30")
+add("D05_planar_surfaces", "is_planar:b n:i", lambda p: features.planarity_mask(raster.height_above_ground(p), 30).groupBy("is_planar").agg(F.count("*").alias("n")),
+    "SELECT (l2 - l3) * n / (l1 * n + 1e-8) > 0.7e0 AS is_planar, count(*) AS n FROM eigs30 GROUP BY 1", "eigs30")

@@ -58,7 +58,12 @@ def _post_processing(p: DataFrame) -> DataFrame:
     return p.sparkSession.createDataFrame([(i, n, c) for i, (n, c) in enumerate(ch.items())], "step int, name string, changed long")
 
 
-add("B06_X02_post_processing_steps", "step:i name:s changed:i", _post_processing)
+cte("smoothed", "SELECT point_id, x, y, z, CAST(floor(x / 2) AS BIGINT) AS bx, CAST(floor(y / 2) AS BIGINT) AS by_, classification AS before, CASE WHEN m <> classification AND share >= 0.6e0 THEN m ELSE classification END AS c FROM scene JOIN major15 USING (point_id)", "scene", "major15")
+cte("smoothednear", "SELECT a.point_id, b.c, count(*) AS k FROM (SELECT smoothed.*, bx + ox AS jx, by_ + oy AS jy FROM smoothed, ring WHERE c = 20) a JOIN smoothed b ON a.jx = b.bx AND a.jy = b.by_ "
+    "WHERE (a.x-b.x)*(a.x-b.x) + (a.y-b.y)*(a.y-b.y) + (a.z-b.z)*(a.z-b.z) <= 4 GROUP BY 1, 2", "smoothed", "ring")
+add("B06_X02_post_processing_steps", "step:i name:s changed:i", _post_processing,
+    "SELECT 0 AS step, 'smoothing' AS name, count(*) FILTER (c <> before) AS changed FROM smoothed UNION ALL SELECT 1, 'outlier_removal_20', (SELECT count(*) FROM "
+    "(SELECT point_id FROM smoothednear GROUP BY 1 HAVING coalesce(sum(k) FILTER (c = 20), 0) < 18 AND count(*) FILTER (c <> 20) > 0))", "smoothed", "smoothednear")
 
 # ---- models ---------------------------------------------------------------
 _FEAT = ["z", "intensity", "red", "green", "blue"]

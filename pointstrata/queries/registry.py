@@ -7,6 +7,7 @@ so that names, types and rounding agree.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -23,6 +24,14 @@ def cte(name: str, text: str, *deps: str) -> None:
     _CTES[name] = (deps, text)
 
 
+def clone(prefix: str, names: tuple[str, ...], source: str) -> None:
+    """The CTEs ``names`` once more as ``{prefix}{name}``, over ``source`` in place of the scene."""
+    new = {n: prefix + n for n in names} | {"scene": source}
+    for n in names:
+        deps, text = _CTES[n]
+        cte(prefix + n, re.sub(r"\b(" + "|".join(new) + r")\b(?! *\()", lambda m: new[m[0]], text), *[new.get(d, d) for d in deps])
+
+
 def _resolve(names, seen=None) -> list[str]:
     seen = [] if seen is None else seen
     for n in names:

@@ -170,7 +170,6 @@ eigen_cte("eig30", "cov30")
 add("A07_A10_knn_shape", "point_id:i linearity:d planarity:d sphericity:d z_var:d", lambda p: features.knn_shape(p, 30).select("point_id", *_r4("linearity", "planarity", "sphericity", "z_var")),
     "SELECT point_id, round((greatest(l1, 1e-10) - greatest(l2, 1e-10)) / greatest(l1, 1e-10), 4) AS linearity, round((greatest(l2, 1e-10) - greatest(l3, 1e-10)) / greatest(l1, 1e-10), 4) AS planarity, round(greatest(l3, 1e-10) / greatest(l1, 1e-10), 4) AS sphericity, round(z_var, 4) AS z_var FROM eig30", "eig30")
 add("A48_surface_roughness", "roughness:d", lambda p: features.surface_roughness(p.where("classification = 2"), 10))
-add("D05_planar_surfaces", "is_planar:b n:i", lambda p: features.planarity_mask(raster.height_above_ground(p), 30).groupBy("is_planar").agg(F.count("*").alias("n")))
 cte("chunkcov", f"SELECT chunk_id, count(*) AS n, {_samp} FROM scene WHERE classification = 6 GROUP BY chunk_id", "scene")
 eigen_cte("chunkeig", "chunkcov")
 add("A31_A32_oriented_boxes", "chunk_id:i l1:d l2:d l3:d planarity:d sphericity:d", lambda p: shapes.shape_ratios(shapes.oriented_boxes(p.where("classification = 6"), "chunk_id")).select("chunk_id", *_r4("l1", "l2", "l3", "planarity", "sphericity")),

@@ -9,12 +9,12 @@ from tests.test_limits import cloud
 
 
 def test_components_of_a_line_with_rising_ids_need_few_rounds(spark, monkeypatch):
-    n, calls, plain = 3000, [], cluster.cut
+    n, calls, plain = 1500, [], cluster.cut
     monkeypatch.setattr(cluster, "cut", lambda df: calls.append(1) or plain(df))
-    edges = spark.range(n - 1).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b")).where("a <> 1999")
+    edges = spark.range(n - 1).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b")).where("a <> 999")
     got = cluster.connected_components(edges, spark.range(n + 1).select(F.col("id").alias("v"))).groupBy("component").count().collect()
-    assert sorted(map(tuple, got)) == [(0, 2000), (2000, 1000), (3000, 1)]
-    assert len(calls) <= 2 * 14
+    assert sorted(map(tuple, got)) == [(0, 1000), (1000, 500), (1500, 1)]
+    assert len(calls) <= 2 * 13
 
 
 def crowd(rng, n, gap):

@@ -6,6 +6,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from pointstrata.operators import railway, tracks
+from pointstrata.session import cut
 
 KEYS = ("track", "segment")
 
@@ -41,8 +42,9 @@ def scene(spark, *lines, seed=0):
     return spark.createDataFrame(data, "point_id long, line int, x double, y double, z double, s double, truth string").withColumn("classification", F.lit(18))
 
 
-def against_truth(p):
-    got = tracks.along_track(p).join(p.select("point_id", "line", "s", "truth"), "point_id").toPandas()
+def against_truth(p, placed=None):
+    placed = tracks.along_track(p) if placed is None else placed
+    got = placed.join(p.select("point_id", "line", "s", "truth"), "point_id").toPandas()
     for line, rows in got.groupby("line"):
         assert rows["track"].nunique() == 1
         up = np.corrcoef(rows["s"], rows["chainage"])[0, 1] > 0
@@ -56,11 +58,12 @@ def against_truth(p):
 
 
 def test_curve_and_parallel_track_get_their_own_frames(spark):
-    p = scene(spark, arc(400, 0.3, 640), arc(404.2, 0.3, 640 * 404.2 / 400), straight((3000, 50), 2.5, 330), straight((900, -800), -math.pi / 2, 230))
-    got = against_truth(p)
+    p = scene(spark, arc(400, 0.3, 320), arc(404.2, 0.3, 320 * 404.2 / 400), straight((3000, 50), 2.5, 330), straight((900, -800), -math.pi / 2, 230))
+    placed = cut(tracks.along_track(p))
+    got = against_truth(p, placed)
     assert got.groupby("line")["point_id"].count().to_dict() == p.groupBy("line").count().toPandas().set_index("line")["count"].to_dict()
-    axes = railway.two_sided(tracks.along_track(p), KEYS, 50)
-    seg = railway.track_segments(p, axes=axes, keys=KEYS, order=("chainage",)).toPandas()
+    segments = cut(railway.track_segments(p, axes=railway.two_sided(placed, KEYS, 50), keys=KEYS, order=("chainage",)))
+    seg = segments.toPandas()
     line_of = got.groupby("track")["line"].first()
     seg["line"] = seg["track"].map(line_of)
     full = seg[seg.groupby("track")["segment"].transform("max") != seg["segment"]]
@@ -68,7 +71,7 @@ def test_curve_and_parallel_track_get_their_own_frames(spark):
     curved = full[full["line"] < 2]
     assert (curved["geometry_type"] == "curve").all() and np.abs(1 / curved["curvature"] - 402).max() < 12
     assert (full[full["line"] >= 2]["geometry_type"] == "straight").all()
-    geo = railway.track_geometry(railway.track_segments(p, axes=axes, keys=KEYS, order=("chainage",)), within=("track",)).toPandas()
+    geo = railway.track_geometry(segments, within=("track",)).toPandas()
     assert (geo[geo["segment"] == 0]["km_start"].abs() < 1e-9).all() and geo.groupby("track")["km_end"].max().max() < 0.7
 
 
