@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -323,17 +325,34 @@ def pole_positions(pole_rows: DataFrame, axis: DataFrame) -> DataFrame:
 def pole_spacing(pole_rows: DataFrame) -> DataFrame:
     """Mean XY distance of consecutive poles in x order (one row).
 
-    Poles are range-partitioned by x; each part measures its own steps, and the
-    first and last pole of the parts are bridged separately.
+    Poles are range-partitioned by (x, pole_id), so no stretch of the line is too
+    crowded for a task; each part adds up its own steps and tells its first and
+    last pole, and only these meet to bridge the parts.
     """
-    p = pole_rows.select("x", "y", "pole_id").withColumn("b", F.floor(F.col("x") / F.lit(1000.0)).cast("long"))
-    w = Window.partitionBy("b").orderBy("x", "pole_id")
-    d = lambda a, b, c, e: F.sqrt((a - b) * (a - b) + (c - e) * (c - e))
-    inner = p.select(d(F.col("x"), F.lag("x").over(w), F.col("y"), F.lag("y").over(w)).alias("d")).where("d is not null")
-    edge = p.groupBy("b").agg(F.min(F.struct("x", "pole_id", "y")).alias("f"), F.max(F.struct("x", "pole_id", "y")).alias("l"))
-    wb = Window.partitionBy(F.lit(0)).orderBy("b")  # one row per kilometre of x
-    outer = edge.select(d(F.col("f.x"), F.lag("l.x").over(wb), F.col("f.y"), F.lag("l.y").over(wb)).alias("d")).where("d is not null")
-    return inner.unionByName(outer).agg(F.coalesce(F.avg("d"), F.lit(0.0)).alias("avg_spacing_m"))
+    def run(batches):
+        total, n, first, last = 0.0, 0, None, None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            xy = np.column_stack([batch.column(c).to_numpy(zero_copy_only=False) for c in ("x", "y")])
+            if last is None:
+                first = xy[0]
+            else:
+                xy = np.concatenate((last[None], xy))
+            total += float(np.hypot(*np.diff(xy, axis=0).T).sum())
+            n, last = n + len(xy) - 1, xy[-1]
+        if last is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([v]) for v in (total, n, *map(float, (*first, *last)))], names=["total", "n", "fx", "fy", "lx", "ly"])
+
+    p = pole_rows.select("x", "y", "pole_id")
+    parts = p.repartitionByRange("x", "pole_id").sortWithinPartitions("x", "pole_id").mapInArrow(
+        run, "total double, n long, fx double, fy double, lx double, ly double").withColumn("part", F.spark_partition_id())
+    w = Window.partitionBy(F.lit(0)).orderBy("part")  # one row a part
+    dx, dy = F.col("fx") - F.lag("lx").over(w), F.col("fy") - F.lag("ly").over(w)
+    parts = parts.withColumn("bridge", F.sqrt(dx * dx + dy * dy))
+    steps = F.sum("n") + F.count("bridge")
+    mean = (F.sum("total") + F.coalesce(F.sum("bridge"), F.lit(0.0))) / F.when(steps > 0, steps)
+    return parts.agg(F.coalesce(mean, F.lit(0.0)).alias("avg_spacing_m"))
 
 
 def pole_statistics(pole_rows: DataFrame) -> DataFrame:

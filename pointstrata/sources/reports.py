@@ -15,8 +15,12 @@ from ..operators.sampling import hash_sample
 
 
 def write_text(lines: DataFrame, path: str) -> None:
-    """Ordered lines (columns pos, line) as one text file; reports are a few hundred lines."""
-    lines.orderBy("pos").select("line").coalesce(1).write.mode("overwrite").text(path)
+    """Lines (columns pos, line) as text files whose parts, one after the other by name, are the text.
+
+    The sort deals ranges of ``pos`` to the parts in their order, so a long export
+    is written by many tasks; a report of a few hundred lines has one part.
+    """
+    lines.orderBy("pos").select("line").write.mode("overwrite").text(path)
 
 
 def write_json(df: DataFrame, path: str) -> None:
