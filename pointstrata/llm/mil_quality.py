@@ -10,8 +10,8 @@ Only fitting uses a bounded sample (``ROWS`` labelled rows, chosen by a hash of
 the id); scoring covers every passage of every row.
 
 Nulls, empties, ties: a null or empty text is one empty passage and gets a
-score; equal texts score equally; a null id never trains and is not held out; an
-empty table gives no rows; without labels all scores are one half; extra columns
+score; equal texts score equally; a null id never trains and counts as held out (as the
+empty text does); an empty table gives no rows; without labels all scores are one half; extra columns
 are ignored.
 """
 

@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -33,7 +34,8 @@ SHINGLE = 5
 SEED = 42
 SLOT_BITS = 18
 CROWD = 4
-PARITY = 512
+#: Parity bits of a small set; doubled for every doubling of the shingles beyond SPREAD, WIDEST times at most.
+PARITY, SPREAD, WIDEST = 512, 200, 5
 #: Sets of a group that meet in one task.
 GROUP = 500
 _ODD = np.array([xxhash.xxh64_intdigest(bytes([j]), SEED) | 1 for j in range(SHINGLE)], np.uint64)
@@ -83,11 +85,19 @@ def digests(docs: DataFrame) -> DataFrame:
             fp, bits = np.zeros(batch.num_rows, np.uint64), []
             for lo, hi, h, offsets in _parts(batch):
                 fp[lo:hi] = sums(_mix(h ^ np.uint64(SEED)), offsets)
-                row = np.repeat(np.arange(hi - lo), np.diff(offsets))
-                for a in range(0, hi - lo, 4096):
-                    few, of = min(4096, hi - lo - a), slice(offsets[a], offsets[min(a + 4096, hi - lo)])
-                    odd = np.bincount((row[of] - a) * PARITY + (h[of] >> np.uint64(40)).astype(np.int64) % PARITY, minlength=few * PARITY) & 1
-                    bits += map(bytes, np.packbits(odd.astype(bool).reshape(few, PARITY), axis=1))
+                n = np.diff(offsets)
+                wide = PARITY << np.clip(np.ceil(np.log2(np.maximum(n, 1) / SPREAD)), 0, WIDEST).astype(np.int64)
+                ends = np.cumsum(wide)
+                a = 0
+                while a < hi - lo:  # rows with some million bits together
+                    base = ends[a - 1] if a else 0
+                    b = max(a + 1, int(np.searchsorted(ends, base + (1 << 22), side="right")))
+                    begin = ends[a:b] - wide[a:b] - base
+                    row = np.repeat(np.arange(b - a), n[a:b])
+                    place = begin[row] + (h[offsets[a]:offsets[b]] >> np.uint64(40)).astype(np.int64) % wide[a:b][row]
+                    raw = np.packbits((np.bincount(place, minlength=ends[b - 1] - base) & 1).astype(bool)).tobytes()
+                    bits += [raw[x // 8:(x + w) // 8] for x, w in zip(begin.tolist(), wide[a:b].tolist())]
+                    a = b
             yield with_columns(batch, _fp=pa.array(fp.view(np.int64)), _bits=pa.array(bits, pa.binary()))
 
     return docs.mapInArrow(run, ", ".join([*(f"`{n}` {t}" for n, t in docs.dtypes), "_fp long", "_bits binary"]))
@@ -139,8 +149,17 @@ def likely(bits: DataFrame, pairs: DataFrame) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            x, y = (np.frombuffer(b"".join(unchunked(batch.column(i)).to_pylist()), np.uint64).reshape(-1, PARITY // 64) for i in (4, 5))
-            far = np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64)
+            x, y = (unchunked(batch.column(i)) for i in (4, 5))
+            size = [pc.binary_length(v).to_numpy(zero_copy_only=False) for v in (x, y)]
+            far = np.zeros(batch.num_rows, np.int64)
+            for p, q in set(zip(*(z.tolist() for z in size))):
+                at = np.flatnonzero((size[0] == p) & (size[1] == q))
+                two = [np.frombuffer(b"".join(v.take(pa.array(at)).to_pylist()), np.uint64).reshape(len(at), -1) for v in (x, y)]
+                while two[0].shape[1] != two[1].shape[1]:  # the longer one is folded
+                    k = int(two[1].shape[1] > two[0].shape[1])
+                    half = two[k].shape[1] // 2
+                    two[k] = two[k][:, :half] ^ two[k][:, half:]
+                far[at] = np.bitwise_count(two[0] ^ two[1]).sum(axis=1, dtype=np.int64)
             yield batch.select(["a", "b", "g"]).filter(pa.array(9 * far <= unchunked(batch.column(3)).to_numpy()))  # m + n - 2 * 4/9 (m + n)
 
     both = pairs.join(bits.select(F.col("_fp").alias("a"), F.col("_bits").alias("x")), "a").join(
