@@ -1,17 +1,20 @@
 """Quality rules from counts within a document and line frequency across documents, in built-in functions only.
 
 A line is normalised (lower case, digits as 0, single spaces) and hashed; per
-host and line the distinct texts it occurs in are counted, so that copies of one
-document do not count as many.  Lines above the limit of a host are removed, and
-a document that loses too large a share of its words is rejected.
+host and line the distinct documents that hold it are counted.  Lines above the
+limit of a host are removed, and a document that loses too large a share of its
+words is rejected.  ``rules`` gives counts and verdicts, ``cleaned`` the texts
+that remain.
 
 The counts within a document run over arrays inside its row and never shuffle
 text; only (host, line hash) pairs are shuffled, pre-aggregated, and come back
 to rows by a row tag.
 
 Nulls, empties, ties: a null text has no words and fails the base rules; an
-empty table gives no rows; a null host is a host of its own; equal rows are
-judged each on its own with equal results; extra columns are ignored.
+empty table gives no rows; a null host is a host of its own; rows of one doc_id
+count as one document, each row without an id as one of its own; equal rows are
+judged each on its own with equal results; extra columns are ignored by
+``rules`` and kept by ``cleaned``.
 """
 
 from __future__ import annotations
@@ -27,7 +30,7 @@ _SPLIT = "[ \\t\\n\\x0B\\f\\r]+"
 WINDOW = 8
 MIN_WORDS = 20
 MAX_REPEAT = 30  # per cent of the words
-#: A line is boilerplate where more distinct texts of a host have it, and a document is depleted when this share of its words is gone.
+#: A line is boilerplate where more documents of a host have it, and a document is depleted when this share of its words is gone.
 LINE_LIMIT = 20
 DEPLETED = 0.6
 
@@ -70,24 +73,57 @@ def line_key(line: Column) -> Column:
     return F.xxhash64(plain)
 
 
+def _blank(line: Column) -> Column:
+    return F.trim(line, F.lit(SPACE)) == ""
+
+
+def _above(rows: DataFrame, line_limit: int) -> DataFrame:
+    """_row, k, n, at: the lines above their host's limit, their words and places in each row of (_row, doc_id, _host, _keys)."""
+    lines = rows.select("_row", "doc_id", "_host", F.posexplode("_keys").alias("i", "x")).where("x.n > 0")
+    lines = lines.groupBy("_row", "doc_id", "_host", F.col("x.k").alias("k")).agg(F.sum("x.n").alias("n"), F.collect_list("i").alias("at"))
+    holders = lines.select("_host", "k", "doc_id", F.when(F.isnull("doc_id"), F.col("_row")).alias("_only")).distinct()
+    common = holders.groupBy("_host", "k").agg(F.count("*").alias("documents")).where(F.col("documents") > line_limit)
+    host = [F.coalesce("_host", F.lit("")).alias("_h1"), F.isnull("_host").alias("_h2")]
+    return lines.select("_row", "k", "n", "at", *host).join(common.select(*host, "k"), ["_h1", "_h2", "k"], "left_semi").select("_row", "k", "n", "at")
+
+
+def _keyed(lines: Column) -> Column:
+    """Hash and number of words of every line; a line without words has none of either."""
+    return F.transform(lines, lambda x: F.struct(
+        line_key(x).alias("k"), F.when(_blank(x), 0).otherwise(F.size(F.split(F.trim(x, F.lit(SPACE)), _SPLIT))).alias("n")))
+
+
+def _failed() -> Column:
+    return (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT * F.col("n_words"))
+
+
+def _rows(docs: DataFrame, host: str) -> list[Column]:
+    return [F.col("doc_id").cast("long").alias("doc_id"), F.col(host).cast("string").alias("_host"),
+            F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")]
+
+
 def rules(docs: DataFrame, host: str = "source", line_limit: int = LINE_LIMIT, depleted: float = DEPLETED) -> DataFrame:
     """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, n_removed_words."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(host).cast("string").alias("_host"),
-                       F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    rows = rows.withColumn("_text", F.xxhash64("text"))
-    df = with_counts(rows)
-    keyed = F.transform("_lines", lambda x: F.struct(line_key(x).alias("k"), F.size(F.split(F.trim(x, F.lit(SPACE)), _SPLIT)).alias("n")))
-    df = store(df.select(F.monotonically_increasing_id().alias("_row"), "doc_id", "_host", "_text", "n_words", "word_chars", "n_symbols",
-                         "n_dup_lines", "n_repeat_words", keyed.alias("_keys")))
-    lines = df.select("_row", "_host", "_text", F.explode("_keys").alias("x")).select("_row", "_host", "_text", "x.k", "x.n")
-    lines = lines.groupBy("_row", "_host", "_text", "k").agg(F.sum("n").alias("n"))
-    texts = lines.select("_host", "k", "_text").distinct()
-    common = texts.groupBy("_host", "k").agg(F.count("*").alias("texts")).where(F.col("texts") > line_limit)
-    common = common.select(F.coalesce("_host", F.lit("")).alias("_h1"), F.isnull("_host").alias("_h2"), "k")
-    gone = lines.withColumns({"_h1": F.coalesce("_host", F.lit("")), "_h2": F.isnull("_host")}).join(common, ["_h1", "_h2", "k"], "left_semi")
-    lost = gone.groupBy("_row").agg(F.sum("n").alias("n_removed_words"))
-    failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT * F.col("n_words"))
+    df = with_counts(docs.select(*_rows(docs, host)))
+    df = store(df.select(F.monotonically_increasing_id().alias("_row"), "doc_id", "_host", "n_words", "word_chars", "n_symbols",
+                         "n_dup_lines", "n_repeat_words", _keyed(F.col("_lines")).alias("_keys")))
+    lost = _above(df, line_limit).groupBy("_row").agg(F.sum("n").alias("n_removed_words"))
     out = df.join(lost, "_row", "left").withColumn("n_removed_words", F.coalesce("n_removed_words", F.lit(0)))
-    keep = ~failed & (F.col("n_removed_words") <= depleted * F.col("n_words"))
-    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"),
+    keep = ~_failed() & (F.col("n_removed_words") <= depleted * F.col("n_words"))
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", _failed().alias("base_failed"),
                       keep.alias("kept"), "n_removed_words")
+
+
+def cleaned(docs: DataFrame, host: str = "source", line_limit: int = LINE_LIMIT, depleted: float = DEPLETED) -> DataFrame:
+    """The rows of ``docs`` that the rules keep, their texts without the lines above the limit."""
+    names = docs.columns
+    own = F.struct(*(F.col(f"`{n}`") for n in names)).alias("_own")
+    df = with_counts(docs.select(own, *_rows(docs, host)))
+    df = store(df.select(F.monotonically_increasing_id().alias("_row"), "_own", "doc_id", "_host", "n_words", "n_repeat_words",
+                         _keyed(F.split("text", "\n")).alias("_keys")))
+    gone = _above(df, line_limit).groupBy("_row").agg(F.sum("n").alias("_lost"), F.flatten(F.collect_list("at")).alias("_gone"))
+    out = df.where(~_failed()).join(gone, "_row", "left").where(F.coalesce("_lost", F.lit(0)) <= depleted * F.col("n_words"))
+    lines = F.split("_own.text", "\n")
+    left = F.transform(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), "_gone"), lambda i: F.get(lines, i))
+    text = F.when(F.isnull("_gone"), F.col("_own.text")).otherwise(F.array_join(left, "\n"))
+    return out.select(*(text.alias(n) if n == "text" else F.col(f"_own.`{n}`").alias(n) for n in names))

@@ -107,11 +107,11 @@ spans AS (SELECT rid, i, array_to_string(w[i:i + {line_frequency.WINDOW - 1}], '
 twice AS (SELECT rid, i FROM (SELECT rid, i, count(*) OVER (PARTITION BY rid, span) AS n FROM spans) WHERE n > 1),
 repeats AS (SELECT rid, count(DISTINCT p) AS n_repeat_words
             FROM (SELECT rid, unnest(range(i, i + {line_frequency.WINDOW})) AS p FROM twice) GROUP BY rid),
-line AS (SELECT rid, source, text, trim(line, {_TRIM}) AS line, line AS raw FROM (SELECT rid, source, text, unnest(string_split(text, chr(10))) AS line FROM d)),
+line AS (SELECT rid, doc_id, source, trim(line, {_TRIM}) AS line, line AS raw FROM (SELECT rid, doc_id, source, unnest(string_split(text, chr(10))) AS line FROM d)),
 lines AS (SELECT *, regexp_replace(regexp_replace(lower(line), '[0-9]', '0', 'g'), '{_WS}', ' ', 'g') AS k,
           len(regexp_split_to_array(line, '{_WS}')) AS n FROM line WHERE line <> ''),
 dups AS (SELECT rid, count(*) - count(DISTINCT raw) AS n_dup_lines FROM lines GROUP BY rid),
-common AS (SELECT source, k FROM lines GROUP BY source, k HAVING count(DISTINCT text) > {line_frequency.LINE_LIMIT}),
+common AS (SELECT source, k FROM lines GROUP BY source, k HAVING count(DISTINCT coalesce('d' || doc_id, 'r' || rid)) > {line_frequency.LINE_LIMIT}),
 lost AS (SELECT rid, sum(n) AS n_removed_words FROM lines SEMI JOIN common ON lines.k = common.k AND lines.source IS NOT DISTINCT FROM common.source GROUP BY rid),
 counts AS (SELECT doc_id, len(w) AS n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) AS word_chars,
            length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS n_symbols, coalesce(n_dup_lines, 0) AS n_dup_lines,

@@ -9,6 +9,7 @@ import duckdb
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from pointstrata.llm import crf_pii, license_scan, line_frequency, pu_toxicity, queries
@@ -99,10 +100,10 @@ def plain_rules(rows, limit, depleted):
         return re.sub(SPACES, " ", re.sub("[0-9]", "0", line.strip(" \t\n\x0b\f\r").lower()))
 
     where = defaultdict(set)
-    for _, text, _, source, _ in rows:
+    for i, (doc_id, text, _, source, _) in enumerate(rows):
         for line in (text or "").split("\n"):
             if line.strip(" \t\n\x0b\f\r"):
-                where[source, line_key(line)].add(text)
+                where[source, line_key(line)].add(("row", i) if doc_id is None else doc_id)
     out = []
     for doc_id, text, _, source, _ in rows:
         text = text or ""
@@ -138,6 +139,25 @@ def test_rules_equal_plain_loops(spark, limit):
     assert any(x[8] for x in want) and any(not x[6] and not x[7] for x in want)
 
 
+def test_lines_are_counted_in_documents_and_removed(spark):
+    body = lambda i: " ".join(chr(97 + i % 26) * (1 + i // 26) + chr(97 + j % 26) * (1 + j // 26) for j in range(40))
+    rows = [(i, f"Shared line {i}\n{body(i)}\n\n shared  LINE 7", "en", "a", 0) for i in range(6)]
+    rows += [(10, "\n".join([body(10)[:29]] + [f"shared line {k}" for k in range(10)]), "en", "a", 0)]  # depleted
+    rows += [(20, f"shared line 1\n{body(20)}", "en", "b", 0)] * 9  # one document of another host
+    rows += [(None, f"mine\n{body(30 + i)}", "en", None, 0) for i in range(6)]
+    docs = spark.createDataFrame(rows, SCHEMA).withColumns({"_row": F.lit("x"), "at": F.lit(2), "k": F.lit(None).cast("string")})
+    out = line_frequency.cleaned(docs, line_limit=5)
+    assert out.columns == docs.columns and not re.search("Python|Pandas|Arrow", out._jdf.queryExecution().toString())
+    got = [(r["doc_id"], r["text"], r["_row"], r["at"]) for r in out.collect()]
+    want = [(i, f"{body(i)}\n", "x", 2) for i in range(6)] + [(20, rows[7][1], "x", 2)] * 9 + [(None, body(30 + i), "x", 2) for i in range(6)]
+    assert key(got) == key(want)
+    verdict = {(r["doc_id"], r["kept"], r["n_removed_words"]) for r in line_frequency.rules(docs, line_limit=5).collect()}
+    assert verdict == {*((i, True, 6) for i in range(6)), (10, False, 30), (20, True, 0), (None, True, 1)}
+    edge = edge_docs(spark)
+    assert {r["doc_id"] for r in line_frequency.cleaned(edge).collect()} <= {r[0] for r in ROWS}
+    assert line_frequency.cleaned(empty_docs(spark)).collect() == []
+
+
 def test_rules_use_built_in_functions_only(spark):
     plan = line_frequency.rules(spark.createDataFrame(ROWS, SCHEMA))._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
