@@ -1,19 +1,24 @@
 """Benchmark passages in documents by q-gram lemma filtering.
 
-A benchmark item is cut into probes of ``PROBE`` characters that overlap by
-half; a shorter item is one probe.  A place that holds a probe with at most k
-edits shares at least m + 1 - q (k + 1) q-grams with it, all of them on
+A benchmark item is cut into probes of ``PROBE`` characters, one every ``STEP``
+characters and one at its end, so that every run of PROBE + STEP - 1 characters
+of an item holds a whole probe: a quote of that length is found wherever in the
+item it begins.  A shorter item is one probe.  A place that holds a probe with at
+most k edits shares at least m + 1 - q (k + 1) q-grams with it, all of them on
 neighbouring diagonals.  Shared q-grams are counted in overlapping bands of
 diagonals, bands that reach the bound are aligned within the band, and regions
 within the edit budget are reported.
 
+An item of fewer than ``SHORT`` comparable characters has too few q-grams for the
+lemma.  It is matched exactly, from one word bound to another, and each of its
+occurrences is a region of its own.
+
 The benchmark is a stated query set and goes through in blocks of bounded size,
 each compared with all documents.
 
 Texts are compared as lower-case letters, digits and single spaces; other ASCII
 characters count as space.  Nulls, empties, ties: a null or empty text or item
-matches nothing; an item with fewer than ``SHORT`` comparable characters is
-skipped; repeated items match each under its own id; several regions of an item
+matches nothing, as does an item without letters or digits; repeated items match each under its own id; several regions of an item
 in a text are separate unless they overlap; empty tables give no rows; extra
 columns are kept by ``clean`` and ignored by ``matches``.
 """
@@ -29,7 +34,7 @@ from pyspark.sql import functions as F
 
 from .common import ragged, slices, texts_of, unchunked
 
-Q, PROBE, ERRORS, SHORT = 8, 120, 0.08, 24
+Q, PROBE, STEP, ERRORS, SHORT = 8, 120, 20, 0.08, 24
 STRIDE = 32  # bands are twice as wide; at least 2 k + 1
 BLOCK_CHARS = 2_000_000
 HASH_BITS = 21
@@ -75,34 +80,38 @@ class Index:
     probe: np.ndarray  # by gram
     at: np.ndarray
     filter: np.ndarray
+    short: dict  # length -> (sorted short items of it, ids of each)
 
 
 def index_of(items: list[tuple[object, str]], errors: float = ERRORS) -> Index:
-    ids, rows = [], []
+    ids, rows, brief = [], [], {}
     for item_id, text in items:
         data, _ = normalise(np.frombuffer((text or "").encode(), np.uint8))
         if len(data) < SHORT:
+            if word := data.tobytes().strip():
+                brief.setdefault(len(word), {}).setdefault(word, []).append(item_id)
             continue
-        starts = [0] if len(data) <= PROBE else sorted({*range(0, len(data) - PROBE + 1, PROBE // 2), len(data) - PROBE})
+        starts = [0] if len(data) <= PROBE else sorted({*range(0, len(data) - PROBE + 1, STEP), len(data) - PROBE})
         for s in starts:
             ids.append(item_id)
             rows.append(data[s:s + PROBE])
     length = np.array([len(r) for r in rows], np.int64)
     edits = np.minimum((length * errors).astype(np.int64), np.maximum((length + 1) // Q - 2, 0))
     letters = np.zeros((len(rows), PROBE), np.uint8)
-    code, probe, at = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    code, probe, at = [np.zeros(0, np.uint64)], [np.zeros(0, np.int32)], [np.zeros(0, np.int16)]
     for i, r in enumerate(rows):
         letters[i, :len(r)] = r
         g = grams(r)
         code.append(g)
-        probe.append(np.full(len(g), i))
-        at.append(np.arange(len(g)))
+        probe.append(np.full(len(g), i, np.int32))
+        at.append(np.arange(len(g), dtype=np.int16))
     code, probe, at = map(np.concatenate, (code, probe, at))
     order = np.argsort(code, kind="stable")
     gram, first, count = np.unique(code[order], return_index=True, return_counts=True)
     table = np.zeros(1 << HASH_BITS, bool)
     table[_slot(gram)] = True
-    return Index(ids, length, edits, length + 1 - Q * (edits + 1), letters, gram, first, count, probe[order], at[order], table)
+    short = {n: (np.array(sorted(words), f"S{n}"), [words[w] for w in sorted(words)]) for n, words in brief.items()}
+    return Index(ids, length, edits, length + 1 - Q * (edits + 1), letters, gram, first, count, probe[order], at[order], table, short)
 
 
 def align(index: Index, probe: np.ndarray, low: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -136,15 +145,42 @@ def align(index: Index, probe: np.ndarray, low: np.ndarray, data: np.ndarray) ->
     return best, end
 
 
+def exact(raw: np.ndarray, data: np.ndarray, origin: np.ndarray, short: dict) -> list[tuple[int, object, int, int, int]]:
+    """(row, item, start, end, 0) of short items between word bounds; per length of item one look at all words."""
+    bound = (data == 32) | (data == _END)
+    begin = np.flatnonzero(~bound & np.concatenate(([True], bound[:-1])))
+    stops = np.flatnonzero(data == _END)
+    points = np.cumsum((raw & 0xC0) != 0x80)
+    zero = np.concatenate(([0], points[origin[stops]]))
+    out = []
+    for n, (words, ids) in short.items():
+        at = begin[begin + n < len(data)]
+        at = at[bound[at + n]]
+        if not len(at):
+            continue
+        text = np.lib.stride_tricks.sliding_window_view(data, n)[at].view(f"S{n}").ravel()
+        k = np.searchsorted(words, text)
+        k[k == len(words)] = 0
+        hit = np.flatnonzero(words[k] == text)
+        row = np.searchsorted(stops, at[hit])
+        s, e = points[origin[at[hit]]] - 1 - zero[row], points[origin[at[hit] + n - 1]] - zero[row]
+        out += [(int(r), item, int(a), int(b), 0) for r, j, a, b in zip(row, k[hit], s, e) for item in sorted(set(ids[j]))]
+    return out
+
+
 def find(texts: pa.Array, index: Index) -> list[tuple[int, object, int, int, int]]:
     """(row, item, start, end, edits) of all regions in the texts; code points, end exclusive."""
     found = []
-    if not len(index.gram):
+    if not len(index.gram) and not index.short:
         return found
     for lo, hi in slices(texts):
         part = texts.slice(lo, hi - lo).cast(pa.large_binary()).to_pylist()
         raw = np.frombuffer(b"\xff".join(part) + b"\xff", np.uint8)
         data, origin = normalise(raw)
+        if index.short:
+            found += [(row + lo, *rest) for row, *rest in exact(raw, data, origin, index.short)]
+        if not len(index.gram):
+            continue
         code = grams(data)
         pos = np.flatnonzero(index.filter[_slot(code)])
         k = np.searchsorted(index.gram, code[pos])
@@ -160,7 +196,7 @@ def find(texts: pa.Array, index: Index) -> list[tuple[int, object, int, int, int
             b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + (1 << 21), side="right")))
             r = ragged(index.first[k[a:b]], index.count[k[a:b]])
             band = (np.repeat(pos[a:b], index.count[k[a:b]]) - index.at[r] + PROBE) // STRIDE
-            keys.append((index.probe[r] << 32) | band)
+            keys.append((index.probe[r].astype(np.int64) << 32) | band)
             a = b
         value, n = np.unique(np.concatenate(keys), return_counts=True)
         probe, band = value >> 32, value & 0xFFFFFFFF

@@ -166,9 +166,42 @@ def test_regions_equal_brute_force():
         for p, item in enumerate(index.item):
             if data and semi_global(index.letters[p, :index.length[p]].tolist(), data) <= index.edits[p]:
                 want.add((r, item))
+        for i, x in items:  # short ones between word bounds
+            y = leaks.normalise(np.frombuffer((x or "").encode(), np.uint8))[0].tobytes()
+            if y and len(y) < leaks.SHORT and b" " + y.strip() + b" " in b" " + data.strip() + b" ":
+                want.add((r, i))
     assert got == want and len(want) > 15
 
 
+def test_quote_is_found_wherever_it_begins():
+    rng = random.Random(14)
+    item = _prose(rng, 300)[:1300]
+    index = leaks.index_of([(1, item)])
+    size = leaks.PROBE + leaks.STEP - 1
+    filler = "zq wv " * 30
+    texts = [filler + item[a:a + size].strip() + " " + filler for a in range(len(item) - size + 1)]
+    assert {r for r, *_ in leaks.find(pa.array(texts, pa.large_string()), index)} == set(range(len(texts)))
+
+
+def test_short_items_match_between_word_bounds(spark):
+    items = [(1, "Tiny."), (2, " two  words "), (3, "é!"), (4, "tiny"), (5, "..."), (6, "a b a")]
+    texts = ["tiny", "TINY, two-words", "tinys untiny", "é", "xé éx", "a b a b a", "", None, "end of two\nwords", "two", "words", "Ü \U0001f600 (tiny)"]
+    rows = leaks.find(leaks.texts_of(pa.RecordBatch.from_pydict({"text": pa.array(texts, pa.string())})), leaks.index_of(items))
+    want = []
+    for r, t in enumerate(texts):
+        data = leaks.normalise(np.frombuffer((t or "").encode(), np.uint8))[0].tobytes().strip()
+        for i, x in items:
+            needle = leaks.normalise(np.frombuffer(x.encode(), np.uint8))[0].tobytes().strip()
+            padded, at = b" " + data + b" ", -1
+            while needle and (at := padded.find(b" " + needle + b" ", at + 1)) >= 0:
+                want.append((r, i))
+    assert sorted((r, i) for r, i, *_ in rows) == sorted(want) and len(want) == 12
+    assert all(texts[r][s:e].lower().split()[0].strip("(")[:1] == items[i - 1][1].strip().lower()[:1] for r, i, s, e, _ in rows)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    assert {r["doc_id"] for r in leaks.clean(docs, bench).collect()} == {2, 4, 6, 7, 9, 10}
+
+
 def test_spans_point_at_the_passage(spark):
     rng = random.Random(4)
     item = _prose(rng, 40)
