@@ -30,8 +30,10 @@ KINDS = ("email", "ip", "card", "phone")
 TAGS = len(KINDS) + 1  # 0 is none
 BUCKETS = 1 << 14
 
-_EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
-_IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+# an email is found from its @ and an ip from the start of a run of digits, so that a long token is read a fixed number of times
+_LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
+_HOST = re.compile(r"[A-Za-z0-9-]++(\.[A-Za-z0-9-]+)+")
+_IP = re.compile(r"(?<![0-9])[0-9]++(\.[0-9]++)(\.[0-9]++)(\.[0-9]++)")
 _CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGITS = re.compile(r"[0-9]+")
@@ -57,20 +59,35 @@ def _small(part: str) -> bool:
 
 def _windows(text: str, mark: str):
     """Parts of the text between spaces and line feeds that hold ``mark``, from left to right."""
-    at, end = text.find(mark), 0
+    at, end, feed = text.find(mark), 0, -1
     while at >= 0:
         start = max(text.rfind(" ", end, at), text.rfind("\n", end, at), end - 1) + 1
-        stops = [x for x in (text.find(" ", at), text.find("\n", at)) if x >= 0]
-        end = min(stops, default=len(text))
+        if feed < at:
+            feed = text.find("\n", at)
+            feed = len(text) if feed < 0 else feed
+        end = text.find(" ", at, feed)
+        end = feed if end < 0 else end
         yield start, end
         at = text.find(mark, end)
 
 
+def _emails(text: str):
+    """Spans of addresses: the longest name before each @ that no earlier address covers, and the host after it."""
+    at, end = text.find("@"), 0
+    while at >= 0:
+        start = at
+        while start > end and text[start - 1] in _LOCAL:
+            start -= 1
+        host = _HOST.match(text, at + 1) if start < at else None
+        if host:
+            yield start, host.end()
+        end = host.end() if host else at + 1
+        at = text.find("@", end)
+
+
 def base_spans(text: str) -> list[tuple[int, int, int]]:
     """(kind, start, end), leftmost and not overlapping within a kind; matches that fail their check are dropped."""
-    out = []
-    for lo, hi in _windows(text, "@"):
-        out += [(0, *m.span()) for m in _EMAIL.finditer(text, lo, hi)]
+    out = [(0, *span) for span in _emails(text)]
     if _DIGITS.search(text):
         for lo, hi in _windows(text, "."):
             if hi - lo >= 7:

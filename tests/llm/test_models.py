@@ -4,6 +4,7 @@ import itertools
 import math
 import random
 import re
+import time
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -124,6 +125,19 @@ def plain_spans(text):
     return out
 
 
+@pytest.mark.parametrize("unit", ["7", "a", "a.", "1.", "1.2.3.", "a@", "a@b", "@a.b", "a@b.c", "+1", "1 ", "12-", ".", "x.\n", "+(", "a@b-"])
+def test_long_tokens_take_linear_time(unit):
+    text = (unit * 1_000_000)[:1_000_000]
+    start = time.process_time()
+    crf.base_spans(text)
+    crf.base_spans(text + "@ 1.2.3")
+    assert time.process_time() - start < 8
+    for n in (5, 60, 301):  # and equal the patterns
+        for tail in ("", "@", "@b.c", ".4", " 1.2.3.4"):
+            part = unit * n + tail
+            assert sorted(crf.base_spans(part)) == sorted(plain_spans(part)), repr(part)
+
+
 def test_base_spans_equal_plain_patterns():
     rng = random.Random(3)
     bits = ["a@b.c", "x.y@z-1.org.", "@", "..", "1.2.3.4", "300.1.2.3", "1.2.3.4.5.6.7.8", "4111111111111111", "4111 1111-1111 1111", "1234567812345678", "+1 (415) 555-0134",
