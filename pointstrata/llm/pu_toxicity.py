@@ -8,7 +8,8 @@ their first and last letters, averaged over a text's words and pooled with the
 strongest words of the text, so that a long text does not hide a short insult.
 
 Training rows are bounded samples (``positives`` and ``unlabelled`` below),
-chosen by a hash of the id; everything else covers all rows.
+chosen by a hash of the id; everything else covers all rows.  The tasks turn the
+sampled texts into word features; whole texts never reach the driver.
 
 Nulls, empties, ties: a null or empty text scores by the bias alone; a null id
 is not in the held-out fold and never trains; equal texts score equally; an
@@ -26,10 +27,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ragged, slices, sums, texts_of, with_columns, words_of
+from .common import ragged, slices, sums, texts_of, unchunked, with_columns, words_of
 
 BUCKETS = 1 << 16
-POSITIVES, UNLABELLED = 2500, 4000
+POSITIVES, UNLABELLED = 2500, 5000
 TOP = 4
 STEPS = 500  # of the fit at least
 #: The score at which a text counts as toxic.
@@ -69,13 +70,27 @@ def pooled(value: np.ndarray, codes: np.ndarray, offsets: np.ndarray) -> tuple[n
     return mean, sums(best, np.concatenate(([0], np.cumsum(k)))) / TOP
 
 
-def _bags(texts: list[str]):
+def packed(texts: list[str]) -> list[bytes]:
+    """Each text as the features of its words, four buckets of 16 bits in one number a word, compressed."""
     codes, words, offsets = words_of(pa.array(texts, pa.large_string()))
-    return codes.astype(np.int32), word_features(words).astype(np.int32), offsets
+    number = word_features(words) @ (BUCKETS ** np.arange(4, dtype=np.uint64)).astype(np.int64)
+    return [zlib.compress(number[codes[a:b]].tobytes(), 1) for a, b in zip(offsets[:-1], offsets[1:])]
 
 
-def fit(positive: list[str], unlabelled: list[str], prior: float, epochs: int = 14, rate: float = 0.02, seed: int = 7) -> Model:
-    """Adam on the non-negative risk with the logistic loss, in shuffled batches of both kinds."""
+def _bags(rows: list[bytes]):
+    """Code per word, features of the distinct words, first word of each row (and the end)."""
+    read = lambda row: np.frombuffer(zlib.decompress(row), np.int64)
+    distinct = np.zeros(0, np.int64)
+    for lo in range(0, len(rows), 500):
+        distinct = np.unique(np.concatenate([distinct, *map(read, rows[lo:lo + 500])]))
+    codes = [np.searchsorted(distinct, read(row)).astype(np.int32) for row in rows]
+    offsets = np.concatenate(([0], np.cumsum([len(c) for c in codes])))
+    features = (distinct[:, None] >> (16 * np.arange(4))) & (BUCKETS - 1)
+    return np.concatenate(codes), features.astype(np.int32), offsets
+
+
+def fit(positive: list[bytes], unlabelled: list[bytes], prior: float, epochs: int = 14, rate: float = 0.02, seed: int = 7) -> Model:
+    """Adam on the non-negative risk with the logistic loss, in shuffled batches of both kinds of ``packed`` rows."""
     if not positive or not unlabelled:
         return Model(np.zeros(BUCKETS), np.zeros(2), float(np.log(prior / (1 - prior))))
     rng = np.random.default_rng(seed)
@@ -184,13 +199,27 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column, positives: int = PO
     chance = F.pmod(F.xxhash64(F.lit(11), "doc_id"), F.lit(1 << 30)) / float(1 << 30)
     chosen = F.broadcast(rows.where("toxic = 1").orderBy(chance, "doc_id").limit(positives).select("doc_id"))  # at most ``positives`` ids
     texts = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    good = [r["text"] for r in texts.join(chosen, "doc_id", "left_semi").orderBy("doc_id").limit(2 * positives).collect()]
+    good = _sample(texts.join(chosen, "doc_id", "left_semi"), 2 * positives)
     pool = docs.where(learn & F.col("doc_id").isNotNull())
     share = unlabelled / max(1, pool.count())
-    rest = [r["text"] for r in texts.where(learn & (chance < share)).orderBy("doc_id").limit(2 * unlabelled).collect()]
+    rest = _sample(texts.where(learn & F.col("doc_id").isNotNull() & (chance < share)), 2 * unlabelled)
     return fit(good, rest, prior)
 
 
+def _sample(texts: DataFrame, rows: int) -> list[bytes]:
+    """The texts, packed in the tasks, in the order of a hash; ``rows`` of them where ids repeat so often that there are more."""
+
+    def run(batches):
+        for batch in batches:
+            part, order = texts_of(batch), unchunked(batch.column(0))
+            for lo, hi in slices(part):
+                words = packed(part.slice(lo, hi - lo).to_pylist())
+                yield pa.RecordBatch.from_arrays([order.slice(lo, hi - lo), pa.array(words, pa.binary())], names=["o", "words"])
+
+    chosen = texts.select(F.xxhash64(F.lit(11), "doc_id", "text").alias("o"), "text").mapInArrow(run, "o long, words binary")
+    return [bytes(r["words"]) for r in chosen.orderBy("o", "words").limit(rows).collect()]
+
+
 def score(docs: DataFrame, model: Model, name: str = "score") -> DataFrame:
     """The columns of ``docs`` and the score, 0 to 1."""
 

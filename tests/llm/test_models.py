@@ -33,7 +33,7 @@ def test_toxic_texts_are_told_apart_from_unlabelled_ones():
     rng = random.Random(1)
     toxic = [_text(rng, rng.randint(20, 200), RUDE, 0.05) + " " + rng.choice(RUDE) for _ in range(400)]
     clean = [_text(rng, rng.randint(20, 200)) for _ in range(1600)]
-    model = pu.fit(toxic[:250], toxic[250:320] + clean[:900], prior=70 / 970)
+    model = pu.fit(pu.packed(toxic[:250]), pu.packed(toxic[250:320] + clean[:900]), prior=70 / 970)
     test = pa.array(toxic[320:] + clean[900:], pa.large_string())
     codes, words, offsets = pu.words_of(test)
     score = 1 / (1 + np.exp(-model.logits(codes, pu.word_features(words), offsets)))
@@ -105,6 +105,14 @@ def test_fold(spark):
     assert all(r["held"] == (rest(r["doc_id"], 7) == 2) for r in rows)
 
 
+def test_packed_rows_hold_all_words():
+    texts = ["", "One two one", "  ", "two three " * 50, "é \x00x"]
+    codes, features, offsets = pu._bags(pu.packed(texts))
+    for k, text in enumerate(texts):
+        words = re.findall(rb"[^ ]+", text.lower().encode())
+        assert (features[codes[offsets[k]:offsets[k + 1]]] == pu.word_features(words)).all() and offsets[k + 1] - offsets[k] == len(words)
+
+
 # ---- conditional random field ----------------------------------------------
 
 def plain_spans(text):
