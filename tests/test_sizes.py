@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from pointstrata.operators import findings
 from pointstrata.queries import QUERIES
 from pointstrata.session import MEASURED, SMALL, STATIC, measured_joins
 
@@ -36,3 +37,11 @@ def test_registered_queries_join_by_measured_sizes(spark, tmp_path):
     own.range(2000).select(F.col("id").alias("o_orderkey")).write.parquet(f"{tmp_path}/orders.parquet")
     QUERIES["A01_class_histogram"](own, str(tmp_path))
     assert own.conf.get(STATIC) == "-1" and own.conf.get(MEASURED) == str(256 << 10)
+
+
+def test_clearance_summary_without_violations(spark):
+    none = spark.createDataFrame([], "severity string, classification int")
+    assert findings.clearance_summary(none).collect() == [(None, None, 0)]
+    some = spark.createDataFrame([("minor", 5), ("minor", 6), ("critical", 5)], none.schema)
+    assert sorted(findings.clearance_summary(some).collect(), key=str) == sorted(
+        [("minor", None, 2), ("critical", None, 1), (None, 5, 2), (None, 6, 1), (None, None, 3)], key=str)
