@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from pointstrata.operators import findings
+from pointstrata.operators import findings, learning
 from pointstrata.queries import QUERIES
 from pointstrata.session import MEASURED, SMALL, STATIC, measured_joins
 
@@ -45,3 +45,11 @@ def test_clearance_summary_without_violations(spark):
     some = spark.createDataFrame([("minor", 5), ("minor", 6), ("critical", 5)], none.schema)
     assert sorted(findings.clearance_summary(some).collect(), key=str) == sorted(
         [("minor", None, 2), ("critical", None, 1), (None, 5, 2), (None, 6, 1), (None, None, 3)], key=str)
+
+
+def test_committee_on_a_hash_sample(spark):
+    """A sample drawn by small hash values still gives every member a bootstrap of about its size."""
+    points = spark.range(40_000).select(F.col("id").alias("point_id"), (F.col("id") % 2 * 3 + 2).cast("int").alias("classification"), (F.col("id") % 2 + 0.0).alias("f"))
+    sample = learning.balanced_sample(points, 150, 100)
+    models = learning.committee(sample, ["f"], 3, base_trees=2, tree_step=0, base_depth=2, depth_step=0)
+    assert learning.vote_entropy(learning.predict(models[0], sample, "a"), 10).count() == 10 and len(models) == 3
