@@ -2,9 +2,10 @@
 
 Two sets of m and n shingles with a similarity of 4/5 or more share at least
 4/9 (m + n) of them, so under one order of all shingles they share one among the
-first n // 5 + 1 of each.  The order puts shingles of crowded slots of a count
-sketch last; it decides how many candidates there are, never which pairs are
-found.  Every shared first shingle is a bucket.
+first n // 5 + 1 of each.  The order puts the most frequent shingles last, by
+exact counts over all sets (of the HEAVY most frequent); it decides how many
+candidates there are, never which pairs are found.  Every shared first shingle is
+a bucket.
 
 Each row is compared with one row of each of its buckets, the first by a hash;
 what that links is contracted, and then all pairs of a bucket that still lie in
@@ -32,8 +33,11 @@ from .common import ragged, slices, store, sums, texts_of, unchunked, with_colum
 
 SHINGLE = 5
 SEED = 42
-SLOT_BITS = 18
-CROWD = 4
+SLOT_BITS = 22
+#: Least count of a frequent shingle, and how many of them have a slot with a level.
+CROWD, HEAVY = 4, 1 << 18
+#: Bytes of text whose shingles are counted in one group, and the binary logarithm of the most groups.
+COUNTED, GROUP_BITS = 1 << 20, 12
 #: Parity bits of a small set; doubled for every doubling of the shingles beyond SPREAD, WIDEST times at most.
 PARITY, SPREAD, WIDEST = 512, 200, 5
 #: Sets of a group that meet in one task.
@@ -103,24 +107,49 @@ def digests(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, ", ".join([*(f"`{n}` {t}" for n, t in docs.dtypes), "_fp long", "_bits binary"]))
 
 
-def levels(reps: DataFrame) -> np.ndarray:
-    """How crowded each slot of the count sketch is: 0, or the logarithm of its count over the mean."""
+def counts(reps: DataFrame, bits: int) -> DataFrame:
+    """(slot, n) of every shingle that CROWD or more sets have: how many have it.
 
-    def run(batches):
-        total = np.zeros(1 << SLOT_BITS, np.int64)
+    Shingles travel packed, in ``1 << bits`` groups by their first bits, as their last 32 bits.
+    """
+
+    def pack(batches):
         for batch in batches:
             for _, _, h, _ in _parts(batch):
-                total += np.bincount(_slot(h), minlength=len(total))
-        slot = np.flatnonzero(total)
-        for lo in range(0, len(slot), 1 << 16):
-            s = slot[lo:lo + (1 << 16)]
-            yield pa.RecordBatch.from_arrays([pa.array(s.astype(np.int32)), pa.array(total[s])], names=["slot", "n"])
-
-    counts = store(reps.select("text").mapInArrow(run, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")))
-    base = CROWD * ((counts.agg(F.sum("n")).first()[0] or 0) / (1 << SLOT_BITS) + CROWD)
+                group, low = h >> np.uint64(63 - bits) >> np.uint64(1), h & np.uint64(0xFFFFFFFF)
+                code, n = np.unique(group << np.uint64(32) | low, return_counts=True)
+                group = (code >> np.uint64(32)).astype(np.int32)
+                begins = np.flatnonzero(np.append(group[:1] == group[:1], group[1:] != group[:-1]))
+                spans = list(zip(begins.tolist(), [*begins[1:].tolist(), len(group)]))
+                packed = [pa.array([v[x:y].tobytes() for x, y in spans], pa.binary()) for v in (code.astype(np.uint32), n.astype(np.uint32))]
+                yield pa.RecordBatch.from_arrays([pa.array(group[begins]), *packed], names=["g", "low", "n"])
+
+    def add(packed: pa.Table) -> pa.Table:
+        low, n = (np.frombuffer(b"".join(packed.column(c).to_pylist()), np.uint32) for c in ("low", "n"))
+        order = np.argsort(low, kind="stable")
+        low, n = low[order], n[order]
+        first = np.flatnonzero(np.concatenate(([True], low[1:] != low[:-1])))
+        total = np.add.reduceat(n.astype(np.int64), first)
+        many = total >= CROWD
+        return pa.table({"slot": pa.array(_slot(low[first][many].astype(np.uint64)), pa.int32()), "n": pa.array(total[many])})
+
+    return reps.select("text").mapInArrow(pack, "g int, low binary, n binary").groupBy("g").applyInArrow(add, "slot int, n long")
+
+
+def levels(reps: DataFrame) -> np.ndarray:
+    """Per slot of the shingles: 0, or how frequent the most frequent shingle is that ends in it, as a logarithm."""
+    size = reps.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    found = store(counts(reps, min(GROUP_BITS, (size // COUNTED).bit_length())))
+    step = F.floor(4 * F.log2(F.col("n") / F.lit(CROWD))).cast("int")
+    held, least = 0, 128
+    for r in found.groupBy(step.alias("step")).agg(F.count("*").alias("c")).orderBy(F.desc("step")).collect():
+        held += r["c"]
+        if held > HEAVY:
+            break
+        least = r["step"]
+    heavy = found.where(step >= least).select("slot", (step - least + 1).cast("byte").alias("level")).toArrow()
     out = np.zeros(1 << SLOT_BITS, np.int8)
-    crowded = counts.where(F.col("n") > base).toArrow()
-    out[crowded["slot"].to_numpy()] = 1 + np.log2(crowded["n"].to_numpy() / base).astype(np.int8)
+    np.maximum.at(out, heavy["slot"].to_numpy(), heavy["level"].to_numpy())
     return out
 
 

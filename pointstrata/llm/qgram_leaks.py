@@ -37,6 +37,8 @@ from .common import ragged, slices, texts_of, unchunked
 Q, PROBE, STEP, ERRORS, SHORT = 8, 120, 20, 0.08, 24
 STRIDE = 32  # bands are twice as wide; at least 2 k + 1
 BLOCK_CHARS = 2_000_000
+PART_BYTES = 1 << 20  # texts searched at a time; a search takes some 150 bytes for each
+PIECE = 1 << 21  # shared q-grams counted at a time
 HASH_BITS = 21
 _END = 0xFF  # never part of UTF-8
 _WALL = 1 << 12  # cost of the end of a text: no alignment passes from one text to the next
@@ -173,7 +175,7 @@ def find(texts: pa.Array, index: Index) -> list[tuple[int, object, int, int, int
     found = []
     if not len(index.gram) and not index.short:
         return found
-    for lo, hi in slices(texts):
+    for lo, hi in slices(texts, PART_BYTES):
         part = texts.slice(lo, hi - lo).cast(pa.large_binary()).to_pylist()
         raw = np.frombuffer(b"\xff".join(part) + b"\xff", np.uint8)
         data, origin = normalise(raw)
@@ -189,16 +191,19 @@ def find(texts: pa.Array, index: Index) -> list[tuple[int, object, int, int, int
         pos, k = pos[hit], k[hit]
         if not len(pos):
             continue
-        keys = [np.zeros(0, np.int64)]
+        value = n = np.zeros(0, np.int64)
         ends = np.cumsum(index.count[k])
         a = 0
         while a < len(pos):  # bounded pieces: a gram may be frequent on both sides
-            b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + (1 << 21), side="right")))
+            b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + PIECE, side="right")))
             r = ragged(index.first[k[a:b]], index.count[k[a:b]])
             band = (np.repeat(pos[a:b], index.count[k[a:b]]) - index.at[r] + PROBE) // STRIDE
-            keys.append((index.probe[r].astype(np.int64) << 32) | band)
+            key, c = np.unique((index.probe[r].astype(np.int64) << 32) | band, return_counts=True)
+            if a:
+                key, back = np.unique(np.concatenate((value, key)), return_inverse=True)
+                c = np.bincount(back, np.concatenate((n, c))).astype(np.int64)
+            value, n = key, c
             a = b
-        value, n = np.unique(np.concatenate(keys), return_counts=True)
         probe, band = value >> 32, value & 0xFFFFFFFF
         near = np.searchsorted(value, value + 1)
         near[near == len(value)] = 0

@@ -87,3 +87,26 @@ def test_edges(spark):
     assert kept.columns == edge_docs(spark).columns
     assert key(r["doc_id"] for r in kept.collect()) == kept_ids(ROWS)
     assert near_copies.keep_one(empty_docs(spark)).count() == 0
+
+
+def test_passages_of_a_few_texts_make_no_candidates(spark):
+    """Shingles that a dozen texts share come last, however many others there are."""
+    rows = []
+    for g in range(40):
+        passage = " ".join(f"p{g}x{i}" for i in range(40))
+        rows += [(g * 12 + k, " ".join(f"w{g}x{k}x{i}" for i in range(110)) + " " + passage, "en", "a", 0) for k in range(12)]
+    texts = spark.createDataFrame(rows, SCHEMA).repartition(4).selectExpr("doc_id as _fp", "text")
+    shared = near_copies.buckets(near_copies.prefixes(texts, near_copies.levels(texts)))
+    assert shared.count() < 12  # some slots have a level by chance
+
+
+def test_frequent_shingles_are_counted_exactly(spark):
+    texts = [" ".join(f"v{(7 * (i % 12) + j * j) % 40}" for j in range(30)) for i in range(60)] + ["", None, "one"]
+    count = {}
+    for t in texts:
+        for x in plain_set(t):
+            count[x] = count.get(x, 0) + 1
+    df = spark.createDataFrame([(t,) for t in texts], "text string").repartition(5)
+    for bits in (0, 3):
+        got = sorted(r["n"] for r in near_copies.counts(df, bits).collect())
+        assert got == sorted(c for c in count.values() if c >= near_copies.CROWD) and got
