@@ -9,7 +9,9 @@ a bucket.
 
 Each row is compared with one row of each of its buckets, the first by a hash;
 what that links is contracted, and then all pairs of a bucket that still lie in
-different components are compared.  A pair is given up early only where the
+different components are compared, in the bucket of the first shingle they share:
+where the shingles just before it have one in common, they meet in an earlier
+bucket.  A pair is given up early only where the
 parity bits of its sets differ in more places than similar sets can; the others
 are decided by intersecting whole sets, so the components are those of all pairs.
 
@@ -25,7 +27,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.cluster import connected_components
@@ -40,6 +42,8 @@ CROWD, HEAVY = 4, 1 << 18
 COUNTED, GROUP_BITS = 1 << 20, 12
 #: Parity bits of a small set; doubled for every doubling of the shingles beyond SPREAD, WIDEST times at most.
 PARITY, SPREAD, WIDEST = 512, 200, 5
+#: Shingles before one in a set's order that tell whether two sets have met before.
+EARLIER = 8
 #: Sets of a group that meet in one task.
 GROUP = 500
 _ODD = np.array([xxhash.xxh64_intdigest(bytes([j]), SEED) | 1 for j in range(SHINGLE)], np.uint64)
@@ -273,10 +277,11 @@ def buckets(rows: DataFrame) -> DataFrame:
     return dealt.select(*names).mapInArrow(run, "token long, _fp long, n int, at int, hub long, m int, by int")
 
 
-def _possible(n: str, at: str, m: str, by: str):
-    """Whether sets that meet at these places of their orders can share enough."""
+def _possible(n: str, at: str, m: str, by: str, first: bool = False):
+    """Whether sets that meet at these places of their orders (for the first time) can share enough."""
     n, at, m, by = map(F.col, (n, at, m, by))
-    return (5 * F.least(n, m) >= 4 * F.greatest(n, m)) & (9 * (F.least(at, by) + F.least(n - at, m - by)) >= 4 * (n + m))
+    earlier = F.lit(0) if first else F.least(at, by)
+    return (5 * F.least(n, m) >= 4 * F.greatest(n, m)) & (9 * (earlier + F.least(n - at, m - by)) >= 4 * (n + m))
 
 
 def _roots(edges: DataFrame) -> DataFrame:
@@ -284,6 +289,15 @@ def _roots(edges: DataFrame) -> DataFrame:
     return store(connected_components(edges, nodes)).select(F.col("v").alias("_fp"), F.col("component").alias("root"))
 
 
+def meetings(rows: DataFrame) -> DataFrame:
+    """Pairs (a, b) of different roots in the bucket of the first token they share, seldom in later ones as well."""
+    before = Window.partitionBy("_fp").orderBy("at").rowsBetween(-EARLIER, -1)
+    rows = store(rows.withColumn("prev", F.collect_list("token").over(before)))
+    other = rows.select("token", *(F.col(c).alias(d) for c, d in (("_fp", "b"), ("n", "m"), ("at", "by"), ("root", "root_b"), ("prev", "prev_b"))))
+    return rows.withColumnRenamed("_fp", "a").join(other, "token").where(
+        (F.col("a") < F.col("b")) & (F.col("root") != F.col("root_b")) & _possible("n", "at", "m", "by", first=True) & ~F.arrays_overlap("prev", "prev_b"))
+
+
 def links(fps: DataFrame, first: DataFrame) -> DataFrame:
     """Edges (a, b) that connect all sets with a similarity of 4/5 or more; ``first`` has a row of ``fps`` for each."""
     texts = fps.select("_fp", F.col("row.text").cast("string").alias("text"))
@@ -294,11 +308,8 @@ def links(fps: DataFrame, first: DataFrame) -> DataFrame:
     near = store(similar(fps, first, some))
     rooted = shared.select("token", "_fp", "n", "at").join(_roots(near), "_fp", "left").withColumn("root", F.coalesce("root", "_fp"))
     split = rooted.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("c"))
-    open_ = store(rooted.join(split.where("lo < hi and c > 2").select("token", "c"), "token"))
-    other = open_.select("token", *(F.col(c).alias(d) for c, d in (("_fp", "b"), ("n", "m"), ("at", "by"), ("root", "root_b"))))
-    rest = open_.withColumnRenamed("_fp", "a").join(other, "token").where(
-        (F.col("a") < F.col("b")) & (F.col("root") != F.col("root_b")) & _possible("n", "at", "m", "by"))
-    # pairs that meet in several buckets are compared in the largest, where most others are
+    rest = meetings(rooted.join(split.where("lo < hi and c > 2").select("token", "c"), "token"))
+    # pairs that still meet in several buckets are compared in the largest, where most others are
     rest = rest.groupBy("a", "b").agg(F.max_by("token", F.struct("c", "token")).alias("g"), F.max(F.col("n") + F.col("m")).alias("all"))
     rest = store(rest.join(some, ["a", "b"], "left_anti"))
     return near.unionByName(similar(fps, first, rest))

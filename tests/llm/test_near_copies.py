@@ -110,3 +110,16 @@ def test_frequent_shingles_are_counted_exactly(spark):
     for bits in (0, 3):
         got = sorted(r["n"] for r in near_copies.counts(df, bits).collect())
         assert got == sorted(c for c in count.values() if c >= near_copies.CROWD) and got
+
+
+def test_pairs_meet_in_their_first_bucket(spark):
+    """Sets that share many shingles are a pair once or twice, not once a shingle; each pair that can be similar is there."""
+    rng = random.Random(6)
+    sets = [sorted(rng.sample(range(60), 45)) for _ in range(30)]
+    n = 120  # 45 of them among the first of the order
+    rows = [(t, i, n, at, i, 30) for i, s in enumerate(sets) for at, t in enumerate(s)]
+    got = near_copies.meetings(spark.createDataFrame(rows, "token long, _fp long, n int, at int, root long, c long").repartition(4)).select("a", "b", "token").collect()
+    first = {(i, j): min(set(sets[i]) & set(sets[j])) for i in range(30) for j in range(i + 1, 30)}
+    assert {(r["a"], r["b"]): r["token"] for r in sorted(got, key=lambda r: -r["token"])} == {
+        p: t for p, t in first.items() if 9 * (n - max(sets[i].index(t) for i in p)) >= 8 * n}
+    assert len(first) <= len(got) < 2 * len(first)
