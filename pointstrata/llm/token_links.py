@@ -25,6 +25,7 @@ highest count of a B id are all best; equal rows count each on its own; a null
 from __future__ import annotations
 
 import functools
+import gc
 import hashlib
 
 import numpy as np
@@ -39,7 +40,7 @@ from .tokens import prefixed
 
 BUCKETS = 256
 #: Text in a slice, and in the slices of a part.
-SLICE, PART_BYTES = 2 << 20, 16 << 20
+SLICE, PART_BYTES = 1 << 20, 16 << 20
 #: Rows of counts that one leaf of the tree adds up, and vectors that each further node adds up.
 LEAF, FAN = 256, 16
 LOAD = 2.0
@@ -61,7 +62,17 @@ def byte_table(path: str) -> tuple[np.ndarray, np.ndarray]:
 
 
 def id_type(path: str) -> str:
-    return "<u2" if prefixed(path).size <= 1 << 16 else "<u4"
+    return "<u2" if len(byte_table(path)[1]) <= (1 << 16) + 1 else "<u4"
+
+
+def without_encoders(a_path: str, b_path: str) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes of the tokens of A and of B.  What a reused worker still holds for encoding (vocabularies, known stems) is let go."""
+    sizes = np.diff(byte_table(a_path)[1]), np.diff(byte_table(b_path)[1])
+    if prefixed.cache_info().currsize:
+        prefixed.cache_clear()
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+    return sizes
 
 
 def restored(texts: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -186,7 +197,7 @@ def pair_counts(cut: DataFrame, a_path: str, b_path: str) -> DataFrame:
     """First pass: part, bucket, keys (A id << 32 | B id, sorted) and counts of the links in what a task reads of a part."""
 
     def run(batches):
-        a_size, b_size = np.diff(byte_table(a_path)[1]), np.diff(byte_table(b_path)[1])
+        a_size, b_size = without_encoders(a_path, b_path)
         held, part = [], None
 
         def flush():
@@ -337,7 +348,7 @@ def links(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
     told = answers(partial, store(pair_tables(partial, parts)), parts)
 
     def second(left: pa.Table, right: pa.Table) -> pa.Table:
-        a_size, b_size = np.diff(byte_table(a_path)[1]), np.diff(byte_table(b_path)[1])
+        a_size, b_size = without_encoders(a_path, b_path)
         none = np.zeros(0, np.int64)
         keys, counts = np.concatenate([none, *arrays(right, "keys")]), np.concatenate([none, *arrays(right, "counts")])
         best = np.concatenate([np.zeros(0, bool), *(np.frombuffer(x, bool) for x in right.column("best").to_pylist())])

@@ -5,7 +5,8 @@ of vocabulary used here, and so is a mark such as a comma that ends a piece
 behind a letter.  So each batch encodes every distinct stem once (an Arrow memo
 of bounded size keeps stems between batches) and gathers ids by index.  Texts in
 which a piece boundary could matter (runs of white space, white space other than
-space and line feed, with byte-level vocabularies) go to the tokenizer whole.
+space and line feed, the mark for a space, with byte-level and sentencepiece
+vocabularies) go to the tokenizer whole.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from .common import ragged
 MEMO = 500_000
 MEMO_CHARS = 48
 ODD = (r"[ \n][ \n]|^[ \n]|[ \n]$|[\t\r\x0b\x0c]|\x{85}|\x{a0}|\x{1680}|[\x{2000}-\x{200a}]"
-       r"|\x{2028}|\x{2029}|\x{202f}|\x{205f}|\x{3000}|[\x1c-\x1f]")
+       r"|\x{2028}|\x{2029}|\x{202f}|\x{205f}|\x{3000}|[\x1c-\x1f]|\x{2581}")  # the last one stands for a space in sentencepiece
 MARKS = ",.;:!?"
 #: A mark behind a letter; not behind one that lower-cases to more than a letter, nor behind letters of late Unicode versions.
 MARKED = r"[^\x{130}\P{L}\x{2c00}-\x{10ffff}][" + MARKS + "]$"
